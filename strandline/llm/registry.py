@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import byte_bpe, language_id, quality_cnn
-from strandline.runtime import table
+from strandline.llm import byte_bpe, language_id, quality_cnn, secret_scan
+from strandline.runtime import ship_package, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -17,6 +17,12 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    ship_package(spark)
+    return secret_scan.scan(documents, secret_scan.train(documents, "text", "doc_id"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
@@ -26,7 +32,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_cnn, op7_language_id, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_cnn, op5_secret_scan, op7_language_id, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

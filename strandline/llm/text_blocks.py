@@ -57,7 +57,7 @@ def bounded_sample(df, by: str, key: str, rows: int):
 
     from pyspark.sql import functions as F
 
-    share = (F.xxhash64(F.col(key), F.lit(17)) & F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    share = F.xxhash64(F.col(key), F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     counts = df.groupBy(by).count().collect()
     keep = [(F.col(by) == F.lit(r[by])) & (share < F.lit(rows / r["count"])) for r in counts if r[by] is not None]
     return df.where(reduce(lambda a, b: a | b, keep)) if keep else df.limit(0)
