@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import byte_bpe, language_id, quality_cnn, secret_scan
+from strandline.llm import ann_search, byte_bpe, chat_format, language_id, quality_cnn, secret_scan
 from strandline.runtime import ship_package, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.probe_conversation(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_turns(turns, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+
+
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,9 +37,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_search.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_cnn, op5_secret_scan, op7_language_id, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op5_secret_scan, op7_language_id, op8_byte_bpe, op9_ann_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": chat_format.ORACLE}
