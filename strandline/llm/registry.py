@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann_search, byte_bpe, chat_format, language_id, quality_cnn, secret_scan
+from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, language_id, quality_cnn, secret_scan
 from strandline.runtime import ship_package, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,9 +42,13 @@ def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op5_secret_scan, op7_language_id, op8_byte_bpe, op9_ann_search)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op5_secret_scan, op7_language_id, op8_byte_bpe, op9_ann_search, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE}
+    return {"op1_chat_format": chat_format.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
