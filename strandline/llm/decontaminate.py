@@ -61,9 +61,10 @@ def postings(documents: DataFrame, terms: DataFrame, key: str = "doc_id", text:
 def phrase_matches(posted: DataFrame, rarest: DataFrame) -> DataFrame:
     """(doc, body, window, start, size): exact occurrences of windows."""
     place = F.col("pos") - F.col("at") - F.col("left")
-    proposed = posted.join(rarest, "low").where((F.col("pos") >= F.col("at")) & (place + F.size("phrase") <= F.size("around")))
-    agreed = proposed.where(F.col("second").isNull() | (F.try_element_at("around", place + F.col("second_at") + 1) == F.col("second")))
-    return agreed.where(F.slice("around", place + 1, F.size("phrase")) == F.col("phrase")).select("doc", "body", "window", (F.col("pos") - F.col("at")).alias("start"), F.size("phrase").alias("size"))
+    first = F.greatest(place, F.lit(0))  # conditions may be tried in any order, and an index below 1 is an error
+    proposed = posted.join(rarest, "low").where((F.col("pos") >= F.col("at")) & (place >= 0) & (place + F.size("phrase") <= F.size("around")))
+    agreed = proposed.where(F.col("second").isNull() | (F.try_element_at("around", first + F.col("second_at") + 1) == F.col("second")))
+    return agreed.where(F.slice("around", first + 1, F.size("phrase")) == F.col("phrase")).select("doc", "body", "window", (F.col("pos") - F.col("at")).alias("start"), F.size("phrase").alias("size"))
 
 
 def proximity_matches(posted: DataFrame, rarest: DataFrame, within: int = WINDOW - 1) -> DataFrame:
