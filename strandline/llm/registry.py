@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, language_id, license_scan, quality_cnn, secret_scan
+from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, quality_cnn, secret_scan
 from strandline.runtime import ship_package, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,10 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op4_license_scan, op5_secret_scan, op7_language_id, op8_byte_bpe, op9_ann_search, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op3_jaccard_join, op4_license_scan, op5_secret_scan, op7_language_id, op8_byte_bpe, op9_ann_search, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
