@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.repeat_bitmap import marked, repeat_bitmap
 from strandline.llm.text_blocks import blocks
 from strandline.runtime import materialize, ship_package
 
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 9, 10
-#: A shingle in more than COMMON documents is common. CELLS bits mark common shingles (8 MB).
-COMMON, CELL_BITS, BUCKET_BITS = 16, 26, 10
+#: A shingle in more than COMMON documents is common.
+COMMON, BUCKET_BITS = 16, 10
 BITMAP_WORDS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,61 +107,11 @@ def least_overlap(a, b):
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-def common_bitmap(texts: DataFrame) -> np.ndarray:
-    """A bit for each of 2^CELL_BITS hash prefixes: whether some shingle there is common.
-
-    Tasks send packed hashes by bucket, five and a half bytes for a shingle; a bucket holds an even share of all
-    hashes, and a common shingle adds few bytes. The result has a fixed size.
-    """
-    width = 1 << (CELL_BITS - BUCKET_BITS)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for _, data, ends in blocks(batches):
-            held.append(shingles(data, ends)[1])
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield pack(held)
-                held, size = [], 0
-        if size:
-            yield pack(held)
-
-    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - BUCKET_BITS - 32), return_counts=True)
-        bucket = (keys >> np.uint64(32)).astype(np.int32)
-        cuts = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
-        rows = np.flatnonzero(np.diff(cuts))
-        low, many = keys.astype(np.uint32), np.minimum(counts, COMMON + 1).astype(np.uint8)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in rows], pa.binary()), pa.array([many[cuts[b] : cuts[b + 1]].tobytes() for b in rows], pa.binary())],
-            names=["bucket", "keys", "counts"],
-        )
-
-    def mark(key: tuple, group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k.as_py(), np.uint32) for k in group.column("keys")])
-        counts = np.concatenate([np.frombuffer(c.as_py(), np.uint8) for c in group.column("counts")]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        heavy = keys[starts][np.add.reduceat(counts, starts) > COMMON]
-        bits = np.zeros(width, bool)
-        bits[heavy >> np.uint32(32 - (CELL_BITS - BUCKET_BITS))] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    sent = texts.select("k", "t").mapInArrow(send, "bucket int, keys binary, counts binary")
-    out = np.zeros((1 << BUCKET_BITS, width // 8), np.uint8)
-    for row in sent.groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").where(F.col("bits").isNotNull()).toLocalIterator():
-        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.ravel()
-
-
 def _ordered(own: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of each text in the global order: rare ones first, then by hash."""
-    cell = (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    common = (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+    common = marked(bitmap, hashes)
     order = np.lexsort((hashes, common, own))
-    return own[order], hashes[order], common[order].astype(bool)
+    return own[order], hashes[order], common[order]
 
 
 def _set_rows(shared) -> callable:
@@ -326,7 +277,7 @@ HUB_ROUNDS = 3
 def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(described rows, components of vertices) of texts (row, k, t)."""
     ship_package(texts.sparkSession)
-    bitmap = common_bitmap(texts)
+    bitmap = repeat_bitmap(texts, lambda data, ends: shingles(data, ends)[1], COMMON)
     rows = materialize(describe(texts.select(F.col("row").alias("k"), "t"), bitmap), "jaccard-rows")
     filled = rows.where(F.col("n") > 0)
     reps = filled.groupBy("vertex").agg(F.min("k").alias("rep"))

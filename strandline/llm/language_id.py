@@ -261,6 +261,24 @@ def identify(df: DataFrame, models: LanguageModels | None, text: str = "text", k
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double, rejected boolean, cross_entropy double").withColumnRenamed("k", key)
 
 
+def keep_identified(df: DataFrame, models: LanguageModels | None, text: str = "text") -> DataFrame:
+    """The rows of df whose language is accepted, with all their columns."""
+    spark = df.sparkSession
+    ship_package(spark)
+    shared, column = spark.sparkContext.broadcast(models), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for rows, data, ends in blocks(batches, column):
+            keep = np.zeros(len(ends) - 1, bool)
+            if models is not None:
+                entropies, count, letters = models.entropies(data, ends)
+                keep = (letters > 0) & ~(models.excess(entropies, entropies.argmin(1), count) > models.limit)
+            yield rows.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predict(documents: DataFrame, rows_per_language: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected, cross_entropy: learned on the rows that are not held out."""
     ship_package(documents.sparkSession)

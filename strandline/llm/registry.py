@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, quality_cnn, secret_scan
+from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, quality_cnn, secret_scan, suffix_dedup
 from strandline.runtime import ship_package, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents, secret_scan.train(documents, "text", "doc_id"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op3_jaccard_join, op4_license_scan, op5_secret_scan, op7_language_id, op8_byte_bpe, op9_ann_search, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op3_jaccard_join, op4_license_scan, op5_secret_scan, op6_suffix_dedup, op7_language_id, op8_byte_bpe, op9_ann_search, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
