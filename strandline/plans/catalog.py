@@ -1,11 +1,90 @@
 """All queries of the library's own operators, by name, with their SQL."""
 
-FLAGSHIP = ""
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandline.functions import scalars
+from strandline.operators import intervals, library, timelines
+from strandline.plans.dialect import duck_sql, spark_query
+from strandline.runtime import table
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "session_gaps"
+STATEMENTS = timelines.STATEMENTS | intervals.STATEMENTS | library.STATEMENTS | scalars.STATEMENTS
+DAY, QUARTER = 86_400_000_000, 21_600_000_000
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event up to the next one of its user."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("t", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", intervals.micros("ts").alias("t")).withColumn("nxt", F.lead("t").over(order))
+
+
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir).where("nxt > t").select("user_id", "event_id", F.col("t").alias("l_start"), F.col("nxt").alias("l_end"))
+    quiet = _spans(spark, sf_dir).where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), (F.col("t") - QUARTER).alias("r_start"), (F.col("t") + QUARTER).alias("r_end"))
+    return intervals.overlap_join(spans, quiet, ["user_id"], DAY).select("user_id", "event_id", "error_id")
+
+
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _spans(spark, sf_dir)
+    purchases = events.where("event_type = 'purchase'").select("user_id", "t", F.col("event_id").alias("purchase_id")).groupBy("user_id", "t").agg(F.max("purchase_id").alias("purchase_id"))
+    return intervals.asof_join(events.where("event_type = 'click'").select("event_id", "user_id", "t"), purchases, "user_id", "t", "purchase_id").select("event_id", "purchase_id")
+
+
+def _around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("user_id", (F.col("t") - QUARTER).alias("start"), (F.col("t") + QUARTER).alias("end"))
+
+
+def coalesced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.coalesce_spans(_around(spark, sf_dir), ["user_id"], 60_000_000)
+
+
+def span_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.complement(_around(spark, sf_dir), ["user_id"])
+
+
+def dashboard_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each UTC day, days without any included."""
+    counted = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    days = counted.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    return days.join(counted, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted phrase index: 3-word phrases that stand in two documents or more, and in how many."""
+    words = F.filter(F.split("text", "[^a-z]+"), lambda w: w != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))).alias("c"))
+    phrases = d.select("doc_id", F.explode(zipped).alias("g")).where(F.col("g.c").isNotNull()).select("doc_id", F.concat_ws(" ", "g.a", "g.b", "g.c").alias("phrase"))
+    return phrases.groupBy("phrase").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n")).where("n_docs >= 2")
+
+
+_SPANS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events), s AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nxt FROM e)"
+_MERGED = """a AS (SELECT user_id, t - 21600000000 AS a, t + 21600000000 AS b FROM e),
+  m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS starts FROM a),
+  r AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m),
+  g AS (SELECT user_id, min(a) AS a, max(b) AS b FROM r GROUP BY user_id, run)"""
+
+FRAMES: dict[str, tuple[Query, str]] = {
+    "overlap_join": (overlap_join, f"WITH {_SPANS} SELECT l.user_id, l.event_id, r.event_id AS error_id FROM s l JOIN s r ON r.user_id = l.user_id AND r.event_type = 'error' AND l.nxt > l.t AND l.nxt > r.t - 21600000000 AND l.t < r.t + 21600000000"),
+    "asof_join": (asof_join, f"WITH {_SPANS} SELECT l.event_id, (SELECT max_by(r.event_id, (r.t, r.event_id)) FROM e r WHERE r.user_id = l.user_id AND r.event_type = 'purchase' AND r.t <= l.t) AS purchase_id FROM e l WHERE l.event_type = 'click'"),
+    "coalesced_spans": (coalesced_spans, f"WITH {_SPANS}, {_MERGED.format(gap=60_000_000)} SELECT user_id, a AS start, b AS \"end\" FROM g"),
+    "span_complement": (span_complement, f"WITH {_SPANS}, {_MERGED.format(gap=0)}, c AS (SELECT user_id, b AS start, lead(a) OVER (PARTITION BY user_id ORDER BY a) AS \"end\" FROM g) SELECT * FROM c WHERE \"end\" IS NOT NULL"),
+    "dashboard_days": (dashboard_days, "WITH c AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1), r AS (SELECT unnest(generate_series((SELECT min(d) FROM c), (SELECT max(d) FROM c), INTERVAL 1 DAY)) AS d) SELECT strftime(r.d, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM r LEFT JOIN c ON c.d = CAST(r.d AS DATE)"),
+    "repeated_phrases": (repeated_phrases, "WITH d AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents), p AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS phrase FROM d) SELECT phrase, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM p GROUP BY phrase HAVING count(DISTINCT doc_id) >= 2"),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: spark_query(text) for name, text in STATEMENTS.items()} | {name: f for name, (f, _) in FRAMES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: duck_sql(text) for name, text in STATEMENTS.items()} | {name: sql for name, (_, sql) in FRAMES.items()}
