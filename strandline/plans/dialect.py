@@ -17,7 +17,7 @@ _DUCK = {"US": r"epoch_us(\1)", "IDIV": r"CAST(floor((\1) / (\2)) AS BIGINT)", "
 
 def _spell(text: str, words: dict[str, str]) -> str:
     for name, form in words.items():
-        pattern = rf"\b{name}\(([^(),]+)\)" if name == "US" else rf"\b{name}\(([^,]+), ([^,()]+)\)"
+        pattern = rf"\b{name}\(([^(),]+)\)" if name == "US" else rf"\b{name}\(([^,]+), ('[^']*'|[^,()]+)\)"
         text = re.sub(pattern, form, text)
     return text
 
