@@ -2,8 +2,9 @@
 
 One model of order 4 for each language is learned from a bounded sample of labelled rows
 (`rows_per_language`, whole texts). Probabilities are kept in sorted arrays of n-gram hashes.
-A text goes to the language of the lowest cross-entropy per character. A text whose excess over
-the language's usual cross-entropy is beyond everything seen in training is marked as rejected.
+A text goes to the language of the lowest cross-entropy per character. A text that
+stands closer to random letters than to its language is marked as rejected; both ends of that scale
+are calibrated, on the sample and on seeded random letters.
 
 Null texts, empty ones and those without a letter: language `und`, score 0, rejected. Rows with a
 null language are scored but not learned from. With no labelled row every text is `und`. Repeated
@@ -24,6 +25,8 @@ from strandline.runtime import ship_package
 
 ORDER = 4
 UNDETERMINED = "und"
+#: A text this far from its language towards random letters is rejected.
+REJECTED = 0.6
 _START, _GAP = 1, 32
 _LOWER: np.ndarray | None = None
 
@@ -165,9 +168,9 @@ class LanguageModels:
         return total / np.maximum(count, 1)[:, None], count, letters
 
     def excess(self, entropies: np.ndarray, best: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """How far above the language's usual level a text is, in units that widen for short texts."""
-        rows = np.arange(len(best))
-        return (entropies[rows, best] - self.usual[best]) / (self.spread[best] * np.sqrt(1 + 200 / np.maximum(count, 1)))
+        """Where a text stands between its language (0) and random letters (1); short texts count less."""
+        above = entropies[np.arange(len(best)), best] - self.usual[best]
+        return above / self.spread[best] * count / (count + 20)
 
 
 def _distinct(grams: np.ndarray) -> np.ndarray:
@@ -208,13 +211,14 @@ def train(df: DataFrame, text: str, language: str, key: str, rows_per_language:
     got = got.sort_values(["language", *columns])
     names = sorted(got["language"].unique())
     parts = [got[got["language"] == name] for name in names]
-    models = LanguageModels(names, [KneserNey(p[columns].to_numpy(np.uint32), p["n"].to_numpy(np.float64)) for p in parts])
-    _calibrate(models, sample)
+    single = [KneserNey(p[columns].to_numpy(np.uint32), p["n"].to_numpy(np.float64)) for p in parts]
+    models = LanguageModels(names, single)
+    _calibrate(models, sample, [m.levels[0] for m in single])
     return models
 
 
-def _calibrate(models: LanguageModels, sample: DataFrame) -> None:
-    """Set the usual cross-entropies, and the rejection limit above all that the sample shows."""
+def _calibrate(models: LanguageModels, sample: DataFrame, alphabets: list[np.ndarray]) -> None:
+    """Set each language's usual cross-entropy on the sample, and its distance to that of random letters."""
     shared = sample.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +228,16 @@ def _calibrate(models: LanguageModels, sample: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(best[some]), pa.array(entropies.min(1)[some]), pa.array(count[some])], names=["best", "entropy", "n"])
 
     seen = sample.mapInArrow(measure, "best long, entropy double, n long").toPandas().sort_values(["best", "entropy", "n"])
-    for i in range(len(models.languages)):
+    random = np.random.default_rng(13)
+    for i, name in enumerate(models.languages):
         own = seen[seen["best"] == i]
         if len(own):
             models.usual[i] = np.average(own["entropy"], weights=own["n"])
-            models.spread[i] = max(0.05, float(np.sqrt(np.average((own["entropy"] - models.usual[i]) ** 2, weights=own["n"]))))
-    best, entropy, count = (seen[c].to_numpy() for c in ("best", "entropy", "n"))
-    widest = np.full((len(best), len(models.languages)), np.inf)
-    widest[np.arange(len(best)), best] = entropy
-    models.limit = 1.5 * max(3.0, float(models.excess(widest, best, count).max(initial=0.0)))
+        letters = [chr(c) for c in alphabets[i].ravel().tolist() if c > _GAP]
+        noise = "".join(random.choice(letters or [name], 2000)).encode()
+        costs, _, _ = models.entropies(np.frombuffer(noise, np.uint8), np.array([0, len(noise)]))
+        models.spread[i] = max(0.5, float(costs[0].min()) - models.usual[i])
+    models.limit = REJECTED
     shared.unpersist()
 
 

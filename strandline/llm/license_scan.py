@@ -67,7 +67,7 @@ def grams(documents: DataFrame, key: str, text: str) -> DataFrame:
 def base_places(rolled: DataFrame) -> DataFrame:
     """(doc, body, pos, label): places of the base phrases."""
     label = F.coalesce(*(F.when(F.col("pair" if len(phrase.split()) == 2 else "gram") == phrase, label) for phrase, label in BASE.items()))
-    return rolled.select("doc", "body", "pos", label.alias("label")).where(F.col("label").isNotNull())
+    return rolled.select("doc", "body", "pos", label.alias("label")).where(F.col("label").isNotNull()).distinct()
 
 
 def voted_spans(rolled: DataFrame) -> DataFrame:

@@ -1,0 +1,30 @@
+"""Each stage of the pipeline against brute force on the smallest dataset."""
+
+import os
+import re
+
+import pytest
+
+import corpus_pipeline
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, after = docs.columns, [docs]
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, after[-1], DATA).write.parquet(f"{tmp_path}/{n}")
+        after.append(spark.read.parquet(f"{tmp_path}/{n}"))
+    sets = [{r.doc_id: r for r in df.collect()} for df in after]
+    assert all(df.columns == columns for df in after[1:-1])
+    assert all(re.search(r"[^\W\d_]", sets[0][i].text or "") is None for i in sets[0].keys() - sets[1].keys())
+    # near copies: one of each group, and each dropped document links to its group
+    from test_operators import brute_components
+
+    groups = brute_components([(i, r.text) for i, r in sorted(sets[1].items())])
+    assert set(sets[2]) == {group for _, group in groups.values()}
+    assert all(not re.search(r"[0-9a-f]{24,}", r.text) for r in sets[4].values())
+    assert set(sets[4]) == set(sets[3]) == set(sets[5])
+    assert corpus_pipeline.ORACLE_SQL is None
