@@ -24,7 +24,7 @@ def _spell(text: str, words: dict[str, str]) -> str:
 
 def spark_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     """A query callable from a statement over the tables by name."""
-    statement = _spell(text, _SPARK)
+    statement = _spell(text, _SPARK).replace(", 'g')", ")")  # Spark replaces every match by itself
     used = [t for t in TABLES if re.search(rf"\b{t}\b", statement)]
     named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", statement)
     return lambda spark, sf_dir: spark.sql(named, **{t: table(spark, sf_dir, t) for t in used})
