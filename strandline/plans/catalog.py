@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import intervals, library, lookups, timelines
+from strandline.operators import folds, intervals, library, location, lookups, timelines
 from strandline.plans.dialect import duck_sql, spark_query
-from strandline.runtime import table
+from strandline.runtime import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "session_gaps"
@@ -66,6 +66,48 @@ def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.groupBy("phrase").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n")).where("n_docs >= 2")
 
 
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cents = F.floor(F.col("value") * 100 + 0.5).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", intervals.micros("ts").alias("t"), cents.alias("v"))
+
+
+def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return folds.rate_limited(_values(spark, sf_dir))
+
+
+def truncated_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return folds.truncated(_around(spark, sf_dir), 800_000)
+
+
+def queue_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = _values(spark, sf_dir).select("event_id", "t", F.col("user_id").alias("visitor"), (F.col("event_id") % 16).alias("queue"))
+    return folds.queue_replay(rows)
+
+
+def going_back_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return folds.going_back(_values(spark, sf_dir))
+
+
+def jump_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item read with its first words said twice, against the item."""
+    ship_package(spark)
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.concat(F.slice(words, 1, 4), words).alias("heard"), words.alias("script"))
+    return folds.jump_alignment(rows)
+
+
+def phrase_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return location.located(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
+
+
+#: Queries that SQL cannot express; the tests compare them with plain loops.
+FOLDS: dict[str, Query] = {f.__name__: f for f in (rate_limiter, truncated_timeline, queue_replay, going_back_passes, jump_alignment, phrase_location)}
+
 _SPANS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events), s AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nxt FROM e)"
 _MERGED = """a AS (SELECT user_id, t - 21600000000 AS a, t + 21600000000 AS b FROM e),
   m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS starts FROM a),
@@ -83,7 +125,7 @@ FRAMES: dict[str, tuple[Query, str]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {name: spark_query(text) for name, text in STATEMENTS.items()} | {name: f for name, (f, _) in FRAMES.items()}
+    return {name: spark_query(text) for name, text in STATEMENTS.items()} | {name: f for name, (f, _) in FRAMES.items()} | FOLDS
 
 
 def oracle_sql() -> dict[str, str]:
