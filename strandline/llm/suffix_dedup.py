@@ -82,7 +82,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     around[LEFT : LEFT + len(least)] = least
     most = _sliding(around, LEFT + 1, np.maximum, np.uint64(0))[: len(grams)]
     place = np.flatnonzero(most == grams)
-    return place, np.searchsorted(ends, place, side="right") - 1, grams[place]
+    # chosen hashes are small ones: mixed again, they spread over all buckets and cells
+    return place, np.searchsorted(ends, place, side="right") - 1, _mix(grams[place])
 
 
 def _anchor_rows(texts: DataFrame, bitmap: np.ndarray, contexts: bool) -> DataFrame:
