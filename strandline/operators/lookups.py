@@ -66,5 +66,5 @@ STATEMENTS = {
       SELECT user_id, event_id, CASE WHEN a >= 1704672000000000 AND a < 1705276800000000 THEN 1705276800000000 ELSE a END AS a, CASE WHEN b > 1704672000000000 AND b <= 1705276800000000 THEN 1704672000000000 ELSE b END AS b FROM o""",
     "html_strip": """SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ ]+', ' ', 'g')) AS text FROM pages""",
     "letter_count": "SELECT doc_id, CAST(length(translate(lower(text), ' .,!?\n', '')) AS BIGINT) AS n FROM documents",
-    "reciter_slug": "SELECT c_custkey, translate(lower(c_name), '# ', '--') AS slug FROM customer",
+    "name_slug": "SELECT c_custkey, translate(lower(c_name), '# ', '--') AS slug FROM customer",
 }

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import folds, intervals, library, location, lookups, timelines
+from strandline.operators import edits, folds, intervals, library, location, lookups, timelines
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "session_gaps"
-STATEMENTS = timelines.STATEMENTS | intervals.STATEMENTS | library.STATEMENTS | lookups.STATEMENTS | scalars.STATEMENTS
+STATEMENTS = timelines.STATEMENTS | intervals.STATEMENTS | library.STATEMENTS | lookups.STATEMENTS | edits.STATEMENTS | scalars.STATEMENTS
 DAY, QUARTER = 86_400_000_000, 21_600_000_000
 
 
