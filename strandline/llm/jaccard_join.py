@@ -15,8 +15,9 @@ Equal sets are one vertex (64-bit set hash), so copies cost nothing. "Common" is
 all documents and kept in a bitmap of fixed size; a false mark there costs time, never a link.
 
 Null and empty texts have no shingles, link with nothing and are their own component. A text of one or
-two words is one shingle. Rows of one id form one component; a null id keeps a null component
-unless it links to others. Further columns are not read.
+two words is one shingle. Rows of one id and different texts are
+compared as different texts. A null id links like any other; a component of null ids alone has a
+null id. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -329,9 +330,10 @@ def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cluster(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    texts = documents.select(F.col(key).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    texts = documents.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("body")).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
     rows, labels = join_sets(texts)
-    placed = rows.select("k", "n", "vertex").join(labels, "vertex", "left")
+    rows = rows.select(F.col("k.id").alias("k"), "n", "vertex")
+    placed = rows.join(labels, "vertex", "left")
     names = placed.where(F.col("n") > 0).groupBy("label").agg(F.min("k").alias("name"))
     out = placed.where(F.col("n") > 0).join(names, "label").select("k", "n", "name").unionByName(rows.where(F.col("n") == 0).select("k", "n", F.col("k").alias("name")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))

@@ -215,6 +215,13 @@ def test_jaccard(docs, empty, common, monkeypatch):
         assert jaccard_join.cluster(empty).count() == 0
 
 
+def test_jaccard_with_null_ids(spark):
+    base = " ".join(f"v{i}" for i in range(100))
+    rows = [(7, base), (None, base + " more"), (None, "alone in this text"), (9, base + " more words"), (None, None), (3, None)]
+    got = jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 98, 7), (None, 99, 7), (None, 2, None), (9, 100, 7), (None, 0, None), (3, 0, 3)], key=str)
+
+
 # suffix dedup -----------------------------------------------------------------------------
 
 
