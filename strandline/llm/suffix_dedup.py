@@ -14,7 +14,7 @@
 4. The covered stretches go back to their texts.
 
 Matches never cross texts; overlapping occurrences within a text count. Null texts are empty: no
-bytes, the digest of nothing. Equal rows count as occurrences of each other. Null ids are ids like
+bytes, the digest of nothing. Equal rows count as occurrences of each other (rows are told apart by a 64-bit hash of id and text). Null ids are ids like
 any other. An empty table gives an empty result; further columns are not read.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from strandline.llm.jaccard_join import _mix, _powers
 from strandline.llm.repeat_bitmap import marked, repeat_bitmap
 from strandline.llm.text_blocks import blocks
-from strandline.runtime import materialize, ship_package
+from strandline.runtime import discard, materialize, ship_package
 
 LENGTH, GRAM = 200, 40
 LEFT = LENGTH - GRAM  # how far left of an anchor a string that holds it can start
@@ -87,18 +87,26 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _anchor_rows(texts: DataFrame, bitmap: np.ndarray, contexts: bool) -> DataFrame:
-    """Rows of the marked anchors: h, c (hash of the surroundings), k, body, pos, left, right[, context]."""
+    """Rows of the marked anchors: h, c (hash of the surroundings), k, body, pos, left, right[, context].
+
+    Without contexts the bitmap marks anchor hashes; with them, single anchors by c, body and pos.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
     kind = texts.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, ends in blocks(batches):
             place, owner, h = anchors(data, ends)
-            keep = marked(shared.value, h)
-            place, owner, h = place[keep], owner[keep], h[keep]
+            if not contexts:
+                keep = marked(shared.value, h)
+                place, owner, h = place[keep], owner[keep], h[keep]
             left = np.minimum(place - ends[owner], LEFT)
             right = np.minimum(ends[owner + 1] - place, LENGTH)
             c = _mix(_span_hash(_hashes(data), place - left, place + right) + left.astype(np.uint64) * np.uint64(1009) + right.astype(np.uint64)) if len(place) else h
+            if contexts:  # the one anchor that stands for its surroundings, by id of row and place
+                body = rows.column(2).to_numpy()[owner]
+                keep = marked(shared.value, (c.view(np.int64) ^ body ^ ((place - ends[owner]) << 38)).view(np.uint64))
+                place, owner, h, c, left, right = (x[keep] for x in (place, owner, h, c, left, right))
             take = pa.array(owner)
             columns = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), rows.column(0).take(take), rows.column(2).take(take), pa.array((place - ends[owner]).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
             names = ["h", "c", "k", "body", "pos", "left", "right"]
@@ -218,12 +226,12 @@ def covered(contexts: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple
     return reach_left, reach_right
 
 
-def _edge_spans(edges: DataFrame, hot: int) -> DataFrame:
-    """(k, body, from, to): what repeats around anchors of different surroundings."""
+def _edge_spans(edges: DataFrame, groups: int, hot: int | None) -> DataFrame:
+    """(k, body, from, to): what repeats around anchors of different surroundings.
+
+    `edges` has the size of each anchor's group; `hot` is None if no group is beyond the limit.
+    """
     kind = edges.schema["k"].dataType.simpleString()
-    sizes = edges.groupBy("h").agg(F.count("*").alias("size"))
-    sized = edges.join(sizes, "h")
-    groups = max(16, -(-edges.count() // 4_000))
 
     def solve(group: pa.Table) -> pa.Table:
         left, right = group.column("left").to_numpy().astype(np.int64), group.column("right").to_numpy().astype(np.int64)
@@ -233,7 +241,10 @@ def _edge_spans(edges: DataFrame, hot: int) -> DataFrame:
         return pa.table({"k": group.column("k").take(take), "body": group.column("body").take(take), "from": pa.array(pos[keep] - a[keep]), "to": pa.array(pos[keep] + b[keep])})
 
     shape = f"k {kind}, body long, from long, to long"
-    solved = sized.where(F.col("size") <= hot).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("g").applyInArrow(solve, shape)
+    solved = (edges if hot is None else edges.where(F.col("size") <= hot)).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("g").applyInArrow(solve, shape)
+
+    if hot is None:
+        return solved
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +254,7 @@ def _edge_spans(edges: DataFrame, hot: int) -> DataFrame:
                 take = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("k").take(take), part.column("body").take(take), part.column("pos").take(take), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["k", "body", "pos", "t", "s"])
 
-    rows = sized.where(F.col("size") > hot).select("k", "body", "pos", "left", "right", "context").mapInArrow(strings, f"k {kind}, body long, pos int, t int, s binary")
+    rows = edges.where(F.col("size") > hot).select("k", "body", "pos", "left", "right", "context").mapInArrow(strings, f"k {kind}, body long, pos int, t int, s binary")
     again = rows.groupBy("t", "s").agg(F.count("*").alias("n")).where("n > 1")
     wide = rows.join(again, ["t", "s"]).select("k", "body", (F.col("pos") - F.col("t")).cast("long").alias("from"), (F.col("pos") - F.col("t") + LENGTH).cast("long").alias("to"))
     return solved.unionByName(wide)
@@ -259,12 +270,18 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     full = shared.where(~F.col("mixed")).select("k", "body", "pos", "left", "right").unionByName(
         shared.where("mixed").join(classes.where("m > 1").select("h", "c"), ["h", "c"]).select("k", "body", "pos", "left", "right")
     ).select("k", "body", (F.col("pos") - F.col("left")).cast("long").alias("from"), (F.col("pos") + F.col("right")).cast("long").alias("to"))
-    mixed = repeat_bitmap_of(classes.select("h").distinct())
-    reps = classes.select("h", "c", F.col("rep.k").alias("rk"), F.col("rep.body").alias("rb"), F.col("rep.pos").alias("rp"))
-    around = _anchor_rows(texts, mixed, True)
-    chosen = around.join(reps, (around["h"] == reps["h"]) & (around["c"] == reps["c"]) & around["k"].eqNullSafe(reps["rk"]) & (around["body"] == reps["rb"]) & (around["pos"] == reps["rp"]))
-    edges = materialize(chosen.select(around["h"], around["c"], "k", "body", "pos", "left", "right", "context").dropDuplicates(["h", "c"]).drop("c"), "suffix-edges")
-    return full.unionByName(_edge_spans(edges, hot))
+    discard(rows)
+    sizes = classes.groupBy("h").agg(F.count("*").alias("size"))
+    reps = classes.join(sizes, "h").select(F.col("h").alias("rh"), F.col("c").alias("rc"), F.col("rep.k").alias("rk"), F.col("rep.body").alias("rb"), F.col("rep.pos").alias("rp"), "size")
+    count, largest = reps.agg(F.count("*"), F.max("size")).first()
+    single = repeat_bitmap_of(classes.select(F.col("c").bitwiseXOR(F.col("rep.body")).bitwiseXOR(F.shiftleft(F.col("rep.pos").cast("long"), 38)).alias("h")))
+    around = _anchor_rows(texts, single, True)
+    # keys h and c alone, so that repeated rows meet in the same task and drop out without another shuffle
+    itself = (F.col("body").bitwiseXOR(F.col("rb")) == 0) & (F.col("pos") - F.col("rp") == 0)
+    chosen = around.join(reps, (around["h"] == reps["rh"]) & (around["c"] == reps["rc"]) & itself)
+    edges = chosen.select("h", "c", "k", "body", "pos", "left", "right", "context", "size").dropDuplicates(["h", "c"]).drop("c")
+    edge = _edge_spans(edges, max(16, -(-count // 4_000)), hot if (largest or 0) > hot else None)
+    return full.unionByName(edge)
 
 
 def repeat_bitmap_of(hashes: DataFrame) -> np.ndarray:
@@ -284,7 +301,7 @@ def repeat_bitmap_of(hashes: DataFrame) -> np.ndarray:
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and the kept bytes, if asked for)."""
     ship_package(documents.sparkSession)
-    texts = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("body", F.xxhash64("t"))
+    texts = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("body", F.xxhash64("k", "t"))
     spans = repeated_spans(texts, hot).groupBy("k", "body").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     spans = spans.select(F.col("k").alias("sk"), F.col("body").alias("sb"), F.col("spans.from").alias("begins"), F.col("spans.to").alias("stops"))
     joined = texts.join(spans, texts["k"].eqNullSafe(spans["sk"]) & (texts["body"] == spans["sb"]), "left").select("k", "t", "begins", "stops")
