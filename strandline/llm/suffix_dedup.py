@@ -281,7 +281,10 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     chosen = around.join(reps, (around["h"] == reps["rh"]) & (around["c"] == reps["rc"]) & itself)
     edges = chosen.select("h", "c", "k", "body", "pos", "left", "right", "context", "size").dropDuplicates(["h", "c"]).drop("c")
     edge = _edge_spans(edges, max(16, -(-count // 4_000)), hot if (largest or 0) > hot else None)
-    return full.unionByName(edge)
+    out = materialize(full.unionByName(edge), "suffix-spans")
+    discard(shared)
+    discard(classes)
+    return out
 
 
 def repeat_bitmap_of(hashes: DataFrame) -> np.ndarray:
