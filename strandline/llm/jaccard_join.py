@@ -281,8 +281,9 @@ def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     bitmap = repeat_bitmap(texts, lambda data, ends: shingles(data, ends)[1], COMMON)
     rows = materialize(describe(texts.select(F.col("row").alias("k"), "t"), bitmap), "jaccard-rows")
     filled = rows.where(F.col("n") > 0)
-    reps = filled.groupBy("vertex").agg(F.min("k").alias("rep"))
-    sets = materialize(filled.join(reps.withColumnRenamed("vertex", "v"), F.col("k") == F.col("rep")).drop("v", "k", "check"), "jaccard-reps")
+    # one row for each vertex, however many rows are its smallest; all of a vertex describe the same set
+    same = [F.first(c).alias(c) for c in ("n", "prefix", "rare", "bitmap")]
+    sets = materialize(filled.groupBy("vertex").agg(F.min("k").alias("rep"), *same), "jaccard-reps")
     links = materialize(_verify(_light_pairs(sets), sets, texts).where("linked").select("a", "b"), "jaccard-links")
     vertices = sets.select("vertex")
     labels = components(vertices, links)

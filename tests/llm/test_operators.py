@@ -222,6 +222,19 @@ def test_jaccard_with_null_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(7, 98, 7), (None, 99, 7), (None, 2, None), (9, 100, 7), (None, 0, None), (3, 0, 3)], key=str)
 
 
+def test_jaccard_with_a_repeated_representative(spark):
+    """Results as a multiset: the row of the smallest id is repeated and has a copy and a near copy."""
+    long = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(long))] * 6 + [(7, " ".join(long)), (8, " ".join([*long, "end"])), (9, "another text of its own")] + [(None, "no id at all")] * 3 + [(4, "")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = brute_components([(i, t) for i, t in sorted({r for r in rows if r[0] is not None})]) | {None: (2, None)}
+    want = collections.Counter((i, *groups[i]) for i, _ in rows)
+    assert collections.Counter(map(tuple, jaccard_join.cluster(df).collect())) == want
+    texts = df.selectExpr("struct(doc_id AS id, xxhash64(text) AS body) AS row", "doc_id AS k", "text AS t")
+    labels = [r.vertex for r in jaccard_join.join_sets(texts)[1].collect()]
+    assert len(labels) == len(set(labels)) == 4
+
+
 # suffix dedup -----------------------------------------------------------------------------
 
 
