@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule leaves alone."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["bad"]), "left_anti")
+    found = decontaminate.verdicts(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad"), "body").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["bad"]) & (F.xxhash64(docs["text"]) == found["body"]), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,8 +75,8 @@ def proximity_matches(posted: DataFrame, rarest: DataFrame, within: int = WINDOW
     return near.where(F.array_contains(F.slice("around", lo + 1, here - lo + within + 1), F.col("second"))).select("doc", "body", "window", "pos").distinct()
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
+def verdicts(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
+    """doc_id, body, n_words, n_hit, n_items, items_sha256, contaminated of every row; id and body tell texts apart."""
     phrases = windows(benchmark, size=size)
     rarest = rarest_terms(phrases, term_counts(documents, phrases, key, text))
     posted = postings(documents, rarest.select("low").distinct(), key, text, size - 1)
@@ -98,6 +98,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return base.join(hits, base["doc"].eqNullSafe(hits["hit_doc"]) & (base["body"] == hits["hit_body"]), "left").select(
         F.col("doc").alias(key),
+        "body",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -106,6 +107,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     )
 
 
+def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
+    return verdicts(documents, benchmark, key, text, size, share).drop("body")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -28,3 +29,22 @@ def test_stages(spark, tmp_path):
     assert all(not re.search(r"[0-9a-f]{24,}", r.text) for r in sets[4].values())
     assert set(sets[4]) == set(sets[3]) == set(sets[5])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def frame(spark, rows):
+    """Documents of (doc_id, text, source)."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return df.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=repr)
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    """Clean and contaminated texts under one null and one repeated id; two rows are the same."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("size(split(text, ' ')) > 20").orderBy("item_id").first().text
+    clean = [(None, "one clean text of no id", "a"), (None, "another clean text of no id", "a"), (5, "a clean text of id five", "a"), (5, "a clean text of id five", "a"), (6, "a clean text of id six", "b")]
+    bad = [(None, item, "a"), (5, item, "a"), (8, "said before " + item, "a")]
+    out = corpus_pipeline.drop_contaminated(spark, frame(spark, clean + bad), DATA)
+    assert kept(out) == sorted(clean, key=repr)
