@@ -22,12 +22,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one of the smallest id, once."""
-    clustered = jaccard_join.cluster(docs)
-    kept = clustered.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """One document of each group of linked documents: the one of the smallest id and text hash, once.
+
+    Null ids come last. Texts without words link with nothing and stay, once for each id that is not null.
+    """
+    placed = jaccard_join.placed_rows(docs).where(F.col("component").isNotNull())
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body")).alias("first"))
+    firsts = first.select(F.col("first.id").alias("first_id"), F.col("first.body").alias("first_body"))
+    same = docs["doc_id"].eqNullSafe(firsts["first_id"]) & (F.xxhash64(docs["text"]) == firsts["first_body"])
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
-    stays = docs.join(kept, "doc_id", "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    return stays.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    named = docs.where(~wordless).join(firsts, same, "left_semi").unionByName(docs.where(wordless & F.col("doc_id").isNotNull()))
+    stays = named.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
+    return stays.unionByName(docs.where(wordless & F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -329,12 +329,18 @@ def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, labels
 
 
-def cluster(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def placed_rows(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, body, n, component of every row: the id and the hash of the text, the size of its set and the
+    component of its vertex, null where the set is empty."""
     texts = documents.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("body")).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
     rows, labels = join_sets(texts)
-    rows = rows.select(F.col("k.id").alias("k"), "n", "vertex")
     placed = rows.join(labels, "vertex", "left")
-    names = placed.where(F.col("n") > 0).groupBy("label").agg(F.min("k").alias("name"))
-    out = placed.where(F.col("n") > 0).join(names, "label").select("k", "n", "name").unionByName(rows.where(F.col("n") == 0).select("k", "n", F.col("k").alias("name")))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
+    return placed.select("k.id", "k.body", "n", F.when(F.col("n") > 0, F.col("label")).alias("component"))
+
+
+def cluster(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    placed = placed_rows(documents, key, text)
+    names = placed.where(F.col("n") > 0).groupBy("component").agg(F.min("id").alias("name"))
+    out = placed.where(F.col("n") > 0).join(names, "component").select("id", "n", "name").unionByName(placed.where(F.col("n") == 0).select("id", "n", F.col("id").alias("name")))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))

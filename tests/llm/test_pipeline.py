@@ -48,3 +48,20 @@ def test_clean_rows_of_a_contaminated_id_stay(spark):
     bad = [(None, item, "a"), (5, item, "a"), (8, "said before " + item, "a")]
     out = corpus_pipeline.drop_contaminated(spark, frame(spark, clean + bad), DATA)
     assert kept(out) == sorted(clean, key=repr)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Exact and near copies under null ids, and ids that stand on several texts."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [
+        (3, a, "x"), (None, a, "x"), (None, a + " end", "x"),  # null-id copies of a named document
+        (None, b, "x"), (None, b, "x"), (None, b + " end", "x"),  # of null ids alone
+        (5, c, "x"), (5, a + " tail", "x"), (5, c + " end", "y"),  # id 5: a copy of 3, and two linked texts
+        (7, d, "x"), (7, d, "y"), (9, d, "x"),  # a repeated row
+        (4, " ", "x"), (4, " ", "x"), (None, "", "x"), (None, None, "x"), (None, "", "x"),  # nothing to link by
+    ]
+    out = kept(corpus_pipeline.drop_near_copies(spark, frame(spark, rows), DATA))
+    named = [r for r in out if r[1] and r[1].strip()]
+    assert sorted((r[1][0], r[0] or 0) for r in named) == [("a", 3), ("b", 0), ("c", 5), ("d", 7)]
+    assert (3, a, "x") in named and (7, d, "x") in named
+    assert sorted(((r[0], r[1]) for r in out if r not in named), key=repr) == sorted([(4, " "), (None, ""), (None, ""), (None, None)], key=repr)
