@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import edits, folds, intervals, library, location, lookups, timelines
+from strandline.operators import edits, folds, intervals, library, location, lookups, positions, timelines
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
@@ -66,6 +66,21 @@ def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.groupBy("phrase").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n")).where("n_docs >= 2")
 
 
+_WORD_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def corpus_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of each word in the order of the whole corpus."""
+    words = table(spark, sf_dir, "lineitem").select(*_WORD_ORDER)
+    return positions.positions(words, _WORD_ORDER).select("l_orderkey", "l_linenumber", "place")
+
+
+def position_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus position of the first word of each order, by its key."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    return positions.position_of(keys, corpus_positions(spark, sf_dir), ["l_orderkey", "l_linenumber"]).select("o_orderkey", "place")
+
+
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.floor(F.col("value") * 100 + 0.5).cast("long")
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", intervals.micros("ts").alias("t"), cents.alias("v"))
@@ -113,6 +128,7 @@ _MERGED = """a AS (SELECT user_id, t - 21600000000 AS a, t + 21600000000 AS b FR
   m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS starts FROM a),
   r AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m),
   g AS (SELECT user_id, min(a) AS a, max(b) AS b FROM r GROUP BY user_id, run)"""
+_PLACES = "p AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey NULLS FIRST, l_linenumber NULLS FIRST) - 1 AS place FROM lineitem)"
 
 FRAMES: dict[str, tuple[Query, str]] = {
     "overlap_join": (overlap_join, f"WITH {_SPANS} SELECT l.user_id, l.event_id, r.event_id AS error_id FROM s l JOIN s r ON r.user_id = l.user_id AND r.event_type = 'error' AND l.nxt > l.t AND l.nxt > r.t - 21600000000 AND l.t < r.t + 21600000000"),
@@ -120,6 +136,8 @@ FRAMES: dict[str, tuple[Query, str]] = {
     "coalesced_spans": (coalesced_spans, f"WITH {_SPANS}, {_MERGED.format(gap=60_000_000)} SELECT user_id, a AS start, b AS \"end\" FROM g"),
     "span_complement": (span_complement, f"WITH {_SPANS}, {_MERGED.format(gap=0)}, c AS (SELECT user_id, b AS start, lead(a) OVER (PARTITION BY user_id ORDER BY a) AS \"end\" FROM g) SELECT * FROM c WHERE \"end\" IS NOT NULL"),
     "dashboard_days": (dashboard_days, "WITH c AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1), r AS (SELECT unnest(generate_series((SELECT min(d) FROM c), (SELECT max(d) FROM c), INTERVAL 1 DAY)) AS d) SELECT strftime(r.d, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM r LEFT JOIN c ON c.d = CAST(r.d AS DATE)"),
+    "corpus_positions": (corpus_positions, f"WITH {_PLACES} SELECT l_orderkey, l_linenumber, place FROM p"),
+    "position_lookup": (position_lookup, f"WITH {_PLACES}, k AS (SELECT l_orderkey, max(place) AS place FROM p WHERE l_linenumber = 1 GROUP BY l_orderkey) SELECT o_orderkey, place FROM orders LEFT JOIN k ON l_orderkey = o_orderkey"),
     "repeated_phrases": (repeated_phrases, "WITH d AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents), p AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS phrase FROM d) SELECT phrase, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM p GROUP BY phrase HAVING count(DISTINCT doc_id) >= 2"),
 }
 
