@@ -3,9 +3,10 @@
 Sets are ordered by one global order, rare shingles first, and an inverted index holds the prefix of
 each set. Two relations between sets spare most of the work:
 
-* by position: a shared shingle at positions i and j bounds the overlap, so list entries are
-  blocked by size and position and blocks that cannot reach the threshold are skipped; a parity
-  bitmap of the whole set bounds the difference and skips further pairs;
+* by position: a shared shingle at positions i and j bounds the overlap, so pairs of list entries
+  that cannot reach the threshold are dropped once formed (long lists are blocked by size class
+  only, not by position); a parity bitmap of the whole set bounds the difference and skips
+  further pairs;
 * by answers: in a long list (a common shingle) sets are compared with one hub set, and the answers
   of a set that links to the hub are derived from the hub's: it belongs to the hub's component, and
   only sets that lie elsewhere, and not too far from the hub for the triangle inequality of the
@@ -186,7 +187,7 @@ def _light_pairs(sets: DataFrame) -> DataFrame:
 
     def pair(group: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(e.as_py(), np.int64).reshape(-1, 4) for e in group.column("entries")])
-        # blocks of a list: by size, then by position
+        # in the order of a list: by size, then by position
         entries = entries[np.lexsort((entries[:, 3], entries[:, 2], entries[:, 0]))]
         found = []
         gap = 1
