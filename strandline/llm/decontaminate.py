@@ -4,8 +4,8 @@ The index holds postings (term, document, position) of the corpus. Terms of the
 over the whole corpus; each window of 13 words of an item is looked up by its rarest term, whose
 postings carry the words around them. A posting at p proposes that the window starts at p less
 the term's offset; the window's second rarest term must stand at its own offset, and then the
-phrase must agree word by word. A proximity search over the same postings finds items whose terms
-stand near one another without being a phrase.
+phrase must agree word by word. A proximity search over the same postings (`proximity_matches`, which no
+query calls) finds items whose terms stand near one another without being a phrase.
 
 Null and empty texts have no words, match nothing and are not contaminated; null item texts are
 no items. Rows of equal id and text get equal results; equal windows of several items hit for each
