@@ -104,6 +104,11 @@ def shingles(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own[fresh], out[fresh]
 
 
+def _shingle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for _, data, ends in blocks(batches):
+        yield shingles(data, ends)[1]
+
+
 def least_overlap(a, b):
     """The smallest intersection with which sets of these sizes reach the threshold."""
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
@@ -279,7 +284,7 @@ HUB_ROUNDS = 3
 def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(described rows, components of vertices) of texts (row, k, t)."""
     ship_package(texts.sparkSession)
-    bitmap = repeat_bitmap(texts, lambda data, ends: shingles(data, ends)[1], COMMON)
+    bitmap = repeat_bitmap(texts.select("k", "t"), _shingle_hashes, COMMON)
     rows = materialize(describe(texts.select(F.col("row").alias("k"), "t"), bitmap), "jaccard-rows")
     filled = rows.where(F.col("n") > 0)
     # one row for each vertex, however many rows are its smallest; all of a vertex describe the same set

@@ -13,10 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text_blocks import blocks
-
 #: 2^CELL_BITS bits are 8 MB, whatever the input.
-CELL_BITS, BUCKET_BITS = 26, 10
+CELL_BITS = 26
+#: Hashes that a task holds before it packs and sends them.
+HELD = 1 << 19
+#: Bytes of text whose hashes meet in one bucket, about.
+BUCKET_BYTES = 1 << 25
+#: Spark gives frames made on the driver, which are small, a size beyond this.
+UNKNOWN = 1 << 60
+Hashes = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
 
 
 def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -25,51 +30,59 @@ def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def repeat_bitmap(texts: DataFrame, hashes_of: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> np.ndarray:
+def bucket_bits(frame: DataFrame) -> int:
+    """Buckets grow with the input, so that one bucket's hashes always fit a task."""
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(20, max(8, (size // BUCKET_BYTES).bit_length())) if size < UNKNOWN else 8
+
+
+def repeat_bitmap(frame: DataFrame, hashes_of: Hashes, most: int) -> np.ndarray:
     """A bit for each of 2^CELL_BITS hash prefixes: whether a hash there occurs more than `most` times.
 
-    `texts` has the columns k and t; `hashes_of` gives the hashes of a block of texts. Tasks add up
+    `hashes_of` gives the hashes of a task's batches. Tasks add up
     their own counts and send them packed by bucket, so a frequent hash costs no more than a rare
     one, and a bucket holds an even share of all hashes. The result has a fixed size.
     """
-    width = 1 << (CELL_BITS - BUCKET_BITS)
+    bits = bucket_bits(frame)
+    width = 1 << (CELL_BITS - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for _, data, ends in blocks(batches):
-            held.append(hashes_of(data, ends))
-            size += len(held[-1])
-            if size > 4_000_000:
+        for hashes in hashes_of(batches):
+            held.append(hashes)
+            size += len(hashes)
+            if size > HELD:
                 yield pack(held)
                 held, size = [], 0
         if size:
             yield pack(held)
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - BUCKET_BITS - 32), return_counts=True)
+        keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - bits - 32), return_counts=True)
         bucket = (keys >> np.uint64(32)).astype(np.int32)
-        cuts = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
-        rows = np.flatnonzero(np.diff(cuts))
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        cuts = np.r_[starts, len(bucket)].tolist()
         low, many = keys.astype(np.uint32), np.minimum(counts, most + 1).astype(np.uint8)
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in rows], pa.binary()), pa.array([many[cuts[b] : cuts[b + 1]].tobytes() for b in rows], pa.binary())],
+            [pa.array(bucket[starts], pa.int32()), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([many[a:b].tobytes() for a, b in spans], pa.binary())],
             names=["bucket", "keys", "counts"],
         )
 
     def mark(key: tuple, group: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(k.as_py(), np.uint32) for k in group.column("keys")])
-        counts = np.concatenate([np.frombuffer(c.as_py(), np.uint8) for c in group.column("counts")]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(c.as_py(), np.uint8) for c in group.column("counts")])
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        heavy = keys[starts][np.add.reduceat(counts, starts) > most]
-        bits = np.zeros(width, bool)
-        bits[heavy >> np.uint32(32 - (CELL_BITS - BUCKET_BITS))] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    sent = texts.select("k", "t").mapInArrow(send, "bucket int, keys binary, counts binary")
-    out = np.zeros((1 << BUCKET_BITS, width // 8), np.uint8)
-    for row in sent.groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").where(F.col("bits").isNotNull()).toLocalIterator():
+        heavy = keys[starts][np.add.reduceat(counts, starts, dtype=np.int64) > most]
+        cells = np.zeros(width, bool)
+        cells[heavy >> np.uint32(32 - (CELL_BITS - bits))] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(cells).tobytes()], pa.binary())})
+
+    sent = frame.mapInArrow(send, "bucket int, keys binary, counts binary")
+    out = np.zeros((1 << bits, width // 8), np.uint8)
+    for row in sent.groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").where(F.col("bits").isNotNull()).collect():  # 8 MB
         out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()

@@ -2,15 +2,18 @@
 
 1. Anchors: of every 161 neighbouring 40-byte grams of a text the one of the smallest hash. Equal
    200-byte strings hold the same anchor at the same place, so each repeat is seen at an anchor.
-   Gram hashes come from prefix polynomial hashes.
-2. Anchors whose hash repeats (a bitmap of fixed size, counted over all documents) become rows. An
-   anchor whose whole surroundings repeat is covered as far as they reach; this settles
+   Gram hashes come from prefix polynomial hashes. A 200-byte string around an anchor holds the 80
+   bytes left or right of it as well, so only anchors are kept whose gram with one of these sides
+   repeats (a bitmap of fixed size, counted over all documents).
+2. An anchor whose whole surroundings repeat is covered as far as they reach; this settles
    the inside of every copied passage with one aggregation, however many copies there are.
 3. The others lie near the edge of a passage. One for each different surroundings is kept, and the
    suffixes right and the reversed prefixes left of the anchors are sorted: a mergesort in which a
    comparison finds the common extension by binary search on prefix hashes. The order and the
    extensions are then verified byte by byte. Two anchors share a string that starts t bytes left
    exactly when they are in one run of both orders, of extensions of t and of 200 - t bytes.
+   Where more anchors share a gram than one task should sort, the gram is lengthened by half of
+   what is free on one side and on the other, and each longer gram is a group of its own.
 4. The covered stretches go back to their texts.
 
 Matches never cross texts; overlapping occurrences within a text count. Null texts are empty: no
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,9 @@ from strandline.runtime import discard, materialize, ship_package
 
 LENGTH, GRAM = 200, 40
 LEFT = LENGTH - GRAM  # how far left of an anchor a string that holds it can start
-#: Anchors of one hash beyond this number are compared by rows of windows, not in one group.
-HOT = 20_000
+SIDE = LEFT // 2
+#: Anchors of one gram beyond this number are split by longer grams before they are sorted.
+HOT = 5_000
 _VALUE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -65,57 +70,95 @@ def _span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return _mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the block, text, gram hash) of the anchors of a block of texts."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none.astype(np.uint64)
-    sums = _hashes(data)
-    _, inverse = _powers(len(sums))
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1]) | np.uint64(1)
-    least = _sliding(grams, LEFT + 1, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))  # for each start of a string
-    whole = np.ones(len(least), bool)
-    for seam in ends[1:-1].tolist():  # strings over a seam are none
-        whole[max(0, seam - LENGTH + 1) : seam] = False
-    least[~whole] = 0
-    around = np.zeros(len(least) + 2 * LEFT, np.uint64)
-    around[LEFT : LEFT + len(least)] = least
-    most = _sliding(around, LEFT + 1, np.maximum, np.uint64(0))[: len(grams)]
-    place = np.flatnonzero(most == grams)
-    # chosen hashes are small ones: mixed again, they spread over all buckets and cells
-    return place, np.searchsorted(ends, place, side="right") - 1, _mix(grams[place])
+class Anchors:
+    """The anchors of a block of texts: place in the block, text, reach to both sides and hashes.
+
+    `h` is the hash of the gram; `sides` those of the gram with the SIDE bytes left and right of
+    it, as far as the text has them. Every 200-byte string around a gram holds one of the two, so
+    an anchor neither of whose sides repeats lies in no repeated string.
+    """
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        self.ends, self.sums = ends, _hashes(data)
+        self.place = self._places(data) if len(data) >= LENGTH else np.zeros(0, np.int64)
+        self._reach()
+
+    def _places(self, data: np.ndarray) -> np.ndarray:
+        sums, ends = self.sums, self.ends
+        _, inverse = _powers(len(sums))
+        grams = _mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1]) | np.uint64(1)
+        least = _sliding(grams, LEFT + 1, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))  # for each start of a string
+        whole = np.ones(len(least), bool)
+        for seam in ends[1:-1].tolist():  # strings over a seam are none
+            whole[max(0, seam - LENGTH + 1) : seam] = False
+        least[~whole] = 0
+        around = np.zeros(len(least) + 2 * LEFT, np.uint64)
+        around[LEFT : LEFT + len(least)] = least
+        return np.flatnonzero(_sliding(around, LEFT + 1, np.maximum, np.uint64(0))[: len(grams)] == grams)
+
+    def _reach(self) -> None:
+        self.owner = np.searchsorted(self.ends, self.place, side="right") - 1
+        self.pos = self.place - self.ends[self.owner]
+        self.left = np.minimum(self.pos, LEFT)
+        self.right = np.minimum(self.ends[self.owner + 1] - self.place, LENGTH)
+        # chosen hashes are small ones: mixed again, they spread over all buckets and cells
+        self.h = _mix(_span_hash(self.sums, self.place, self.place + GRAM) + np.uint64(7))
+
+    def sides(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(which anchors have that side, hash of gram and side) for left and right."""
+        out = []
+        for has, before, after in ((self.left >= SIDE, SIDE, 0), (self.right >= GRAM + SIDE, 0, SIDE)):
+            at = self.place[has]
+            out.append((has, _mix(_span_hash(self.sums, at - before, at + GRAM + after) + np.uint64(before))))
+        return out
+
+    def keep(self, chosen: np.ndarray) -> None:
+        self.place = self.place[chosen]
+        self._reach()
+
+    def surroundings(self) -> np.ndarray:
+        return _mix(_span_hash(self.sums, self.place - self.left, self.place + self.right) + self.left.astype(np.uint64) * np.uint64(1009) + self.right.astype(np.uint64))
+
+    def sites(self, bodies: np.ndarray) -> np.ndarray:
+        """A hash of row and place, which tells the anchors of all texts apart."""
+        return _mix(bodies[self.owner].view(np.uint64) + self.pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _side_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for _, data, ends in blocks(batches):
+        yield np.concatenate([h for _, h in Anchors(data, ends).sides()])
 
 
 def _anchor_rows(texts: DataFrame, bitmap: np.ndarray, contexts: bool) -> DataFrame:
-    """Rows of the marked anchors: h, c (hash of the surroundings), k, body, pos, left, right[, context].
+    """Rows of the marked anchors: h, c (hash of the surroundings), site, k, body, pos, left, right[, context].
 
-    Without contexts the bitmap marks anchor hashes; with them, single anchors by c, body and pos.
+    Without contexts the bitmap marks sides; with them, the sites of single anchors.
     """
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
     kind = texts.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, ends in blocks(batches):
-            place, owner, h = anchors(data, ends)
-            if not contexts:
-                keep = marked(shared.value, h)
-                place, owner, h = place[keep], owner[keep], h[keep]
-            left = np.minimum(place - ends[owner], LEFT)
-            right = np.minimum(ends[owner + 1] - place, LENGTH)
-            c = _mix(_span_hash(_hashes(data), place - left, place + right) + left.astype(np.uint64) * np.uint64(1009) + right.astype(np.uint64)) if len(place) else h
-            if contexts:  # the one anchor that stands for its surroundings, by id of row and place
-                body = rows.column(2).to_numpy()[owner]
-                keep = marked(shared.value, (c.view(np.int64) ^ body ^ ((place - ends[owner]) << 38)).view(np.uint64))
-                place, owner, h, c, left, right = (x[keep] for x in (place, owner, h, c, left, right))
-            take = pa.array(owner)
-            columns = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), rows.column(0).take(take), rows.column(2).take(take), pa.array((place - ends[owner]).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
-            names = ["h", "c", "k", "body", "pos", "left", "right"]
+            found, bodies = Anchors(data, ends), rows.column(2).to_numpy()
             if contexts:
-                columns.append(pa.array([data[a:b].tobytes() for a, b in zip((place - left).tolist(), (place + right).tolist(), strict=True)], pa.binary()))
+                found.keep(marked(shared.value, found.sites(bodies)))
+            else:
+                repeats = np.zeros(len(found.place), bool)
+                for has, side in found.sides():
+                    repeats[has] |= marked(shared.value, side)
+                found.keep(repeats)
+            take = pa.array(found.owner)
+            columns = [pa.array(x.view(np.int64)) for x in (found.h, found.surroundings(), found.sites(bodies))]
+            columns += [rows.column(0).take(take), rows.column(2).take(take), *[pa.array(x.astype(np.int32)) for x in (found.pos, found.left, found.right)]]
+            names = ["h", "c", "site", "k", "body", "pos", "left", "right"]
+            if contexts:
+                cuts = zip((found.place - found.left).tolist(), (found.place + found.right).tolist(), strict=True)
+                columns.append(pa.array([data[a:b].tobytes() for a, b in cuts], pa.binary()))
                 names.append("context")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return texts.select("k", "t", "body").mapInArrow(run, f"h long, c long, k {kind}, body long, pos int, left int, right int" + ", context binary" * contexts)
+    shape = f"h long, c long, site long, k {kind}, body long, pos int, left int, right int"
+    return texts.select("k", "t", "body").mapInArrow(run, shape + ", context binary" * contexts)
 
 
 class SuffixOrder:
@@ -200,25 +243,30 @@ class SuffixOrder:
         return out
 
 
-def covered(contexts: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor how far left and right of it repeated strings reach; 0, 0 where none holds it."""
+def covered(contexts: list[bytes], left: np.ndarray, right: np.ndarray, gram: np.ndarray, free: int = LEFT) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor how far left and right of it repeated strings reach; 0, 0 where none holds it.
+
+    Only anchors of one gram (of LENGTH - free bytes) are compared: of two grams, one text may hold
+    both at such a distance that one and the same string would meet itself.
+    """
     n = len(contexts)
     flat = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(left + right) - (left + right)
-    rights, lefts = np.zeros((n, LENGTH), np.uint8), np.zeros((n, LEFT), np.uint8)
+    rights, lefts = np.zeros((n, LENGTH), np.uint8), np.zeros((n, max(free, 1)), np.uint8)
     column = np.arange(LENGTH)
     inside = column < right[:, None]
     rights[inside] = flat[(begin + left)[:, None].repeat(LENGTH, 1)[inside] + np.broadcast_to(column, inside.shape)[inside]]
-    column = np.arange(LEFT)
+    column = np.arange(lefts.shape[1])
     inside = column < left[:, None]
-    lefts[inside] = flat[(begin + left - 1)[:, None].repeat(LEFT, 1)[inside] - np.broadcast_to(column, inside.shape)[inside]]
+    lefts[inside] = flat[(begin + left - 1)[:, None].repeat(lefts.shape[1], 1)[inside] - np.broadcast_to(column, inside.shape)[inside]]
     forward, backward = SuffixOrder(rights, right), SuffixOrder(lefts, left)
     reach_left, reach_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(LEFT + 1):
+    _, gram = np.unique(gram, return_inverse=True)
+    for t in range(free + 1):
         able = np.flatnonzero((left >= t) & (right >= LENGTH - t))
         if len(able) < 2:
             continue
-        both = backward.runs(t)[able] * n + forward.runs(LENGTH - t)[able]
+        both = (backward.runs(t)[able] * n + forward.runs(LENGTH - t)[able]) * n + gram[able]
         _, group, counts = np.unique(both, return_inverse=True, return_counts=True)
         hit = able[counts[group] > 1]
         reach_left[hit] = t
@@ -226,79 +274,97 @@ def covered(contexts: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple
     return reach_left, reach_right
 
 
-def _edge_spans(edges: DataFrame, groups: int, hot: int | None) -> DataFrame:
-    """(k, body, from, to): what repeats around anchors of different surroundings.
-
-    `edges` has the size of each anchor's group; `hot` is None if no group is beyond the limit.
-    """
+def _edge_spans(edges: DataFrame, groups: int, free: int) -> DataFrame:
+    """(k, body, from, to): what repeats around anchors of different surroundings; equal h meet in one group."""
     kind = edges.schema["k"].dataType.simpleString()
 
     def solve(group: pa.Table) -> pa.Table:
         left, right = group.column("left").to_numpy().astype(np.int64), group.column("right").to_numpy().astype(np.int64)
-        a, b = covered(group.column("context").to_pylist(), left, right) if len(group) else (left, right)
+        a, b = covered(group.column("context").to_pylist(), left, right, group.column("h").to_numpy(), free) if len(group) else (left, right)
         keep = np.flatnonzero(b > 0)
         pos, take = group.column("pos").to_numpy().astype(np.int64), pa.array(keep)
         return pa.table({"k": group.column("k").take(take), "body": group.column("body").take(take), "from": pa.array(pos[keep] - a[keep]), "to": pa.array(pos[keep] + b[keep])})
 
-    shape = f"k {kind}, body long, from long, to long"
-    solved = (edges if hot is None else edges.where(F.col("size") <= hot)).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("g").applyInArrow(solve, shape)
+    dealt = edges.select("h", "k", "body", "pos", "left", "right", "context", F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInArrow(solve, f"k {kind}, body long, from long, to long")
 
-    if hot is None:
-        return solved
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [(i, t, hashlib.md5(c[x - t : x - t + LENGTH]).digest()) for i, (c, x, y) in enumerate(zip(part.column("context").to_pylist(), part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True)) for t in range(LEFT + 1) if x >= t and y >= LENGTH - t]
-                take = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("k").take(take), part.column("body").take(take), part.column("pos").take(take), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["k", "body", "pos", "t", "s"])
+def _narrowed(edges: DataFrame, free: int) -> tuple[DataFrame, int]:
+    """The anchors with their grams lengthened, once to the left and once to the right, and the free bytes left.
+
+    A repeated string around a gram reaches half of the free bytes to one of the two sides, so it
+    holds one of the longer grams.
+    """
+    less = free // 2
+    more, gram = free - less, LENGTH - free
 
-    rows = edges.where(F.col("size") > hot).select("k", "body", "pos", "left", "right", "context").mapInArrow(strings, f"k {kind}, body long, pos int, t int, s binary")
-    again = rows.groupBy("t", "s").agg(F.count("*").alias("n")).where("n > 1")
-    wide = rows.join(again, ["t", "s"]).select("k", "body", (F.col("pos") - F.col("t")).cast("long").alias("from"), (F.col("pos") - F.col("t") + LENGTH).cast("long").alias("to"))
-    return solved.unionByName(wide)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, pos = (batch.column(n).to_numpy().astype(np.int64) for n in ("left", "right", "pos"))
+            contexts, h = batch.column("context").to_pylist(), batch.column("h").to_numpy().view(np.uint64)
+            data = np.frombuffer(b"".join(contexts), np.uint8)
+            at = np.cumsum(left + right) - right  # places of the grams
+            sums = _hashes(data)
+            for has, before in ((left >= more, more), (right >= gram + more, 0)):
+                rows = np.flatnonzero(has)
+                start = at[rows] - before
+                new_left, new_right = np.minimum(left[rows] - before, less), np.minimum(right[rows] + before, gram + more + less)
+                key = _mix(_span_hash(sums, start, start + gram + more) + h[rows] + np.uint64(before))
+                c = _mix(_span_hash(sums, start - new_left, start + new_right) + new_left.astype(np.uint64) * np.uint64(1009) + new_right.astype(np.uint64))
+                take = pa.array(rows)
+                cuts = zip((start - new_left).tolist(), (start + new_right).tolist(), strict=True)
+                columns = [pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), *[batch.column(n).take(take) for n in ("site", "k", "body")]]
+                columns += [pa.array(x.astype(np.int32)) for x in (pos[rows] - before, new_left, new_right)] + [pa.array([data[a:b].tobytes() for a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "site", "k", "body", "pos", "left", "right", "context"])
+
+    columns = ["h", "c", "site", "k", "body", "pos", "left", "right", "context"]
+    return edges.select(*columns).mapInArrow(run, edges.select(*columns).schema), less
+
+
+def _settled(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """What the rows (h, c, site, ..) settle by aggregation: (k, body, from, to) of surroundings that
+    repeat, and the classes (h, c, site, size) that are left, one site for each different surroundings."""
+    classes = materialize(rows.groupBy("h", "c").agg(F.count("*").alias("m"), F.min("site").alias("site")), label)
+    full = rows.join(classes.where("m > 1").select("h", "c"), ["h", "c"]).select("k", "body", (F.col("pos") - F.col("left")).cast("long").alias("from"), (F.col("pos") + F.col("right")).cast("long").alias("to"))
+    sizes = classes.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    return full, classes.select("h", "c", "site").join(sizes, "h")
 
 
 def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(k, body, from, to): stretches of bytes to remove, which may overlap; texts has k, t and body."""
-    bitmap = repeat_bitmap(texts, lambda data, ends: anchors(data, ends)[2], 1)
+    bitmap = repeat_bitmap(texts.select("k", "t"), _side_hashes, 1)
     rows = materialize(_anchor_rows(texts, bitmap, False), "suffix-anchors")
-    groups = rows.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("h", "mixed")
-    shared = materialize(rows.join(groups, "h"), "suffix-shared")
-    classes = materialize(shared.where("mixed").groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("k", "body", "pos")).alias("rep")), "suffix-classes")
-    full = shared.where(~F.col("mixed")).select("k", "body", "pos", "left", "right").unionByName(
-        shared.where("mixed").join(classes.where("m > 1").select("h", "c"), ["h", "c"]).select("k", "body", "pos", "left", "right")
-    ).select("k", "body", (F.col("pos") - F.col("left")).cast("long").alias("from"), (F.col("pos") + F.col("right")).cast("long").alias("to"))
+    full, left = _settled(rows, "suffix-classes")
+    spans = [materialize(full, "suffix-spans")]
+    left = materialize(left, "suffix-left")
     discard(rows)
-    sizes = classes.groupBy("h").agg(F.count("*").alias("size"))
-    reps = classes.join(sizes, "h").select(F.col("h").alias("rh"), F.col("c").alias("rc"), F.col("rep.k").alias("rk"), F.col("rep.body").alias("rb"), F.col("rep.pos").alias("rp"), "size")
-    count, largest = reps.agg(F.count("*"), F.max("size")).first()
-    single = repeat_bitmap_of(classes.select(F.col("c").bitwiseXOR(F.col("rep.body")).bitwiseXOR(F.shiftleft(F.col("rep.pos").cast("long"), 38)).alias("h")))
+    single = repeat_bitmap(left.select("site"), _site_hashes, 0)
     around = _anchor_rows(texts, single, True)
+    names = left.select(F.col("h").alias("lh"), F.col("c").alias("lc"), F.col("site").alias("ls"), "size")
     # keys h and c alone, so that repeated rows meet in the same task and drop out without another shuffle
-    itself = (F.col("body").bitwiseXOR(F.col("rb")) == 0) & (F.col("pos") - F.col("rp") == 0)
-    chosen = around.join(reps, (around["h"] == reps["rh"]) & (around["c"] == reps["rc"]) & itself)
-    edges = chosen.select("h", "c", "k", "body", "pos", "left", "right", "context", "size").dropDuplicates(["h", "c"]).drop("c")
-    edge = _edge_spans(edges, max(16, -(-count // 4_000)), hot if (largest or 0) > hot else None)
-    out = materialize(full.unionByName(edge), "suffix-spans")
-    discard(shared)
-    discard(classes)
-    return out
-
-
-def repeat_bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """The bitmap that marks the hashes of a column h: tasks set bits, the driver joins 8 MB at most."""
-    from strandline.llm.repeat_bitmap import CELL_BITS
-
-    cells = hashes.select(F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")).groupBy(F.shiftright("cell", 14).alias("part")).agg(F.collect_set(F.col("cell").bitwiseAND(F.lit((1 << 14) - 1)).cast("short")).alias("cells"))
-    out = np.zeros((1 << CELL_BITS) // 8, np.uint8)
-    bits = np.zeros(1 << 14, bool)
-    for row in cells.toLocalIterator():
-        bits[:] = False
-        bits[row["cells"]] = True
-        out[row["part"] * 2048 : (row["part"] + 1) * 2048] = np.packbits(bits)
-    return out
+    itself = (around["h"] == names["lh"]) & (around["c"] == names["lc"]) & (F.col("site").bitwiseXOR(F.col("ls")) == 0)
+    edges = materialize(around.join(names, itself).select(*around.columns, "size").dropDuplicates(["h", "c"]), "suffix-edges")
+    free = LEFT
+    while True:
+        count, largest = edges.agg(F.count(F.when(F.col("size") <= hot, 1)), F.max("size")).first()
+        if count:
+            spans.append(materialize(_edge_spans(edges.where(F.col("size") <= hot), max(16, -(-count // 4_000)), free), "suffix-spans"))
+        if (largest or 0) <= hot:
+            break
+        # groups beyond the limit are split by longer grams, until they fit or nothing is left to compare
+        narrowed, free = _narrowed(edges.where(F.col("size") > hot), free)
+        narrow = materialize(narrowed, "suffix-narrow")
+        full, left = _settled(narrow, "suffix-classes")
+        spans.append(materialize(full, "suffix-spans"))
+        names = left.select(F.col("h").alias("lh"), F.col("c").alias("lc"), F.col("site").alias("ls"), "size")
+        itself = (narrow["h"] == names["lh"]) & (narrow["c"] == names["lc"]) & (F.col("site").bitwiseXOR(F.col("ls")) == 0)
+        edges = materialize(narrow.join(names, itself).select(*narrow.columns, "size").dropDuplicates(["h", "c"]), "suffix-edges")
+    return reduce(DataFrame.unionByName, spans)
+
+
+def _site_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield batch.column(0).to_numpy().view(np.uint64)
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, keep_text: bool = False) -> DataFrame:

@@ -263,6 +263,17 @@ def test_suffix_dedup(docs, empty, hot):
         assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_passage_in_very_many_texts(spark):
+    """One passage between different words: groups beyond the limit are split, on every level."""
+    rng = random.Random(12)
+    passage, edge = words(rng, 70, 3000), words(rng, 3, 50)
+    rows = [(i, f"{words(rng, rng.randrange(40), 60)} {edge[: rng.randrange(20)]}{passage[rng.randrange(120):]} {words(rng, rng.randrange(30), 60)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = sorted((i, *w) for (i, _), w in zip(rows, brute_removed([t for _, t in rows]), strict=True))
+    for hot in (1, 40):
+        assert sorted(tuple(r) for r in suffix_dedup.dedup(df, hot=hot).collect()) == wanted
+
+
 def test_suffix_order_is_sorted():
     rng = np.random.default_rng(1)
     for width in (1, 7, 40):
