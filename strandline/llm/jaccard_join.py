@@ -1,19 +1,21 @@
 """Exact Jaccard self-join of word-shingle sets, with set-relation skipping, and its components.
 
-Sets are ordered by one global order, rare shingles first, and an inverted index holds the prefix of
-each set. Two relations between sets spare most of the work:
-
-* by position: a shared shingle at positions i and j bounds the overlap, so pairs of list entries
-  that cannot reach the threshold are dropped once formed (long lists are blocked by size class
-  only, not by position); a parity bitmap of the whole set bounds the difference and skips
-  further pairs;
-* by answers: in a long list (a common shingle) sets are compared with one hub set, and the answers
-  of a set that links to the hub are derived from the hub's: it belongs to the hub's component, and
-  only sets that lie elsewhere, and not too far from the hub for the triangle inequality of the
-  Jaccard distance, are compared with it.
-
-Equal sets are one vertex (64-bit set hash), so copies cost nothing. "Common" is decided from counts over
-all documents and kept in a bitmap of fixed size; a false mark there costs time, never a link.
+Sets are ordered by one global order (shingles of one document first, then rare ones, then common
+ones), and an inverted index holds the prefix of each set. Relations between sets spare most of the work:
+
+* by position: the entries of an index list stand in blocks of equal size, in each by position. Two
+  blocks whose sizes are too far apart are skipped; of the others only the entries up to the last
+  position that leaves room for the least overlap are paired, the rest of the block is skipped. A
+  parity bitmap of the whole set bounds the difference and skips further pairs;
+* by answers: each set is first compared with one highly similar set (the smallest candidate; in a
+  long list the hub), and takes over its answer, the component. Pairs within one component are
+  never compared; only those that still lie apart are;
+* what a long list has not settled by then is looked up again by parts: linked sets differ in d
+  shingles at most, so of d + 1 parts of their shingles they agree on one whole part. This takes
+  the place of pairing a common shingle's list with itself.
+
+Equal sets are one vertex (128 hash bits), so copies cost nothing. "Common" is decided from counts over
+all documents and kept in bitmaps of fixed size; a false mark there costs time, never a link.
 
 Null and empty texts have no shingles, link with nothing and are their own component. A text of one or
 two words is one shingle. Rows of one id and different texts are
@@ -24,20 +26,24 @@ null id. Further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.repeat_bitmap import marked, repeat_bitmap
-from strandline.llm.text_blocks import blocks
-from strandline.runtime import materialize, ship_package
+from strandline.llm.repeat_bitmap import bucket_bits, marked, repeat_bitmap, repeat_bitmaps
+from strandline.llm.text_blocks import BLOCK_BYTES, blocks
+from strandline.runtime import discard, materialize, ship_package
 
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 9, 10
 #: A shingle in more than COMMON documents is common.
-COMMON, BUCKET_BITS = 16, 10
+COMMON = 16
 BITMAP_WORDS = 8
+#: Texts whose parity bits are counted at a time.
+SLICE = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,150 +120,215 @@ def least_overlap(a, b):
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-def _ordered(own: np.ndarray, hashes: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of each text in the global order: rare ones first, then by hash."""
-    common = marked(bitmap, hashes)
-    order = np.lexsort((hashes, common, own))
-    return own[order], hashes[order], common[order]
+def _set_hashes(own: np.ndarray, hashes: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two 64-bit hashes of the set of each text; own is sorted."""
+    n = np.bincount(own, minlength=texts)
+    filled = np.flatnonzero(n)
+    vertex, check = np.zeros(texts, np.uint64), np.zeros(texts, np.uint64)
+    if len(filled):
+        starts = (np.cumsum(n) - n)[filled]
+        vertex[filled] = _mix(np.add.reduceat(_mix(hashes), starts) + n[filled].astype(np.uint64))
+        check[filled] = np.add.reduceat(_mix(hashes ^ _MIX), starts)
+    return n, vertex, check
+
+
+def _parity(own: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
+    """BITMAP_WORDS words for each text: parities of its shingles by slot."""
+    slots, out = 64 * BITMAP_WORDS, []
+    slot = (_mix(hashes + _MIX) >> np.uint64(55)).astype(np.int64)
+    for at in range(0, texts, SLICE):
+        a, b = np.searchsorted(own, (at, at + SLICE))
+        size = min(SLICE, texts - at)
+        odd = np.bincount((own[a:b] - at) * slots + slot[a:b], minlength=size * slots) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(size, slots), axis=1, bitorder="little").view(np.int64))
+    return np.concatenate(out)
 
 
 def _set_rows(shared) -> callable:
-    """Rows of (k, n, vertex, check, prefix, rare, bitmap) for each text; see `describe`."""
+    """Rows of (k, n, vertex, check, prefix, lone, rare, bitmap) for each text; see `describe`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, ends in blocks(batches):
             texts = len(ends) - 1
-            own, hashes, common = _ordered(*shingles(data, ends), shared.value)
-            n = np.bincount(own, minlength=texts)
-            starts = np.cumsum(n) - n
-            filled = np.flatnonzero(n)
-            vertex, check = np.zeros(texts, np.uint64), np.zeros(texts, np.uint64)
-            bits = np.zeros((texts, 64 * BITMAP_WORDS), np.uint8)
-            if len(filled):
-                vertex[filled] = _mix(np.add.reduceat(_mix(hashes), starts[filled]) + n[filled].astype(np.uint64))
-                check[filled] = np.add.reduceat(_mix(hashes ^ _MIX), starts[filled])
-                slot = own * (64 * BITMAP_WORDS) + (_mix(hashes + _MIX) >> np.uint64(55)).astype(np.int64)
-                bits = (np.bincount(slot, minlength=texts * 64 * BITMAP_WORDS) & 1).astype(np.uint8).reshape(texts, -1)
-            rare = np.bincount(own[~common], minlength=texts)
+            own, hashes = shingles(data, ends)
+            n, vertex, check = _set_hashes(own, hashes, texts)
+            level = sum(marked(bitmap, hashes).astype(np.int8) for bitmap in shared.value)
+            order = np.lexsort((hashes, level, own))
+            hashes, level = hashes[order], level[order]
+            lone, rare = np.bincount(own[level == 0], minlength=texts), np.bincount(own[level < 2], minlength=texts)
             prefix = np.where(n > 0, n - (-(-NUMERATOR * n // DENOMINATOR)) + 1, 0)
-            take = np.arange(len(own)) - starts[own] < prefix[own]
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            place = np.arange(len(own)) - (np.cumsum(n) - n)[own]
+            take = (place >= lone[own]) & (place < prefix[own])
+            held = np.maximum(prefix - lone, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
                     pa.array(n, pa.int64()),
                     pa.array(vertex.view(np.int64)),
                     pa.array(check.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)], pa.int32()), pa.array(hashes[take].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)], pa.int32()), pa.array(hashes[take].view(np.int64))),
+                    pa.array(lone, pa.int32()),
                     pa.array(rare, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(texts + 1) * BITMAP_WORDS, pa.int32()), pa.array(packed.ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(texts + 1) * BITMAP_WORDS, pa.int32()), pa.array(_parity(own, hashes, texts).ravel())),
                 ],
-                names=["k", "n", "vertex", "check", "prefix", "rare", "bitmap"],
+                names=["k", "n", "vertex", "check", "prefix", "lone", "rare", "bitmap"],
             )
 
     return run
 
 
-def describe(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """For each text: size of its set, hashes of the set, its prefix in the global order, the number of
-    its rare shingles and its parity bitmap."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+def describe(texts: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
+    """For each text: size of its set, hashes of the set, the part of its prefix in the global order that
+    other documents may hold, the numbers of its lone and of its lone and rare shingles, and its parity bitmap."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
     kind = texts.schema["k"].dataType.simpleString()
-    return texts.select("k", "t").mapInArrow(_set_rows(shared), f"k {kind}, n long, vertex long, check long, prefix array<long>, rare int, bitmap array<long>")
+    return texts.select("k", "t").mapInArrow(_set_rows(shared), f"k {kind}, n long, vertex long, check long, prefix array<long>, lone int, rare int, bitmap array<long>")
+
 
+def block_pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of the same list whose sizes and positions allow the threshold.
 
-def _light_pairs(sets: DataFrame) -> DataFrame:
+    The entries come sorted by list, size and position. Sizes of a list are blocks; two blocks
+    meet only if their sizes are near enough, and then only up to the last position of each that
+    leaves room for the least overlap.
+    """
+    total = len(token)
+    start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (size[1:] != size[:-1])]) if total else np.zeros(0, np.int64)
+    stop, width = np.r_[start[1:], total], int(place.max(initial=0)) + 2
+    code = np.repeat(np.arange(len(start)), stop - start) * width + place
+    for gap in count():
+        i = np.arange(len(start) - gap)
+        i = i[token[start[i]] == token[start[i + gap]]] if len(i) else i
+        if not len(i):
+            return
+        j = i + gap
+        i, j = (x[DENOMINATOR * size[start[i]] >= NUMERATOR * size[start[j]]] for x in (i, j))
+        least = least_overlap(size[start[i]], size[start[j]])
+        first, second = (np.searchsorted(code, b * width + np.clip(size[start[b]] - least, -1, width - 1), "right") - start[b] for b in (i, j))
+        pairs = np.maximum(first, 0) * np.maximum(second, 0)
+        held = np.flatnonzero(pairs)
+        i, j, second, pairs = i[held], j[held], second[held], pairs[held]
+        nth = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        across = np.repeat(second, pairs)
+        a, b = np.repeat(start[i], pairs) + nth // np.maximum(across, 1), np.repeat(start[j], pairs) + nth % np.maximum(across, 1)
+        yield (a[a < b], b[a < b]) if gap == 0 else (a, b)
+
+
+def _light_pairs(sets: DataFrame, bits: int) -> DataFrame:
     """(a, b): pairs that share a rare shingle of their prefixes and pass the bounds on size and position.
 
     A rare shingle is in few documents, so its list is short; lists are dealt evenly by their hash.
     """
-    span = 1 << BUCKET_BITS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, rare = batch.column("prefix"), batch.column("rare").to_numpy()
+            lists, lone = batch.column("prefix"), batch.column("lone").to_numpy()
             sizes = np.diff(np.asarray(lists.offsets))
             token = lists.flatten().to_numpy()
             row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = place < rare[row]
+            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lone[row]
+            keep = place < batch.column("rare").to_numpy()[row]
             token, row, place = token[keep], row[keep], place[keep]
-            bucket = (token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            bucket = (token.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(span + 1))
-            there = np.flatnonzero(np.diff(cuts))
-            columns = [token, batch.column("vertex").to_numpy()[row], batch.column("n").to_numpy()[row], place.astype(np.int64)]
+            bucket = bucket[order]
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+            cuts = np.r_[starts, len(bucket)].tolist()
+            columns = [token, batch.column("id").to_numpy()[row], batch.column("n").to_numpy()[row], place.astype(np.int64)]
             packed = np.stack([c[order] for c in columns], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in there], pa.binary())], names=["bucket", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "entries"])
 
     def pair(group: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(e.as_py(), np.int64).reshape(-1, 4) for e in group.column("entries")])
-        # in the order of a list: by size, then by position
-        entries = entries[np.lexsort((entries[:, 3], entries[:, 2], entries[:, 0]))]
-        found = []
-        gap = 1
-        while True:  # entries `gap` apart in the same list; lists are short
-            same = np.flatnonzero(entries[gap:, 0] == entries[:-gap, 0]) if gap < len(entries) else np.zeros(0, np.int64)
-            if not len(same):
-                break
-            s, r = entries[same], entries[same + gap]
-            reach = 1 + np.minimum(s[:, 2] - s[:, 3], r[:, 2] - r[:, 3]) - 1
-            fits = (DENOMINATOR * s[:, 2] >= NUMERATOR * r[:, 2]) & (reach >= least_overlap(s[:, 2], r[:, 2])) & (s[:, 1] != r[:, 1])
-            a, b = s[fits, 1], r[fits, 1]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            gap += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        token, name, size, place = entries[np.lexsort((entries[:, 3], entries[:, 2], entries[:, 0]))].T
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in block_pairs(token, size, place):
+            found.append(np.stack([np.minimum(name[a], name[b]), np.maximum(name[a], name[b])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    sent = sets.select("vertex", "n", "prefix", "rare").mapInArrow(send, "bucket int, entries binary")
-    return sent.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
+    sent = sets.select("id", "n", "prefix", "lone", "rare").mapInArrow(send, "bucket int, entries binary")
+    return sent.groupBy("bucket").applyInArrow(pair, "a long, b long")
 
 
 def _long_lists(sets: DataFrame) -> DataFrame:
-    """(token, class, vertex, n, place, rare): prefix entries of common shingles, by size class.
+    """(token, class, id, n, place, rare): prefix entries of common shingles, by size class.
 
     Sets that can link are in one class or in neighbouring ones, so each entry stands in two.
     """
     level = F.floor(F.log(F.col("n")) / F.lit(float(np.log(DENOMINATOR / NUMERATOR)))).cast("int")
-    entries = sets.where(F.col("rare") < F.size("prefix")).select("vertex", "n", "rare", F.posexplode("prefix").alias("place", "token")).where(F.col("place") >= F.col("rare"))
-    return entries.select("token", F.explode(F.array(level, level + 1)).alias("class"), "vertex", "n", "place", "rare")
+    entries = sets.where(F.col("rare") < F.col("lone") + F.size("prefix")).select("id", "n", "rare", "lone", F.posexplode("prefix").alias("at", "token"))
+    entries = entries.withColumn("place", F.col("at") + F.col("lone")).where(F.col("place") >= F.col("rare"))
+    return entries.select("token", F.explode(F.array(level, level + 1)).alias("class"), "id", "n", "place", "rare")
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb, ba, bb) whose sizes and bitmaps allow the threshold."""
-    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and bitmaps allow the threshold."""
+    a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
+    b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
     differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
+    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
     # overlap o >= 9 (na + nb) / 19, and the sets differ in na + nb - 2 o shingles at most
-    return pairs.where((DENOMINATOR * smaller >= NUMERATOR * larger) & (differ * (NUMERATOR + DENOMINATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR)))
+    fits = (DENOMINATOR * smaller >= NUMERATOR * larger) & (differ * (NUMERATOR + DENOMINATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR))
+    return pairs.distinct().join(a, "a").join(b, "b").where(fits).select("a", "b")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, distance): candidate pairs with the exact Jaccard distance of their sets.
+def _wanted_texts(texts: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, t): one text of each wanted set, read once and written for all comparisons.
 
-    Only the sets of candidates are made, from their texts; each pair meets its two sets by joins.
+    A bitmap of text hashes picks the rows, the hashes of their sets decide.
     """
-    about = sets.select("vertex", "n", "bitmap", "rep")
-    a = about.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
-    b = about.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-    likely = materialize(_bounded(pairs.join(a, "a").join(b, "b")).select("a", "b", "na", "nb"), "jaccard-pairs")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(about.select("vertex", "rep"), "vertex").select("rep").distinct()
-    chosen = texts.join(wanted, texts["row"] == wanted["rep"], "left_semi")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, ends in blocks(batches):
-            own, hashes = shingles(data, ends)
-            n = np.bincount(own, minlength=len(ends) - 1)
-            filled = np.flatnonzero(n)
-            vertex = _mix(np.add.reduceat(_mix(hashes), (np.cumsum(n) - n)[filled]) + n[filled].astype(np.uint64)) if len(filled) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(vertex.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[filled])], pa.int32()), pa.array(hashes.view(np.int64)))], names=["vertex", "members"])
+    named = sets.join(wanted.distinct(), "id", "left_semi").select("id", "vertex", "check", "rep")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield _mix(batch.column(0).to_numpy().view(np.uint64))
+
+    named = materialize(named, "jaccard-named")
+    shared = texts.sparkSession.sparkContext.broadcast(repeat_bitmap(named.select("rep"), hashes, 0))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.flatnonzero(marked(shared.value, _mix(batch.column(0).to_numpy().view(np.uint64))))
+            for rows, data, ends in blocks(iter([batch.take(pa.array(keep))])):
+                _, vertex, check = _set_hashes(*shingles(data, ends), len(ends) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(vertex.view(np.int64)), pa.array(check.view(np.int64)), rows.column(1)], names=["vertex", "check", "t"])
+
+    found = texts.select("body", "t").mapInArrow(pick, "vertex long, check long, t string").dropDuplicates(["vertex", "check"])
+    return materialize(found.join(named, ["vertex", "check"]).select("id", "t"), "jaccard-texts")
 
-    full = materialize(chosen.select("k", "t").mapInArrow(members, "vertex long, members array<long>").dropDuplicates(["vertex"]), "jaccard-sets")
-    left, right = full.select(F.col("vertex").alias("a"), F.col("members").alias("ma")), full.select(F.col("vertex").alias("b"), F.col("members").alias("mb"))
-    overlap = F.size(F.array_intersect("ma", "mb")).cast("long")
-    both = likely.join(left, "a").join(right, "b").select("a", "b", "na", "nb", overlap.alias("o"))
-    return both.select("a", "b", "o", (F.col("na") + F.col("nb") - F.col("o")).alias("u")).select(
-        "a", "b", (1 - F.col("o") / F.col("u")).alias("distance"), (DENOMINATOR * F.col("o") >= NUMERATOR * F.col("u")).alias("linked")
-    )
+
+def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that link, by the exact overlap of their sets."""
+
+    def side(column: pa.Array, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        _, data, ends = next(blocks(iter([pa.RecordBatch.from_arrays([column.slice(at, to - at)], names=["t"])]), 0, 1 << 62))
+        return shingles(data, ends)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.add(pc.binary_length(batch.column("ta")), pc.binary_length(batch.column("tb"))).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+                (own_a, a), (own_b, b) = side(batch.column("ta"), at, to), side(batch.column("tb"), at, to)
+                own, hashes = np.concatenate([own_a, own_b]), np.concatenate([a, b])
+                order = np.lexsort((hashes, own))
+                own, hashes = own[order], hashes[order]
+                both = np.bincount(own[1:][(own[1:] == own[:-1]) & (hashes[1:] == hashes[:-1])], minlength=to - at)
+                union = np.bincount(own, minlength=to - at) - both
+                linked = pa.array(np.flatnonzero(DENOMINATOR * both >= NUMERATOR * union) + at)
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(linked), batch.column("b").take(linked)], names=["a", "b"])
+                at = to
+
+    left, right = full.select(F.col("id").alias("a"), F.col("t").alias("ta")), full.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    a, b = labels.select(F.col("vertex").alias("a"), F.col("label").alias("la")), labels.select(F.col("vertex").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(a, "a").join(b, "b").where("la != lb").select("a", "b")
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -267,81 +338,106 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = materialize(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
     labels = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("vertex"), "label"), "labels")
+    held = labels
     while True:
         passed = both.join(labels.withColumnRenamed("vertex", "y"), "y").groupBy("x").agg(F.min("label").alias("near")).withColumnRenamed("x", "vertex")
         stepped = labels.join(passed, "vertex").select("vertex", F.least("label", "near").alias("to"), F.col("label").alias("before"))
         jumps = labels.select(F.col("vertex").alias("to"), F.col("label").alias("beyond"))
         following = materialize(stepped.join(jumps, "to").select("vertex", F.least("to", "beyond").alias("label"), "before"), "labels")
         changed = following.where(F.col("label") != F.col("before")).limit(1).count()
-        labels = following.select("vertex", "label")
+        discard(held)
+        held, labels = following, following.select("vertex", "label")
         if not changed:
+            discard(both)
             return vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("label"))
 
 
-HUB_ROUNDS = 3
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): each entry of a long list with the hub of the list, the set of the fewest rare shingles."""
+    hub = lists.groupBy("token", "class").agg(F.min(F.struct("rare", "id", "n", "place")).alias("h"), F.count("*").alias("m")).where("m > 1")
+    near = lists.join(hub.select("token", "class", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.place").alias("hp")), ["token", "class"]).where("id != hub")
+    reach = F.least(F.col("n") - F.col("place"), F.col("hn") - F.col("hp"))
+    near = near.where((reach * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("hn")) * NUMERATOR) & (DENOMINATOR * F.least("n", "hn") >= NUMERATOR * F.greatest("n", "hn")))
+    return near.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
+def _part_keys(members: DataFrame) -> DataFrame:
+    """(key, id, label) of members (id, class, label, t): the parts of a set on which sets that it links to agree.
+
+    Two linked sets of a class differ in d shingles at most, so of d + 1 parts one is equal.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, ends in blocks(batches, 3):
+            own, hashes = shingles(data, ends)
+            level = rows.column("class").to_numpy().astype(np.int64)
+            largest = np.ceil((DENOMINATOR / NUMERATOR) ** (level + 1.0)).astype(np.int64) + 1
+            parts = 2 * largest * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR) + 1
+            first = np.cumsum(parts) - parts
+            part = first[own] + (_mix(hashes ^ np.uint64(0x5BD1E995)) % parts[own].astype(np.uint64)).astype(np.int64)
+            sums = np.zeros(int(parts.sum()), np.uint64)
+            np.add.at(sums, part, _mix(hashes + np.uint64(0x1B873593)))
+            row = np.repeat(np.arange(len(parts)), parts)
+            nth = (np.arange(len(row)) - first[row]).astype(np.uint64)
+            keys = _mix(_mix(sums) + nth * _MIX + level[row].astype(np.uint64) * np.uint64(0xE6546B64))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), rows.column("id").take(take), rows.column("label").take(take)], names=["key", "id", "label"])
+
+    return members.select("id", "class", "label", "t").mapInArrow(run, "key long, id long, label long")
+
+
+def _part_pairs(lists: DataFrame, labels: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b): sets of different components that share a long list and agree on a part."""
+    placed = lists.select("token", "class", F.col("id").alias("vertex")).join(labels, "vertex")
+    mixed = placed.groupBy("token", "class").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "class")
+    members = placed.join(mixed, ["token", "class"]).select(F.col("vertex").alias("id"), "class", "label").distinct()
+    keys = materialize(_part_keys(members.join(full, "id")), "jaccard-parts")
+    # of each key the largest component is one side only, so that copies of one text never meet each other
+    main = keys.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("x.label").alias("main"))
+    split = keys.join(main, "key")
+    asks = split.where("label != main").select("key", F.col("id").alias("ask"), F.col("label").alias("own"))
+    met = split.join(asks, "key").where("label != own AND (label = main OR id < ask)")
+    return met.select(F.least("id", "ask").alias("a"), F.greatest("id", "ask").alias("b"))
 
 
 def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described rows, components of vertices) of texts (row, k, t)."""
+    """(rows k, n, label; components vertex, label of all sets) of texts (row, body, t)."""
     ship_package(texts.sparkSession)
-    bitmap = repeat_bitmap(texts.select("k", "t"), _shingle_hashes, COMMON)
-    rows = materialize(describe(texts.select(F.col("row").alias("k"), "t"), bitmap), "jaccard-rows")
-    filled = rows.where(F.col("n") > 0)
-    # one row for each vertex, however many rows are its smallest; all of a vertex describe the same set
-    same = [F.first(c).alias(c) for c in ("n", "prefix", "rare", "bitmap")]
-    sets = materialize(filled.groupBy("vertex").agg(F.min("k").alias("rep"), *same), "jaccard-reps")
-    links = materialize(_verify(_light_pairs(sets), sets, texts).where("linked").select("a", "b"), "jaccard-links")
-    vertices = sets.select("vertex")
-    labels = components(vertices, links)
+    plain = texts.select(F.col("row").alias("k"), "t")
+    bitmaps = repeat_bitmaps(plain, _shingle_hashes, [1, COMMON])
+    rows = materialize(describe(plain, bitmaps), "jaccard-rows")
+    same = [F.first(c).alias(c) for c in ("n", "prefix", "lone", "rare", "bitmap")]
+    found = rows.where(F.col("n") > 0).groupBy("vertex", "check").agg(F.min("k.body").alias("rep"), *same)
+    sets = materialize(found.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
     lists = materialize(_long_lists(sets), "jaccard-lists")
-    known: DataFrame | None = None  # distances to hubs
-    done = lists.sparkSession.createDataFrame([], "token long, class int, hub long")
-    for turn in range(HUB_ROUNDS + 1):
-        placed = lists.join(labels, "vertex")
-        spread = placed.groupBy("token", "class").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token", "class")
-        open_ = materialize(placed.join(spread, ["token", "class"]).join(done.withColumnRenamed("hub", "vertex").withColumn("past", F.lit(True)), ["token", "class", "vertex"], "left"), "jaccard-open")
-        if not open_.limit(1).count():
-            break
-        if turn < HUB_ROUNDS:
-            hubs = materialize(
-                open_.where(F.col("past").isNull()).groupBy("token", "class").agg(F.min(F.struct("rare", "vertex", "n", "place", "label")).alias("h")).select(
-                    "token", "class", F.col("h.vertex").alias("hub"), F.col("h.n").alias("hn"), F.col("h.place").alias("hp"), F.col("h.label").alias("hl")
-                ),
-                "jaccard-hubs",
-            )
-            near = open_.join(hubs, ["token", "class"]).where(F.col("hl") != F.col("label"))
-            done = materialize(done.unionByName(hubs.select("token", "class", "hub")), "jaccard-done")
-        else:  # what hubs have not settled: pairs between different components, in full
-            other = open_.where(F.col("past").isNull()).select("token", "class", F.col("vertex").alias("hub"), F.col("n").alias("hn"), F.col("place").alias("hp"), F.col("label").alias("hl"))
-            near = open_.where(F.col("past").isNull()).join(other, ["token", "class"]).where((F.col("hl") != F.col("label")) & (F.col("vertex") < F.col("hub")))
-        reach = F.least(F.col("n") - F.col("place"), F.col("hn") - F.col("hp"))
-        near = near.where((reach * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("hn")) * NUMERATOR) & (DENOMINATOR * F.least("n", "hn") >= NUMERATOR * F.greatest("n", "hn")))
-        pairs = near.select(F.least("vertex", "hub").alias("a"), F.greatest("vertex", "hub").alias("b")).distinct()
-        if turn == HUB_ROUNDS and known is not None:  # triangle inequality over the hubs both were compared with
-            da, db = known.select(F.col("vertex").alias("a"), "hub", F.col("distance").alias("da")), known.select(F.col("vertex").alias("b"), "hub", F.col("distance").alias("db"))
-            apart = pairs.join(da, "a").join(db, ["b", "hub"]).where(F.abs(F.col("da") - F.col("db")) > (DENOMINATOR - NUMERATOR) / DENOMINATOR + 1e-9).select("a", "b").distinct()
-            pairs = pairs.join(apart, ["a", "b"], "left_anti")
-        checked = materialize(_verify(pairs, sets, texts), "jaccard-checked")
-        if turn < HUB_ROUNDS:
-            named = hubs.select("hub").distinct()
-            seen = checked.join(named.withColumnRenamed("hub", "a"), "a").select(F.col("b").alias("vertex"), F.col("a").alias("hub"), "distance").unionByName(
-                checked.join(named.withColumnRenamed("hub", "b"), "b").select(F.col("a").alias("vertex"), F.col("b").alias("hub"), "distance")
-            )
-            known = materialize((seen if known is None else known.unionByName(seen)).distinct(), "jaccard-known")
-        fresh = checked.where("linked").select("a", "b")
+    candidates = materialize(_bounded(_light_pairs(sets, bucket_bits(plain)).unionByName(_hub_pairs(lists)), sets), "jaccard-pairs")
+    crowded = lists.join(lists.groupBy("token", "class").agg(F.count("*").alias("m")).where("m > 1"), ["token", "class"], "left_semi").select("id")
+    full = _wanted_texts(texts, sets, candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded))
+    # each set and its first candidate; those that link have one answer, and pairs within it are skipped
+    links = materialize(_verify(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), full), "jaccard-links")
+    vertices = sets.select(F.col("id").alias("vertex"))
+    labels = components(vertices, links)
+    for further in (lambda: _apart(candidates, labels), lambda: _bounded(_part_pairs(lists, labels, full), sets)):
+        fresh = materialize(_verify(further(), full), "jaccard-links")
         if fresh.limit(1).count():
-            links = materialize(links.unionByName(fresh), "jaccard-links")
+            links = links.unionByName(fresh)
             labels = components(vertices, links)
-    return rows, labels
+    names = sets.select("vertex", "check", "id").join(labels.withColumnRenamed("vertex", "id"), "id").select("vertex", "check", "label")
+    placed = rows.select("k", "n", "vertex", "check").join(names, ["vertex", "check"], "left").select("k", "n", F.when(F.col("n") > 0, F.col("label")).alias("label"))
+    out = materialize(placed, "jaccard-placed")
+    labels = materialize(labels, "jaccard-labels")
+    for used in (rows, sets, lists, candidates, full):
+        discard(used)
+    return out, labels
 
 
 def placed_rows(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, body, n, component of every row: the id and the hash of the text, the size of its set and the
     component of its vertex, null where the set is empty."""
-    texts = documents.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("body")).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
-    rows, labels = join_sets(texts)
-    placed = rows.join(labels, "vertex", "left")
-    return placed.select("k.id", "k.body", "n", F.when(F.col("n") > 0, F.col("label")).alias("component"))
+    body = F.xxhash64(text)
+    texts = documents.select(F.struct(F.col(key).alias("id"), body.alias("body")).alias("row"), body.alias("body"), F.col(text).alias("t"))
+    placed, _ = join_sets(texts)
+    return placed.select("k.id", "k.body", "n", F.col("label").alias("component"))
 
 
 def cluster(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

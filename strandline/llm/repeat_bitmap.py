@@ -37,13 +37,18 @@ def bucket_bits(frame: DataFrame) -> int:
 
 
 def repeat_bitmap(frame: DataFrame, hashes_of: Hashes, most: int) -> np.ndarray:
-    """A bit for each of 2^CELL_BITS hash prefixes: whether a hash there occurs more than `most` times.
+    """The one bitmap of repeat_bitmaps."""
+    return repeat_bitmaps(frame, hashes_of, [most])[0]
+
+
+def repeat_bitmaps(frame: DataFrame, hashes_of: Hashes, limits: list[int]) -> list[np.ndarray]:
+    """For each limit a bit for each of 2^CELL_BITS hash prefixes: whether a hash there occurs more often.
 
     `hashes_of` gives the hashes of a task's batches. Tasks add up
     their own counts and send them packed by bucket, so a frequent hash costs no more than a rare
     one, and a bucket holds an even share of all hashes. The result has a fixed size.
     """
-    bits = bucket_bits(frame)
+    bits, most = bucket_bits(frame), max(limits)
     width = 1 << (CELL_BITS - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +81,14 @@ def repeat_bitmap(frame: DataFrame, hashes_of: Hashes, most: int) -> np.ndarray:
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        heavy = keys[starts][np.add.reduceat(counts, starts, dtype=np.int64) > most]
-        cells = np.zeros(width, bool)
-        cells[heavy >> np.uint32(32 - (CELL_BITS - bits))] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(cells).tobytes()], pa.binary())})
+        cell, total = keys[starts] >> np.uint32(32 - (CELL_BITS - bits)), np.add.reduceat(counts, starts, dtype=np.int64)
+        cells = np.zeros((len(limits), width), bool)
+        for i, limit in enumerate(limits):
+            cells[i, cell[total > limit]] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(cells, 1).tobytes()], pa.binary())})
 
     sent = frame.mapInArrow(send, "bucket int, keys binary, counts binary")
-    out = np.zeros((1 << bits, width // 8), np.uint8)
-    for row in sent.groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").where(F.col("bits").isNotNull()).collect():  # 8 MB
-        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.ravel()
+    out = np.zeros((len(limits), 1 << bits, width // 8), np.uint8)
+    for row in sent.groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").where(F.col("bits").isNotNull()).collect():  # 8 MB a limit
+        out[:, row["bucket"]] = np.frombuffer(row["bits"], np.uint8).reshape(len(limits), -1)
+    return [bitmap.ravel() for bitmap in out]

@@ -215,6 +215,37 @@ def test_jaccard(docs, empty, common, monkeypatch):
         assert jaccard_join.cluster(empty).count() == 0
 
 
+def test_jaccard_of_texts_around_the_threshold(spark, monkeypatch):
+    """Texts of one template: some link, some miss it by little, and chains run over several sets."""
+    monkeypatch.setattr(jaccard_join, "COMMON", 2)
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(template[: rng.choice([12, 60, 150])])
+        for _ in range(rng.randrange(0, 1 + len(w) // 14)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(rows)
+    assert 10 < len({c for _, c in got.values()}) < 150
+
+
+def test_block_pairs_skip_only_what_cannot_link():
+    rng = np.random.default_rng(4)
+    token, size, place = rng.integers(0, 6, 400), rng.integers(5, 30, 400), rng.integers(0, 4, 400)
+    order = np.lexsort((place, size, token))
+    token, size, place = token[order], size[order], place[order]
+    got = {(min(a, b), max(a, b)) for x, y in jaccard_join.block_pairs(token, size, place) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    wanted = set()
+    for a in range(400):
+        for b in range(a + 1, 400):
+            least = -(-9 * (size[a] + size[b]) // 19)
+            if token[a] == token[b] and 10 * size[a] >= 9 * size[b] and min(size[a] - place[a], size[b] - place[b]) >= least:
+                wanted.add((a, b))
+    assert got == wanted
+
+
 def test_jaccard_with_null_ids(spark):
     base = " ".join(f"v{i}" for i in range(100))
     rows = [(7, base), (None, base + " more"), (None, "alone in this text"), (9, base + " more words"), (None, None), (3, None)]
@@ -230,7 +261,7 @@ def test_jaccard_with_a_repeated_representative(spark):
     groups = brute_components([(i, t) for i, t in sorted({r for r in rows if r[0] is not None})]) | {None: (2, None)}
     want = collections.Counter((i, *groups[i]) for i, _ in rows)
     assert collections.Counter(map(tuple, jaccard_join.cluster(df).collect())) == want
-    texts = df.selectExpr("struct(doc_id AS id, xxhash64(text) AS body) AS row", "doc_id AS k", "text AS t")
+    texts = df.selectExpr("struct(doc_id AS id, xxhash64(text) AS body) AS row", "xxhash64(text) AS body", "text AS t")
     labels = [r.vertex for r in jaccard_join.join_sets(texts)[1].collect()]
     assert len(labels) == len(set(labels)) == 4
 
