@@ -1,11 +1,13 @@
 """Secret scan: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Patterns find assignments, access keys and long hexadecimal runs. Beside them every run of 16 or
-more identifier characters is scored under two character Markov models, one of random strings and
-one of ordinary identifiers, and is a secret where the ratio is beyond that of every ordinary
-identifier in the training sample. The labelled samples are: random, seeded draws over the usual
-key alphabets and the spans that the patterns find; ordinary, the other words of a bounded sample
-of the documents (`sample_rows`).
+more identifier characters outside these spans is scored under two character Markov models, one of
+random strings and one of ordinary identifiers, and is a secret where the log-likelihood ratio for each
+character is beyond the limit; of other runs the parts between separators are scored by themselves.
+The labelled samples are: random, seeded draws over the usual
+key alphabets and the spans that the patterns find; ordinary, made identifiers in the usual styles
+and the other words of a bounded sample of the documents (`sample_rows`). The limit is set by further
+labelled strings, the ordinary ones of other words. Runs of digits alone count as ordinary.
 
 Offsets count code points, the end is exclusive. Null and empty texts have no spans. Repeated
 rows give repeated rows; an empty table trains on the random strings alone and gives an empty
@@ -42,18 +44,20 @@ def _mask(allowed: bytes) -> np.ndarray:
 
 _DIGITS, _LOWER, _UPPER = b"0123456789", bytes(range(97, 123)), bytes(range(65, 91))
 _HEX, _SEPARATOR = _mask(_DIGITS + b"abcdef"), _mask(b":=")
-_WORD = _mask(_DIGITS + _LOWER + _UPPER + b"+/_=-")
+_WORD, _PART_ENDS = _mask(_DIGITS + _LOWER + _UPPER + b"+/_=-"), _mask(b"/=_-")
 #: Symbols of the Markov models: letters, digits and a few signs; 0 is the edge of a word.
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(_DIGITS + _LOWER + _UPPER + b"+/_=-")] = np.arange(1, 68)
 STATES = 68
+#: How often each made identifier counts beside the words of the sample.
+WEIGHT = 3.0
 
 
-def runs(data: np.ndarray, ends: np.ndarray, allowed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of allowed bytes of at least `least`, none across two texts."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = allowed[data]
-    edge = np.diff(inside)
+def runs(inside: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of marked bytes of at least `least`, none across two texts."""
+    padded = np.zeros(len(inside) + 2, np.int8)
+    padded[1:-1] = inside
+    edge = np.diff(padded)
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     inner = ends[1:-1]
     cut = np.unique(inner[(np.searchsorted(stop, inner, side="right") < len(stop))]) if len(stop) else inner[:0]
@@ -99,13 +103,59 @@ def transitions(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def random_samples(count: int = 3000) -> list[bytes]:
+def random_samples(count: int = 3000, seed: int = 5) -> list[bytes]:
     """Seeded draws over the alphabets keys are usually written in."""
-    random = np.random.default_rng(5)
+    random = np.random.default_rng(seed)
     alphabets = (_DIGITS + b"abcdef", _DIGITS + _LOWER, _DIGITS + _UPPER, _DIGITS + _LOWER + _UPPER, _DIGITS + _LOWER + _UPPER + b"+/", _DIGITS + _LOWER + _UPPER + b"-_")
     return [bytes(random.choice(list(alphabets[i % len(alphabets)]), random.integers(16, 65)).astype(np.uint8)) for i in range(count)]
 
 
+#: Words that names in programs are made of, dealt over training, calibration and testing by their place.
+PARTS = """
+abstract access account action active adapter address admin after alert alias align array async attribute audio author
+backup balance batch before binary block boolean border branch bucket buffer build button bytes cache callback cancel
+category channel char check child class clean client clock cluster code collection color column command commit config
+connection constant container content context control cookie counter create currency current cursor custom daemon data
+database date debug decode default delete device dialog digest directory disk document domain driver duration element
+email empty enable encode endpoint engine entity entry error event exception execute expression factory failed feature
+field file filter first flag folder format frame function gateway generic global group handler hash header height helper
+history host http image import index inner input insert instance integer interface internal invoice item iterator java
+json kernel keyboard label language layer length level library limit listener local lock logger manager mapping matrix
+maximum member memory message metadata method minimum mobile model module monitor network node notification number object
+offset operation option order output package page parameter parent parser password path payment permission pixel player
+""".split()
+#: Ways of writing a name.
+STYLES = ("snake", "constant", "camel", "pascal", "kebab", "path", "plain", "numbered", "dated")
+ACRONYMS = "API CSS DNS GUI HTML HTTP ID IO JSON PDF SQL TCP UI URL UTC UUID XML".split()
+
+
+def identifier_samples(count: int = 4000, seed: int = 6, part: str = "train") -> list[bytes]:
+    """Seeded identifiers in the usual styles; for training, calibration ("limit") and testing ("test") of different words."""
+    random = np.random.default_rng(seed)
+    words = [w for i, w in enumerate(PARTS) if {4: "test", 7: "limit"}.get(i % 9, "train") == part]
+    out = []
+    for i in range(count):
+        picked = [words[j] for j in random.integers(0, len(words), random.integers(2, 6))]
+        style = STYLES[i % len(STYLES)]
+        if style in ("camel", "pascal"):
+            cased = [ACRONYMS[random.integers(0, len(ACRONYMS))] if random.random() < 0.15 else w.capitalize() for w in picked]
+            name = "".join([picked[0], *cased[1:]] if style == "camel" else cased)
+        elif style == "numbered":
+            name = "_".join(picked) + str(random.integers(1, 1000))
+        elif style == "dated":
+            name = f"{picked[0]}-{random.integers(1990, 2040)}-{random.integers(1, 13):02}-{random.integers(1, 29):02}" + f"T{random.integers(0, 24):02}-{random.integers(0, 60):02}-{random.integers(0, 60):02}" * (i % 2)
+        else:
+            name = {"snake": "_", "constant": "_", "kebab": "-", "path": "/", "plain": ""}[style].join(picked)
+        out.append((name.upper() if style == "constant" else name).encode())
+    return out
+
+
+def mean_scores(models: MarkovPair, words: list[bytes]) -> np.ndarray:
+    sizes = np.array([len(w) for w in words])
+    stop = np.cumsum(sizes)
+    return models.mean_ratios(np.frombuffer(b"".join(words), np.uint8), stop - sizes, stop)
+
+
 def pattern_spans(data: np.ndarray, ends: np.ndarray) -> dict[int, list[Span]]:
     """The spans of the fixed patterns, in bytes from the start of each text, by text."""
     out: dict[int, list[Span]] = {}
@@ -127,7 +177,7 @@ def pattern_spans(data: np.ndarray, ends: np.ndarray) -> dict[int, list[Span]]:
             for m in ACCESS.finditer(raw[ends[i] : ends[i + 1]]):
                 if m.end() - m.start() >= LEAST["access"]:
                     out.setdefault(i, []).append((m.start(), 1, m.end()))
-    start, stop = runs(data, ends, _HEX, LEAST["hex"])
+    start, stop = runs(_HEX[data], ends, LEAST["hex"])
     for i, a, b in zip((np.searchsorted(ends, start, side="right") - 1).tolist(), start.tolist(), stop.tolist(), strict=True):
         out.setdefault(i, []).append((a - int(ends[i]), 2, b - int(ends[i])))
     return out
@@ -136,12 +186,13 @@ def pattern_spans(data: np.ndarray, ends: np.ndarray) -> dict[int, list[Span]]:
 def find_spans(data: np.ndarray, ends: np.ndarray, models: MarkovPair) -> dict[int, list[Span]]:
     """All spans of the texts of a block in code points, by text, in order."""
     out = pattern_spans(data, ends)
-    start, stop = runs(data, ends, _WORD, LEAST["markov"])
-    hits = np.flatnonzero(models.mean_ratios(data, start, stop) > models.limit)
-    for i, a, b in zip((np.searchsorted(ends, start[hits], side="right") - 1).tolist(), start[hits].tolist(), stop[hits].tolist(), strict=True):
-        a, b = a - int(ends[i]), b - int(ends[i])
-        if all(b <= s or a >= e for s, _, e in out.get(i, ())):
-            out.setdefault(i, []).append((a, 3, b))
+    free = _WORD[data]
+    for i, spans in out.items():
+        for a, _, b in spans:
+            free[ends[i] + a : ends[i] + b] = False
+    for start, stop in _random_spans(data, ends, free, models):
+        for i, a, b in zip((np.searchsorted(ends, start, side="right") - 1).tolist(), start.tolist(), stop.tolist(), strict=True):
+            out.setdefault(i, []).append((a - int(ends[i]), 3, b - int(ends[i])))
     for i, spans in out.items():
         own = data[ends[i] : ends[i + 1]]
         before = np.zeros(len(own) + 1, np.int64)
@@ -150,6 +201,45 @@ def find_spans(data: np.ndarray, ends: np.ndarray, models: MarkovPair) -> dict[i
     return out
 
 
+def calibrate(models: MarkovPair) -> None:
+    """Set the limit by labelled strings of both kinds: the middle of where the fewest are on the wrong side."""
+    random = np.sort(mean_scores(models, random_samples(1200, 15)))
+    ordinary = np.sort(mean_scores(models, [w for w in identifier_samples(4000, 16, "limit") if len(w) >= LEAST["markov"]]))
+    limits = np.linspace(min(ordinary[0], random[0]), max(ordinary[-1], random[-1]), 2000)
+    wrong = np.searchsorted(random, limits) / len(random) + 1 - np.searchsorted(ordinary, limits) / len(ordinary)
+    models.limit = float(limits[wrong == wrong.min()].mean())
+
+
+def _trimmed(data: np.ndarray, start: int, stop: int, models: MarkovPair) -> tuple[int, int]:
+    """The run without the parts at its ends that stand near the limit or below; at least the shortest length stays."""
+    seams = start + np.flatnonzero(_PART_ENDS[data[start:stop]])
+    begins, ends = np.r_[start, seams + 1], np.r_[seams, stop]
+    full = ends > begins
+    begins, ends = begins[full], ends[full]
+    ordinary = models.mean_ratios(data, begins, ends) < 2 * models.limit  # short parts vary more
+    first, last = 0, len(begins) - 1
+    while first < last and ordinary[first] and ends[last] - begins[first + 1] >= LEAST["markov"]:
+        first += 1
+    while first < last and ordinary[last] and ends[last - 1] - begins[first] >= LEAST["markov"]:
+        last -= 1
+    return (int(begins[first]) if first else start), (int(ends[last]) if last < len(begins) - 1 else stop)
+
+
+def _random_spans(data: np.ndarray, ends: np.ndarray, free: np.ndarray, models: MarkovPair) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs beyond the limit, without ordinary parts at their ends, and of the other runs the parts between
+    separators that are beyond it."""
+    start, stop = runs(free, ends, LEAST["markov"])
+    hit = models.mean_ratios(data, start, stop) > models.limit
+    trimmed = [_trimmed(data, a, b, models) for a, b in zip(start[hit].tolist(), stop[hit].tolist(), strict=True)]
+    yield np.array([a for a, _ in trimmed], np.int64), np.array([b for _, b in trimmed], np.int64)
+    rest = free & ~_PART_ENDS[data]
+    for a, b in zip(start[hit].tolist(), stop[hit].tolist(), strict=True):
+        rest[a:b] = False
+    start, stop = runs(rest, ends, LEAST["markov"])
+    hit = models.mean_ratios(data, start, stop) > models.limit
+    yield start[hit], stop[hit]
+
+
 def train(df: DataFrame, text: str, key: str, sample_rows: int = 2000) -> MarkovPair:
     """Models from a bounded sample of the rows; executors count transitions, the driver adds them up."""
     total = df.count()
@@ -167,26 +257,15 @@ def train(df: DataFrame, text: str, key: str, sample_rows: int = 2000) -> Markov
     parts = sample.mapInArrow(count, "secret array<double>, ordinary array<double>").select(F.posexplode(F.arrays_zip("secret", "ordinary")))
     sums = parts.groupBy("pos").agg(F.sum("col.secret").alias("secret"), F.sum("col.ordinary").alias("ordinary")).toPandas().sort_values("pos")
     secret, ordinary = (sums[c].to_numpy(float).reshape(STATES, STATES) if len(sums) else np.zeros((STATES, STATES)) for c in ("secret", "ordinary"))
-    models = MarkovPair(secret + transitions(random_samples()), ordinary)
-    shared = df.sparkSession.sparkContext.broadcast(models)
-
-    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, _, marked, start, stop in _marked_words(batches, LEAST["markov"]):
-            ratios = shared.value.mean_ratios(data, start, stop)[~marked]
-            yield pa.RecordBatch.from_arrays([pa.array([float(ratios.max(initial=-1e9))])], names=["top"])
-
-    # a text of the sample may hold an unmarked secret, so the limit lies in the gap below random strings
-    floor = float(np.quantile([models.mean_ratios(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in random_samples(600)], 0.01))
-    top = sample.mapInArrow(highest, "top double").agg(F.max("top")).first()[0]
-    models.limit = max(0.5, min(floor, (top if top is not None else -1e9) + 0.25))
-    shared.unpersist()
+    models = MarkovPair(secret + transitions(random_samples()), ordinary + WEIGHT * transitions(identifier_samples()))
+    calibrate(models)
     return models
 
 
 def _marked_words(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[tuple]:
     """Words of each block, and whether each overlaps a span of the patterns."""
     for _, data, ends in blocks(batches):
-        start, stop = runs(data, ends, _WORD, least)
+        start, stop = runs(_WORD[data], ends, least)
         marked = np.zeros(len(start), bool)
         for i, spans in pattern_spans(data, ends).items():
             for a, _, b in spans:
