@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.runtime import ship_package
+from strandline.runtime import materialize, ship_package
 
 QUERY_BLOCK = 1000
 
@@ -111,7 +111,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     rows = usable(df, key, vector)
     asked = usable(queries, key, vector).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     same = Window.partitionBy("v").orderBy("vec_id")
-    base = rows.dropDuplicates(["vec_id", "v"]).withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).select("vec_id", "v")
+    base = materialize(rows.dropDuplicates(["vec_id", "v"]).withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).select("vec_id", "v"), "nearest-base")
     first = asked.select(F.size("q")).first()
     if first is None:
         return spark.createDataFrame([], f"query_id {df.schema[key].dataType.simpleString()}, rank int, vec_id {df.schema[key].dataType.simpleString()}, score double")
@@ -172,8 +172,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
         })
 
     result = f"query_id {kind}, vec_id {kind}, score double"
-    found = dealt.groupBy("group").applyInArrow(rank, result).distinct()
-    found = _top(found, k)
+    found = materialize(_top(dealt.groupBy("group").applyInArrow(rank, result).distinct(), k), "nearest-found")
     short = asked.join(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     return _top(found.join(short.select("query_id"), "query_id", "left_anti").select("query_id", "vec_id", "score").unionByName(_exact(base, short, k, kind)), k)
 
