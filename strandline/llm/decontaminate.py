@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.word_rows import exploded, keyed, lower_ascii, only_terms, words
+from strandline.runtime import materialize
 
 WINDOW = 13
 
@@ -32,7 +33,7 @@ def windows(items: DataFrame, item_key: str = "item_id", text: str = "text", siz
 
 def term_counts(documents: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(low, n): how often each benchmark term occurs in the whole corpus, 0 included."""
-    terms = phrases.select(F.explode("phrase").alias("low")).select(F.lower("low").alias("low")).distinct()
+    terms = materialize(phrases.select(F.explode("phrase").alias("low")).select(F.lower("low").alias("low")).distinct(), "benchmark-terms")
     counted = only_terms(exploded(documents, key, text).select("low"), terms).groupBy("low").agg(F.count("*").alias("n"))
     return terms.join(counted, "low", "left").select("low", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -77,10 +78,10 @@ def proximity_matches(posted: DataFrame, rarest: DataFrame, within: int = WINDOW
 
 def verdicts(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
     """doc_id, body, n_words, n_hit, n_items, items_sha256, contaminated of every row; id and body tell texts apart."""
-    phrases = windows(benchmark, size=size)
-    rarest = rarest_terms(phrases, term_counts(documents, phrases, key, text))
-    posted = postings(documents, rarest.select("low").distinct(), key, text, size - 1)
-    matches = phrase_matches(posted, rarest)
+    phrases = materialize(windows(benchmark, size=size), "benchmark-windows")
+    rarest = materialize(rarest_terms(phrases, term_counts(documents, phrases, key, text)), "benchmark-rarest")
+    posted = postings(documents, materialize(rarest.select("low").distinct(), "benchmark-looked-up"), key, text, size - 1)
+    matches = materialize(phrase_matches(posted, rarest), "benchmark-matches")
     # words covered: starts and lengths of one document in order, each adding what lies beyond the last end
     spans = matches.groupBy("doc", "body").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
     covered = F.aggregate(

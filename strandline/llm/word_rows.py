@@ -11,9 +11,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Terms that every executor may hold: some 50 MB.
+BROADCAST_TERMS = 500_000
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Up to so many terms a filter is a literal set; beyond, it is a join.
-LITERAL_TERMS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -36,8 +36,9 @@ def exploded(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def only_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows whose `low` is among the terms (one column, `low`): a literal set while it is small, else a join."""
-    few = [r[0] for r in terms.limit(LITERAL_TERMS + 1).collect()]
-    if not few:
-        return rows.limit(0)
-    return rows.where(F.col("low").isin(few)) if len(few) <= LITERAL_TERMS else rows.join(terms, "low", "left_semi")
+    """Rows whose `low` is among the terms (one column, `low`, written before).
+
+    Counted terms up to the bound go to every executor; beyond it both sides are shuffled by term.
+    """
+    few = terms.count() <= BROADCAST_TERMS
+    return rows.join(F.broadcast(terms) if few else terms, "low", "left_semi")
