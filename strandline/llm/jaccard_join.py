@@ -31,7 +31,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.repeat_bitmap import bucket_bits, marked, repeat_bitmap, repeat_bitmaps
@@ -262,15 +262,19 @@ def _long_lists(sets: DataFrame) -> DataFrame:
     return entries.select("token", F.explode(F.array(level, level + 1)).alias("class"), "id", "n", "place", "rare")
 
 
+def _fits(na: str, nb: str, ba: str, bb: str) -> Column:
+    """Whether sizes and parity bitmaps of two sets allow the threshold."""
+    differ = sum((F.bit_count(F.col(ba)[i].bitwiseXOR(F.col(bb)[i])) for i in range(BITMAP_WORDS)), F.lit(0))
+    # overlap o >= 9 (na + nb) / 19, and the sets differ in na + nb - 2 o shingles at most
+    near = DENOMINATOR * F.least(na, nb) >= NUMERATOR * F.greatest(na, nb)
+    return near & (differ * (NUMERATOR + DENOMINATOR) <= (F.col(na) + F.col(nb)) * (DENOMINATOR - NUMERATOR))
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and bitmaps allow the threshold."""
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-    differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
-    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
-    # overlap o >= 9 (na + nb) / 19, and the sets differ in na + nb - 2 o shingles at most
-    fits = (DENOMINATOR * smaller >= NUMERATOR * larger) & (differ * (NUMERATOR + DENOMINATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR))
-    return pairs.distinct().join(a, "a").join(b, "b").where(fits).select("a", "b")
+    return pairs.distinct().join(a, "a").join(b, "b").where(_fits("na", "nb", "ba", "bb")).select("a", "b")
 
 
 def _wanted_texts(texts: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -386,18 +390,21 @@ def _part_keys(members: DataFrame) -> DataFrame:
     return members.select("id", "class", "label", "t").mapInArrow(run, "key long, id long, label long")
 
 
-def _part_pairs(lists: DataFrame, labels: DataFrame, full: DataFrame) -> DataFrame:
-    """(a, b): sets of different components that share a long list and agree on a part."""
+def _part_pairs(lists: DataFrame, labels: DataFrame, full: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): sets of different components that share a long list, agree on a part and fit by size and bitmap.
+
+    The bounds are conditions of the join itself, so that what cannot link is never written.
+    """
     placed = lists.select("token", "class", F.col("id").alias("vertex")).join(labels, "vertex")
     mixed = placed.groupBy("token", "class").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "class")
     members = placed.join(mixed, ["token", "class"]).select(F.col("vertex").alias("id"), "class", "label").distinct()
     keys = materialize(_part_keys(members.join(full, "id")), "jaccard-parts")
     # of each key the largest component is one side only, so that copies of one text never meet each other
     main = keys.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("x.label").alias("main"))
-    split = keys.join(main, "key")
-    asks = split.where("label != main").select("key", F.col("id").alias("ask"), F.col("label").alias("own"))
-    met = split.join(asks, "key").where("label != own AND (label = main OR id < ask)")
-    return met.select(F.least("id", "ask").alias("a"), F.greatest("id", "ask").alias("b"))
+    split = keys.join(main, "key").join(sets.select("id", "n", "bitmap"), "id")
+    asks = split.where("label != main").select("key", F.col("id").alias("ask"), F.col("label").alias("own"), F.col("n").alias("an"), F.col("bitmap").alias("ab"))
+    met = split.join(asks, "key").where(F.expr("label != own AND (label = main OR id < ask)") & _fits("n", "an", "bitmap", "ab"))
+    return met.select(F.least("id", "ask").alias("a"), F.greatest("id", "ask").alias("b")).distinct()
 
 
 def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -417,7 +424,7 @@ def join_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = materialize(_verify(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), full), "jaccard-links")
     vertices = sets.select(F.col("id").alias("vertex"))
     labels = components(vertices, links)
-    for further in (lambda: _apart(candidates, labels), lambda: _bounded(_part_pairs(lists, labels, full), sets)):
+    for further in (lambda: _apart(candidates, labels), lambda: _part_pairs(lists, labels, full, sets)):
         fresh = materialize(_verify(further(), full), "jaccard-links")
         if fresh.limit(1).count():
             links = links.unionByName(fresh)
