@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.text_blocks import give_back
+
 #: 2^CELL_BITS bits are 8 MB, whatever the input.
 CELL_BITS = 26
 #: Hashes that a task holds before it packs and sends them.
@@ -62,6 +64,8 @@ def repeat_bitmaps(frame: DataFrame, hashes_of: Hashes, limits: list[int]) -> li
                 held, size = [], 0
         if size:
             yield pack(held)
+            held.clear()
+        give_back()
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - bits - 32), return_counts=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,15 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 19
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries do so by themselves
+        return
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Yield (rows, bytes, offsets): whole rows, about `most` bytes of text at a time.
 
@@ -28,6 +38,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BLOCK
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
+    give_back()
 
 
 def code_points(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
