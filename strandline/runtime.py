@@ -11,7 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
-_SHIPPED = "strandline.shipped"
+#: Rows of an Arrow batch, where the session does not say otherwise: whole texts are long rows, and a
+#: batch stands in the JVM and in the Python worker of every task at once.
+BATCH_ROWS, _BATCH_SETTING, _BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for their Python workers."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     if getattr(context, "_strandline_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="strandline-")
@@ -36,10 +40,13 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared place the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, local sessions) a temporary folder becomes the setting.
+    Where the setting is absent a temporary folder becomes the setting in a local session; on a
+    cluster executors could not see such a folder, so there it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandline-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
