@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+#: Tasks of a written stage for each core of the cluster, at most.
+WAVES = 4
 #: Rows of an Arrow batch, where the session does not say otherwise: whole texts are long rows, and a
 #: batch stands in the JVM and in the Python worker of every task at once.
 BATCH_ROWS, _BATCH_SETTING, _BATCH_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
@@ -52,14 +54,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, waves: int = WAVES) -> DataFrame:
     """Cut the lineage by writing to the shared folder and reading back.
 
-    The files outlive any executor, so a lost executor costs only the tasks it ran.
+    The files outlive any executor, so a lost executor costs only the tasks it ran. The last stage
+    runs in so many waves of tasks at most: each task takes several partitions one after the other,
+    which needs no more memory and leaves files of a useful size instead of one for each partition.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    df.coalesce(spark.sparkContext.defaultParallelism * waves).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
