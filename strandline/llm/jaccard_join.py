@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 
 from strandline.llm.repeat_bitmap import bucket_bits, marked, repeat_bitmap, repeat_bitmaps
 from strandline.llm.text_blocks import BLOCK_BYTES, blocks
-from strandline.runtime import discard, materialize, ship_package
+from strandline.runtime import WAVES, discard, materialize, ship_package
 
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 9, 10
 #: A shingle in more than COMMON documents is common.
 COMMON = 16
 BITMAP_WORDS = 8
+#: Below so many links their labels are written by one wave of tasks.
+FEW_LINKS = 1_000_000
 #: Texts whose parity bits are counted at a time.
 SLICE = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -341,13 +343,13 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     Each round writes its labels to the shared folder, so lineage stays short.
     """
     both = materialize(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
-    labels = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("vertex"), "label"), "labels")
-    held = labels
+    waves = 1 if both.count() < FEW_LINKS else WAVES
+    held = labels = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("vertex"), "label"), "labels", waves)
     while True:
         passed = both.join(labels.withColumnRenamed("vertex", "y"), "y").groupBy("x").agg(F.min("label").alias("near")).withColumnRenamed("x", "vertex")
         stepped = labels.join(passed, "vertex").select("vertex", F.least("label", "near").alias("to"), F.col("label").alias("before"))
         jumps = labels.select(F.col("vertex").alias("to"), F.col("label").alias("beyond"))
-        following = materialize(stepped.join(jumps, "to").select("vertex", F.least("to", "beyond").alias("label"), "before"), "labels")
+        following = materialize(stepped.join(jumps, "to").select("vertex", F.least("to", "beyond").alias("label"), "before"), "labels", waves)
         changed = following.where(F.col("label") != F.col("before")).limit(1).count()
         discard(held)
         held, labels = following, following.select("vertex", "label")
