@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.operators import edits, folds, intervals, library, location, lookups, positions, timelines
+from strandline.plans import clip_queries, record_queries, run_queries, script_queries
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
@@ -142,9 +143,15 @@ FRAMES: dict[str, tuple[Query, str]] = {
 }
 
 
+#: Modules whose SQL is written apart from the operators they call.
+MODULES = (script_queries, run_queries, clip_queries, record_queries)
+
+
 def queries() -> dict[str, Query]:
-    return {name: spark_query(text) for name, text in STATEMENTS.items()} | {name: f for name, (f, _) in FRAMES.items()} | FOLDS
+    apart = {name: f for module in MODULES for name, f in module.QUERIES.items()}
+    return apart | {name: spark_query(text) for name, text in STATEMENTS.items()} | {name: f for name, (f, _) in FRAMES.items()} | FOLDS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_sql(text) for name, text in STATEMENTS.items()} | {name: sql for name, (_, sql) in FRAMES.items()}
+    apart = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    return apart | {name: duck_sql(text) for name, text in STATEMENTS.items()} | {name: sql for name, (_, sql) in FRAMES.items()}
