@@ -4,7 +4,9 @@ One model of order 4 for each language is learned from a bounded sample of label
 (`rows_per_language`, whole texts). Probabilities are kept in sorted arrays of n-gram hashes.
 A text goes to the language of the lowest cross-entropy per character. A text that
 stands closer to random letters than to its language is marked as rejected; both ends of that scale
-are calibrated, on the sample and on seeded random letters.
+are calibrated, on the sample and on seeded random letters. The score is the share of the language
+among the learned ones, times how near the text stands to it on that scale: it falls towards 0
+for texts of no learned language.
 
 Null texts, empty ones and those without a letter: language `und`, score 0, rejected. Rows with a
 null language are scored but not learned from. With no labelled row every text is `und`. Repeated
@@ -256,8 +258,9 @@ def identify(df: DataFrame, models: LanguageModels | None, text: str = "text", k
                 entropies, count, letters = models.entropies(data, ends)
                 best, some = entropies.argmin(1), letters > 0
                 lead = np.exp(-(entropies - entropies.min(1, keepdims=True)) * np.minimum(count, 20)[:, None])
-                score = np.where(some, 1 / lead.sum(1), 0.0)
-                rejected = ~some | (models.excess(entropies, best, count) > models.limit)
+                excess = models.excess(entropies, best, count)
+                score = np.where(some, np.clip(1 - excess, 0, 1) / lead.sum(1), 0.0)
+                rejected = ~some | (excess > models.limit)
                 names = [models.languages[b] if s else UNDETERMINED for b, s in zip(best.tolist(), some.tolist(), strict=True)]
                 lowest = np.where(some, entropies.min(1), 0.0)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected), pa.array(lowest)], names=["k", "lang_pred", "score", "rejected", "cross_entropy"])

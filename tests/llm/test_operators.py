@@ -354,6 +354,90 @@ def test_kneser_ney_sums_to_one():
     assert 0.5 < total <= 1 + 1e-9 and (model.probability(after) > 0).all()
 
 
+def plain_kneser_ney(texts):
+    """The same model as a recursion over dictionaries: (probability of a symbol after three others)."""
+    pad = "\x01" * 3
+    grams = collections.Counter(g for t in texts for s in [pad + t] for g in (s[i : i + 4] for i in range(len(s) - 3)))
+    levels = {4: grams}
+    for order in (3, 2, 1):
+        levels[order] = collections.Counter(g[1:] for g in levels[order + 1])
+    discounts = {}
+    for order, counts in levels.items():
+        ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        discounts[order] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def probability(gram):
+        if not gram:
+            return 1 / (len(levels[1]) + 64)
+        counts, d = levels[len(gram)], discounts[len(gram)]
+        total = sum(c for g, c in counts.items() if g[:-1] == gram[:-1])
+        if not total:
+            return probability(gram[1:])
+        kinds = sum(g[:-1] == gram[:-1] for g in counts)
+        return max(counts[gram] - d, 0) / total + d * kinds / total * probability(gram[1:])
+
+    return probability
+
+
+def test_language_costs_equal_a_plain_recursion():
+    rng = random.Random(17)
+    learned = {"aa": ["abc abd", "bad cab abc"], "bb": ["xyx yzx", "zzy xyz xyx"]}
+
+    def model(texts):
+        grams = collections.Counter(g for t in texts for s in ["\x01" * 3 + t] for g in (s[i : i + 4] for i in range(len(s) - 3)))
+        ordered = sorted(grams)
+        return language_id.KneserNey(np.array([[ord(c) for c in g] for g in ordered], np.uint32), np.array([float(grams[g]) for g in ordered]))
+
+    models = language_id.LanguageModels(list(learned), [model(t) for t in learned.values()])
+    plain = [plain_kneser_ney(t) for t in learned.values()]
+    for _ in range(30):
+        text = "".join(rng.choice("abcxyz q") for _ in range(rng.randrange(1, 20)))
+        data = text.encode()
+        got, count, _ = models.entropies(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        symbols, owners, _ = language_id.symbols(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        said = "".join(map(chr, symbols))
+        places = np.flatnonzero(owners >= 0)
+        for column, probability in enumerate(plain):
+            want = -np.mean([np.log(probability(said[i - 3 : i + 1])) for i in places]) if len(places) else 0
+            assert abs(got[0, column] - want) < 1e-4
+
+
+def test_language_score_falls_for_what_was_not_learned(spark):
+    rng = random.Random(27)
+    learned = {"aa": ["the", "ing", "and", "tion", "of", "re"], "bb": ["cion", "que", "los", "del", "por", "ada"]}
+    other = ["zk", "wq", "xj", "yv", "kh", "uu"]
+    said = lambda parts, n: "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(n))
+    rows = [(i, said(learned[lang], 60), lang) for i in range(200) for lang in [rng.choice(["aa", "bb"])]] + [(1000 + i, said(other, 60), None) for i in range(40)]
+    got = by_id(language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert sum(got[i].rejected for i in range(200)) == 0 and min(got[i].score for i in range(200)) > 0.5
+    assert sum(got[i].rejected for i in got if i >= 1000) >= 38 and max(got[i].score for i in got if i >= 1000) < 0.5
+
+
+def plain_score(network, text):
+    """The network's formula text by text and place by place."""
+    p = network.p
+    hidden = []
+    for start in quality_cnn.chunk_starts(len(text)).tolist():
+        chunk = text[start : start + quality_cnn.CHUNK].ljust(quality_cnn.CHUNK, b"\0")
+        best = np.full(quality_cnn.FILTERS, -np.inf)
+        for at in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STEP):
+            seen = np.concatenate([p["embed"][b] for b in chunk[at : at + quality_cnn.WIDTH]])
+            best = np.maximum(best, seen @ p["filter"])
+        hidden.append(np.tanh(np.maximum(best + p["bias"], 0) @ p["hidden"] + p["hidden_bias"]))
+    both = np.concatenate([np.max(hidden, 0), np.mean(hidden, 0)]).astype(np.float64)
+    return 1 / (1 + np.exp(-(both @ p["out"] + p["out_bias"][0])))
+
+
+def test_quality_scores_equal_plain_convolution():
+    rng = random.Random(18)
+    network = quality_cnn.Network()
+    network.p["bias"] += 0.1
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 300, 700, 5000)]
+    ends = np.cumsum([0] + [len(t) for t in texts])
+    got = network.score(np.frombuffer(b"".join(texts), np.uint8), ends)
+    assert np.allclose(got, [plain_score(network, t) for t in texts], atol=1e-4)
+
+
 def test_quality(spark, empty):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["the", "quiet", "river", "runs", "over", "stone", "morning"]) for _ in range(rng.choice([10, 80])))
