@@ -36,6 +36,14 @@ NOTICES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
 ]
 
 
@@ -79,17 +87,23 @@ def voted_spans(rolled: DataFrame) -> DataFrame:
         .where(F.col("gram") == F.col("wanted")).withColumn("diagonal", F.col("pos") - F.col("place"))
     )
     votes = hits.groupBy("doc", "body", "template", "diagonal").agg(
-        F.first("label").alias("label"), F.first("size").alias("size"), F.collect_set("place").alias("places"), F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("end")
+        F.first("label").alias("label"), F.first("size").alias("size"), F.collect_set("place").alias("places"), F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("end"), F.min("place").alias("first")
     )
     along = Window.partitionBy("doc", "body", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT) | F.lag("diagonal").over(along).isNull()
     runs = votes.withColumn("run", F.sum(apart.cast("int")).over(along))
     merged = runs.groupBy("doc", "body", "template", "run").agg(
-        F.first("label").alias("label"), F.first("size").alias("size"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("start").alias("start"), F.max("end").alias("end")
+        F.first("label").alias("label"), F.first("size").alias("size"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.array_sort(F.collect_list(F.struct("start", "first"))).alias("pieces"),
     )
+    # pieces that stand later in the text stand later in the notice
+    firsts = F.transform("pieces", lambda p: p["first"])
+    in_order = F.array_sort(firsts) == firsts
+    fits = (F.col("end") - F.col("start") <= LONGEST * (F.col("size") + GRAM - 1)) & in_order
+    # a diagonal that verifies by itself counts, whatever stands beside it: close copies make one long run
+    spans = merged.where(fits).select("doc", "body", "label", "start", "end", "places", "size").unionByName(votes.select("doc", "body", "label", "start", "end", "places", "size"))
     cover = F.size("places") / F.col("size")
-    fits = F.col("end") - F.col("start") <= LONGEST * (F.col("size") + GRAM - 1)
-    return merged.where((cover >= LEAST_COVER) & fits).select("doc", "body", "label", "start", "end", cover.alias("cover"))
+    return spans.where(cover >= LEAST_COVER).select("doc", "body", "label", "start", "end", cover.alias("cover")).distinct()
 
 
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

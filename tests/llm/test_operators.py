@@ -165,6 +165,31 @@ def test_licenses(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_notices(spark):
+    """Every notice as it is, with words put in, twice in a row, cut to less than half, and with its halves turned round."""
+    rng, rows, wanted = random.Random(6), [], {}
+    other = lambda n: words(rng, n, 50)
+    for label, notice in license_scan.NOTICES:
+        w = notice.split()
+        half = len(w) // 2
+        drift = [*w[:half], "indeed", *w[half:]]
+        for kind, text in (("whole", w), ("drift", drift), ("twice", [*w, *w]), ("cut", w[: max(2, len(w) * 2 // 5)]), ("turned", [*w[half:], *other(9).split(), *w[:half]])):
+            if kind in ("cut", "turned") and len(w) < 12:
+                continue
+            rows.append((len(rows), f"{other(30)} {' '.join(text)} {other(30)}"))
+            wanted[rows[-1][0]] = (kind, label, len(w))
+    got = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, (kind, label, size) in wanted.items():
+        method = set(filter(None, got[i].labels.split(",")))
+        if kind in ("whole", "twice") or (kind == "drift" and size >= 12):
+            assert label in method, (kind, label)
+            assert kind == "drift" or got[i].score == 1
+        elif kind == "cut":
+            assert label not in method - set(got[i].base_labels.split(",")), (kind, label)
+    long = spark.createDataFrame([(1, words(rng, 60_000) + " released under the MIT license"), (2, "")], "doc_id long, text string").selectExpr("*", "1 AS label", "'x' AS words", "0 AS diagonal")
+    assert [(r.labels, r.n_words) for r in license_scan.scan(long).orderBy("doc_id").collect()] == [("mit", 60_005), ("", 0)]
+
+
 # decontamination --------------------------------------------------------------------------
 
 
