@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import edits, folds, intervals, library, location, lookups, positions, timelines
+from strandline.operators import edits, folds, intervals, library, location, lookups, matching, positions, timelines
 from strandline.plans import clip_queries, record_queries, run_queries, script_queries
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
@@ -108,6 +108,21 @@ def going_back_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.going_back(_values(spark, sf_dir))
 
 
+def read_again_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return folds.read_again(_values(spark, sf_dir))
+
+
+def range_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's middle words, every fourth one misheard, in the item itself; keys are stretches of nine words."""
+    ship_package(spark)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    heard = F.transform(F.slice(words, F.greatest(F.floor(F.size(words) / 2), F.lit(1)).cast("int"), 8), lambda w, i: F.when(i % 4 == 3, F.lit("?")).otherwise(w))
+    keys = F.transform(words, lambda _, i: F.floor(i / 9))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), heard.alias("heard"), words.alias("words"), keys.alias("keys"), (F.col("item_id") % 7).cast("int").alias("cursor"))
+    return matching.located_phrases(rows, near=10, least=0.3).select("id", "start", "stop", F.floor(F.col("score") * 10_000 + 0.5).cast("long").alias("score"))
+
+
 def jump_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item read with its first words said twice, against the item."""
     ship_package(spark)
@@ -122,7 +137,7 @@ def phrase_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that SQL cannot express; the tests compare them with plain loops.
-FOLDS: dict[str, Query] = {f.__name__: f for f in (rate_limiter, truncated_timeline, queue_replay, going_back_passes, jump_alignment, phrase_location)}
+FOLDS: dict[str, Query] = {f.__name__: f for f in (rate_limiter, truncated_timeline, queue_replay, going_back_passes, jump_alignment, phrase_location, range_matches)}
 
 _SPANS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events), s AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nxt FROM e)"
 _MERGED = """a AS (SELECT user_id, t - 21600000000 AS a, t + 21600000000 AS b FROM e),
@@ -137,6 +152,9 @@ FRAMES: dict[str, tuple[Query, str]] = {
     "coalesced_spans": (coalesced_spans, f"WITH {_SPANS}, {_MERGED.format(gap=60_000_000)} SELECT user_id, a AS start, b AS \"end\" FROM g"),
     "span_complement": (span_complement, f"WITH {_SPANS}, {_MERGED.format(gap=0)}, c AS (SELECT user_id, b AS start, lead(a) OVER (PARTITION BY user_id ORDER BY a) AS \"end\" FROM g) SELECT * FROM c WHERE \"end\" IS NOT NULL"),
     "dashboard_days": (dashboard_days, "WITH c AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1), r AS (SELECT unnest(generate_series((SELECT min(d) FROM c), (SELECT max(d) FROM c), INTERVAL 1 DAY)) AS d) SELECT strftime(r.d, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM r LEFT JOIN c ON c.d = CAST(r.d AS DATE)"),
+    "read_again_spans": (read_again_spans, f"""WITH {_SPANS}, v AS (SELECT event_id, user_id, t, CAST(floor((SELECT value FROM events x WHERE x.event_id = e.event_id) * 100 + 0.5) AS BIGINT) AS v FROM e),
+      a AS (SELECT *, coalesce(v <= max(v) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nxt FROM v),
+      g AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM a) SELECT user_id, min(t) AS start, coalesce(arg_max(nxt, (t, event_id)), max(t)) AS "end" FROM g WHERE again GROUP BY user_id, run"""),
     "corpus_positions": (corpus_positions, f"WITH {_PLACES} SELECT l_orderkey, l_linenumber, place FROM p"),
     "position_lookup": (position_lookup, f"WITH {_PLACES}, k AS (SELECT l_orderkey, max(place) AS place FROM p WHERE l_linenumber = 1 GROUP BY l_orderkey) SELECT o_orderkey, place FROM orders LEFT JOIN k ON l_orderkey = o_orderkey"),
     "repeated_phrases": (repeated_phrases, "WITH d AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents), p AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS phrase FROM d) SELECT phrase, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM p GROUP BY phrase HAVING count(DISTINCT doc_id) >= 2"),

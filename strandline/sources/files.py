@@ -37,3 +37,38 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 def replace_partitions(rows: DataFrame, path: str, key: str) -> None:
     """Replace the partitions that `rows` holds and leave the others as they are."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def write_ground_truth(captions: DataFrame, path: str) -> None:
+    """Captions (file, line_no, verse_key, words) as text files, one folder for each `file`, lines in order."""
+    line = F.concat_ws(" ", "verse_key", "words")
+    ordered = captions.repartition("file").sortWithinPartitions("file", "line_no").select("file", line.alias("value"))
+    ordered.write.mode("overwrite").partitionBy("file").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, public: bool = False) -> DataFrame:
+    """id, name, file, language of a manifest's entries: numeric ids and plain file names only; a blank language
+    is English. In public mode there are none, nor from a file that cannot be read as JSON."""
+    entries = spark.read.schema("id string, name string, file string, language string").option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    plain = F.col("id").rlike(r"^\d+$") & ~F.col("file").rlike(r"[/\\]") & (F.col("file") != "")
+    language = F.when(F.trim(F.coalesce("language", F.lit(""))) != "", F.trim("language")).otherwise("English")
+    return entries.where(plain & F.lit(not public)).select("id", "name", "file", language.alias("language"))
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """id, created_at, state of the jobs under a folder, one JSON file in each subfolder; files that are not
+    JSON or have no id are dropped. Order by created_at, descending, for a list."""
+    jobs = spark.read.schema("id string, createdAt long, state string").option("mode", "DROPMALFORMED").json(f"{path.rstrip('/')}/*/job.json")
+    return jobs.where(F.coalesce("id", F.lit("")) != "").select("id", F.col("createdAt").alias("created_at"), F.col("state"))
+
+
+def read_optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of a JSON export, or none where the file is not there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

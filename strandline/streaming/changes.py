@@ -19,6 +19,24 @@ def reduce_mutations(log: DataFrame) -> DataFrame:
     return last.select("resource_id", "type", "sequence")
 
 
+def feed_entry(pages: DataFrame, since: str | None) -> DataFrame:
+    """The pages (token, next_token, number, snapshot, entries) that a reader who holds `since` has still to read.
+
+    Without a token, or with one that the feed no longer knows, reading starts with the snapshot; with
+    one it goes on behind the page that gave it.
+    """
+    known = pages.where(F.col("next_token") == F.lit(since)).agg(F.max("number").alias("_after"))
+    return pages.crossJoin(F.broadcast(known)).where(F.when(F.col("_after").isNull(), F.lit(True)).otherwise((F.col("number") > F.col("_after")) & ~F.col("snapshot"))).drop("_after")
+
+
+def read_feed(pages: DataFrame, since: str | None) -> tuple[DataFrame, str | None]:
+    """(entries of the pages to read, with their sequence over all pages; the token to hold afterwards)."""
+    due = feed_entry(pages, since)
+    entries = due.select("number", F.posexplode("entries").alias("nth", "entry")).select((F.col("number") * 1_000_000 + F.col("nth")).alias("sequence"), "entry.resource_id", "entry.type")
+    last = due.agg(F.max_by("next_token", "number").alias("token")).first()["token"]
+    return entries, last if last is not None else since
+
+
 def sync_changes(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the state of a change log under `path`: each micro-batch is one version, so a retry writes the same."""
 
