@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.operators import edits, folds, intervals, library, location, lookups, matching, positions, timelines
-from strandline.plans import clip_queries, reading_queries, record_queries, run_queries, script_queries
+from strandline.plans import clip_queries, format_queries, reading_queries, record_queries, run_queries, script_queries
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
@@ -162,7 +162,7 @@ FRAMES: dict[str, tuple[Query, str]] = {
 
 
 #: Modules whose SQL is written apart from the operators they call.
-MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_queries)
+MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_queries, format_queries)
 
 
 def queries() -> dict[str, Query]:
