@@ -61,9 +61,8 @@ STATEMENTS = {
     "window_intersection": f"""WITH {NEXT} SELECT event_id, greatest(t, 1704672000000000) AS start_t, least(nxt, 1705276800000000) AS end_t FROM s
       WHERE nxt > 1704672000000000 AND t < 1705276800000000 AND least(nxt, 1705276800000000) - greatest(t, 1704672000000000) >= 100000""",
     "trim_and_rebase": f"""WITH {NEXT} SELECT event_id, greatest(t, 1704672000000000) - 1704672000000000 AS start_t, least(nxt, 1705276800000000) - 1704672000000000 AS end_t FROM s WHERE nxt > 1704672000000000 AND t < 1705276800000000""",
-    "clock_map_cuts": f"""WITH {NEXT}, cuts AS (SELECT user_id, t AS c0, nxt AS c1 FROM s WHERE event_type = 'error' AND nxt IS NOT NULL),
-      removed AS (SELECT e.event_id, coalesce(sum(least(e.t, c.c1) - c.c0), 0) AS gone FROM e LEFT JOIN cuts c ON c.user_id = e.user_id AND c.c0 < e.t GROUP BY e.event_id)
-      SELECT e.event_id, CAST(e.t - r.gone AS BIGINT) AS mapped_t FROM e JOIN removed r ON r.event_id = e.event_id""",
+    "clock_map_cuts": f"""WITH {NEXT}, c AS (SELECT event_id, user_id, t, CASE WHEN event_type = 'error' AND nxt IS NOT NULL THEN nxt - t ELSE 0 END AS cut FROM s)
+      SELECT event_id, CAST(t - coalesce(sum(cut) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS mapped_t FROM c""",
     "shift_spans": f"""WITH {NEXT} SELECT event_id, t + 1500000 AS start_t, nxt + 1500000 AS end_t FROM s WHERE nxt IS NOT NULL""",
     "affine_fit": f"""WITH {E}, b AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM e GROUP BY user_id)
       SELECT e.event_id, CASE WHEN hi - lo <= 86400000000 THEN t - lo ELSE CAST(floor((t - lo) / 100) AS BIGINT) END AS fitted FROM e JOIN b ON b.user_id = e.user_id""",

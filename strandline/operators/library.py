@@ -20,7 +20,7 @@ STATEMENTS = {
     "fill_empty_only": """SELECT d.doc_id, CASE WHEN d.n_chars = 0 OR d.lang IS NULL THEN 'unknown' ELSE d.lang END AS lang, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "multi_field_search": """SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND (contains(lower(p_brand), '1') OR contains(lower(p_type), 'e'))""",
     "catalogue_groups": """SELECT r_name, count(*) AS n, min(n_name) AS first_name, max(n_name) AS last_name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
-    "recent_top": "SELECT o_orderkey, CAST(place AS BIGINT) AS place FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) x WHERE place <= 50",
+    "recent_top": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place FROM (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) x",
     "gallery_order": """SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END, c_acctbal DESC, c_custkey) AS BIGINT) AS place FROM customer""",
     "best_fit_choice": """SELECT s_nationkey, s_suppkey, CAST(place AS BIGINT) AS place FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal >= 5000 THEN 0 ELSE 1 END, abs(s_acctbal - 5000), s_suppkey) AS place FROM supplier) x WHERE place <= 4""",
     "longest_first_cap": """SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) x WHERE place <= 8""",

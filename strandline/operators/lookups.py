@@ -21,8 +21,11 @@ STATEMENTS = {
     "matching_preset": """SELECT s.s_suppkey, min(n.n_nationkey) AS preset FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey AND n.n_regionkey = s.s_suppkey % 5 GROUP BY s.s_suppkey""",
     "keyed_inner_lookup": """SELECT l.doc_id, l.quality, d.lang FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
     "bounds_or_zero": """WITH b AS (SELECT o_custkey, min(o_totalprice) AS lo, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, coalesce(n, 0) AS n, coalesce(CAST(floor(lo) AS BIGINT), 0) AS lo FROM customer LEFT JOIN b ON o_custkey = c_custkey""",
-    "midpoint_containment": f"""WITH {NEXT}, w AS (SELECT event_id, user_id, IDIV(t + nxt, 2) AS mid FROM s WHERE nxt IS NOT NULL), q AS (SELECT user_id, event_id AS span_id, t - 3600000000 AS a, t + 3600000000 AS b FROM e WHERE event_type = 'purchase')
-      SELECT w.event_id, q.span_id FROM w JOIN q ON q.user_id = w.user_id AND w.mid >= q.a AND w.mid <= q.b""",
+    # spans of two hours touch two cells of two hours, so the range join is an equi join of user and cell
+    "midpoint_containment": f"""WITH {NEXT}, w AS (SELECT event_id, user_id, IDIV(t + nxt, 2) AS mid, IDIV(t + nxt, 14400000000) AS cell FROM s WHERE nxt IS NOT NULL),
+      p AS (SELECT user_id, event_id AS span_id, t - 3600000000 AS a, t + 3600000000 AS b, IDIV(t - 3600000000, 7200000000) AS first_cell FROM e WHERE event_type = 'purchase'),
+      q AS (SELECT user_id, span_id, a, b, first_cell AS cell FROM p UNION ALL SELECT user_id, span_id, a, b, first_cell + 1 AS cell FROM p)
+      SELECT w.event_id, q.span_id FROM w JOIN q ON q.user_id = w.user_id AND q.cell = w.cell AND w.mid >= q.a AND w.mid <= q.b""",
     "phrase_twins": """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem)
       SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS twin FROM l a JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_returnflag = a.l_returnflag AND b.l_linestatus = a.l_linestatus AND b.l_linenumber = a.l_linenumber + 2""",
     "last_row_wins": """SELECT n_regionkey, n_name FROM (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS rn FROM nation) x WHERE rn = 1""",
@@ -57,8 +60,10 @@ STATEMENTS = {
     "majority_test": """SELECT l_orderkey, 2 * count(CASE WHEN l_returnflag = 'N' THEN 1 END) > count(*) AS mostly FROM lineitem GROUP BY l_orderkey""",
     "share_at_least": """SELECT o_orderkey, coalesce(count(CASE WHEN l_quantity > 20 THEN 1 END) * 10 >= 6 * count(l_orderkey), true) AS passes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
     "level_energy": f"""WITH {E}, i AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS place FROM e), h AS (SELECT user_id, IDIV(place, 4) AS hop, v FROM i) SELECT user_id, hop, CAST(sum(v * v) AS BIGINT) AS energy FROM h GROUP BY user_id, hop HAVING count(*) = 4""",
-    "lag_products": f"""WITH {E}, r AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e), p AS (SELECT a.user_id, b.i - a.i AS lag_by, sum(a.v * b.v) AS dot FROM r a JOIN r b ON b.user_id = a.user_id AND b.i - a.i BETWEEN 1 AND 3 GROUP BY a.user_id, b.i - a.i)
-      SELECT user_id, CAST(lag_by AS BIGINT) AS lag_by, CAST(dot AS BIGINT) AS dot FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY dot DESC, lag_by) AS rn FROM p) x WHERE rn = 1""",
+    # three leads of one window: no row meets more than three others
+    "lag_products": f"""WITH {E}, r AS (SELECT user_id, v, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2, lead(v, 3) OVER w AS v3 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+      p AS (SELECT user_id, 1 AS lag_by, sum(v * v1) AS dot FROM r GROUP BY user_id UNION ALL SELECT user_id, 2 AS lag_by, sum(v * v2) AS dot FROM r GROUP BY user_id UNION ALL SELECT user_id, 3 AS lag_by, sum(v * v3) AS dot FROM r GROUP BY user_id)
+      SELECT user_id, CAST(lag_by AS BIGINT) AS lag_by, CAST(dot AS BIGINT) AS dot FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY dot DESC, lag_by) AS rn FROM p WHERE dot IS NOT NULL) x WHERE rn = 1""",
     "gap_verdicts": """WITH p AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey), x AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_extendedprice > 30000 GROUP BY l_orderkey)
       SELECT coalesce(p.l_orderkey, x.l_orderkey) AS k, CASE WHEN p.n IS NULL THEN 'missing' WHEN x.n IS NULL THEN 'wrong' WHEN p.n < x.n THEN 'merge' WHEN p.n > x.n THEN 'split' ELSE 'match' END AS verdict FROM p FULL JOIN x ON x.l_orderkey = p.l_orderkey""",
     "consecutive_cuts": """WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS prev FROM lineitem) SELECT l_orderkey, l_linenumber FROM l WHERE l_suppkey = prev + 1""",
