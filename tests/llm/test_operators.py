@@ -379,6 +379,41 @@ def test_kneser_ney_sums_to_one():
     assert 0.5 < total <= 1 + 1e-9 and (model.probability(after) > 0).all()
 
 
+def test_learned_operators_on_odd_frames(spark):
+    """Repeated rows, a very long text, ties and columns named like those the operators use inside."""
+    rng = random.Random(19)
+    text = lambda n: " ".join(rng.choice(["the", "river", "runs", "over", "stone"]) for _ in range(n))
+    rows = [(i, text(30) if i % 2 else text(30).upper() + "!!", "aa" if i % 2 else "bb") for i in range(60)]
+    rows += [rows[7], rows[7], (200, text(60_000), None), (201, rows[3][1], "aa")]
+    df = spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows], "doc_id long, text string, lang string, k int, t string, score double")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(60)], "doc_id long, quality int, y int")
+    quality, languages = quality_cnn.predict(df, labels).collect(), language_id.predict(df).collect()
+    secrets = secret_scan.scan(df, secret_scan.train(df, "text", "doc_id")).collect()
+    for got in (quality, languages, secrets):
+        assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+        assert len({tuple(r) for r in got if r.doc_id == 7}) == 1
+    score = {r.doc_id: r.score for r in quality}
+    assert abs(score[3] - score[201]) < 1e-6 and 0 <= score[200] <= 1
+    assert {r.lang_pred for r in languages} <= {"aa", "bb"}
+
+
+def test_chat_of_a_very_long_turn(spark):
+    said = "long words </turn> \\ " * 20_000
+    turns = spark.createDataFrame([(1, 1, "assistant", said, 0), (1, 2, "user", None, 0)], "conv_id long, turn long, role string, text string, loss_mask int")
+    got = chat_format.read_back(chat_format.format_turns(turns, registry.RANKS, public_tokenizers.PATTERN), registry.RANKS, public_tokenizers.PATTERN).collect()
+    assert got[0].loss_chars == len(said) and got[0].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_chat_escapes_are_reversible():
+    rng = random.Random(20)
+    codec = chat_format.ChatCodec.load(registry.RANKS, public_tokenizers.PATTERN)
+    parts = ["<turn>", "</turn>", "### ", ": ", "\\", "\n", "a", "é", "漢", "assistant", "user", " "]
+    for _ in range(300):
+        role, text = ("".join(rng.choice(parts) for _ in range(rng.randrange(n))) for n in (4, 15))
+        ids, mask = codec.assemble(role, text)
+        assert codec.read(ids, mask)[:2] == (role, text)
+
+
 def plain_kneser_ney(texts):
     """The same model as a recursion over dictionaries: (probability of a symbol after three others)."""
     pad = "\x01" * 3
@@ -507,6 +542,8 @@ def test_nearest(spark):
         hits += len(set(best.tolist()) & {v for v, _ in got[q]})
         assert len(got[q]) == 10 and all(abs(gap[v] - s) < 1e-9 for v, s in got[q])
     assert hits >= 0.9 * 120 and [v for v, _ in got[0]] == list(range(100, 110))
+    odd = df.selectExpr("*", "1 AS v", "2 AS t", "3 AS code", "4 AS q", "5 AS id")
+    assert {tuple(r) for r in ann_search.nearest(odd, odd.where("vec_id = 0")).collect()} == {tuple(r) for r in ann_search.nearest(df, df.where("vec_id = 0")).collect()}
     few = df.where("vec_id < 5 or vec_id = 100")
     assert ann_search.nearest(few, few.where("vec_id = 0")).count() == 5  # fewer candidates than k: all, exactly
     assert ann_search.nearest(df.limit(0), df.limit(0)).count() == 0
