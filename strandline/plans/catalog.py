@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.operators import edits, folds, intervals, library, location, lookups, matching, positions, timelines
-from strandline.plans import clip_queries, format_queries, reading_queries, record_queries, run_queries, script_queries
+from strandline.plans import clip_queries, format_queries, reading_queries, record_queries, run_queries, script_queries, sequence_queries
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
@@ -167,7 +167,11 @@ MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_qu
 
 def queries() -> dict[str, Query]:
     apart = {name: f for module in MODULES for name, f in module.QUERIES.items()}
-    return apart | {name: spark_query(text) for name, text in STATEMENTS.items()} | {name: f for name, (f, _) in FRAMES.items()} | FOLDS
+    return apart | _plain() | sequence_queries.QUERIES
+
+
+def _plain() -> dict[str, Query]:
+    return {name: spark_query(text) for name, text in STATEMENTS.items()} | {name: f for name, (f, _) in FRAMES.items()} | FOLDS
 
 
 def oracle_sql() -> dict[str, str]:
