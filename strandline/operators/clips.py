@@ -194,3 +194,66 @@ def nearest_spans(points: DataFrame, spans: DataFrame, key: str, reach: int) ->
     near = wide.join(dealt, [key, "_cell"]).withColumn("gap", gap).where(F.col("gap") <= reach)
     best = near.groupBy(key, "id", "time").agg(F.min(F.struct("gap", (F.col("start") - F.col("end")).alias("_short"), "start", "end")).alias("_best"))
     return best.select(key, "id", "time", "_best.start", "_best.end", "_best.gap")
+
+
+def to_the_voice(captions: DataFrame, quiet: DataFrame, keys: Sequence[str], order: Sequence[str], lead: int = 400, tail: int = 1000) -> DataFrame:
+    """Captions (start, end, said, last_word) whose first one opens shortly before what is said, and whose last one
+    ends soon after the quiet begins that it ends in."""
+    line = Window.partitionBy(*keys).orderBy(*order)
+    placed = captions.withColumns({"_first": F.row_number().over(line) == 1, "_last": F.lead(F.lit(1)).over(line).isNull()})
+    ends = placed.where("_last AND last_word IS NOT NULL").select(*keys, F.col("end").alias("_end"), F.col("last_word").alias("_word"))
+    # one row for each key: the quiet stretches of a key meet only its own last caption
+    near = quiet.select(*keys, F.col("start").alias("_a"), F.col("end").alias("_b")).join(ends, list(keys)).where("_b >= _end - 100 AND _a <= _end AND _a >= _word")
+    first = near.groupBy(*keys).agg(F.min("_a").alias("_quiet"))
+    both = placed.join(first, list(keys), "left")
+    opens = F.when(F.col("_first") & (F.col("said") - lead > F.col("start")), F.col("said") - lead).otherwise(F.col("start"))
+    closes = F.when(F.col("_last") & (F.col("_quiet") + tail < F.col("end")), F.col("_quiet") + tail).otherwise(F.col("end"))
+    return both.withColumns({"start": opens, "end": closes}).drop("_first", "_last", "_quiet")
+
+
+def with_repeats(captions: DataFrame, repeats: DataFrame, key: str, cell: int, sliver: int = 300) -> DataFrame:
+    """Captions (key, id, start, end) cut where a repeat begins or ends inside them, without those that repeats cover
+    for more than half and without slivers beside a repeat; repeats (start, end) lie apart. The repeats follow, id null."""
+    wide = captions.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))))
+    dealt = repeats.select(key, F.col("start").alias("_a"), F.col("end").alias("_b")).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_a") / cell), F.floor(F.col("_b") / cell))))
+    met = wide.join(dealt, [key, "_cell"]).where("_b >= start AND _a <= end").select(key, "id", "_a", "_b").distinct()
+    near = met.groupBy(key, "id").agg(F.collect_list(F.struct("_a", "_b")).alias("_runs"))
+    joined = captions.join(near, [key, "id"], "left").withColumn("_runs", F.coalesce("_runs", F.expr("array()").cast("array<struct<_a: bigint, _b: bigint>>")))
+    cut = F.array_min(F.transform(F.filter("_runs", lambda r: (r["_a"] > F.col("start")) & (r["_a"] < F.col("end"))), lambda r: r["_a"]))
+    clipped = joined.withColumn("end", F.coalesce(cut, F.col("end")))
+    covered = F.aggregate("_runs", F.lit(0).cast("long"), lambda s, r: s + F.greatest(F.lit(0), F.least(r["_b"], F.col("end")) - F.greatest(r["_a"], F.col("start"))))
+    kept = clipped.where(covered * 2 <= F.col("end") - F.col("start"))
+    inside = F.array_min(F.transform(F.filter("_runs", lambda r: (F.col("start") >= r["_a"]) & (F.col("start") < r["_b"])), lambda r: r["_b"]))
+    moved = kept.withColumn("start", F.coalesce(inside, F.col("start")))
+    beside = F.exists("_runs", lambda r: (r["_a"] == F.col("end")) | (r["_b"] == F.col("start")))
+    left = moved.where((F.col("end") - F.col("start") >= sliver) | ~beside).select(key, "id", "start", "end")
+    return left.unionByName(repeats.select(key, F.lit(None).cast(captions.schema["id"].dataType).alias("id"), "start", "end"))
+
+
+def layers_at(times: DataFrame, captions: DataFrame, key: str, wanted: int) -> DataFrame:
+    """Times (key, time) with what is shown: columns shown and leaving (ids of captions, null for none) and the
+    thousandths of the change from the one to the other; captions (key, id, start, end) lie in order."""
+    line = Window.partitionBy(key).orderBy("start")
+    before = F.lag(F.struct("id", "start", "end")).over(line)
+
+    def window(prior: Column) -> Column:
+        over = F.greatest(F.lit(0), wanted - F.greatest(F.lit(0), F.col("start") - prior["end"]))
+        half = F.floor(over / 2)
+        fades_in = F.col("start") - F.least(F.lit(wanted), F.greatest(F.lit(0), F.col("start")))
+        begin = F.when(prior.isNull(), fades_in).otherwise(F.greatest(prior["start"], F.col("start") - wanted + half))
+        end = F.when(prior.isNull(), F.col("start")).otherwise(F.least(F.col("end"), F.col("start") + half))
+        return F.struct(begin.alias("a"), end.alias("b"))
+
+    noted = captions.withColumn("_prior", before).withColumn("_window", window(F.col("_prior")))
+    change = F.struct(F.col("id").alias("id"), F.col("_prior.id").alias("prior"), F.col("_window.a").alias("a"), F.col("_window.b").alias("b"))
+    noted = noted.withColumn("_own", change).withColumn("_next", F.lead(change).over(line))
+    first = noted.groupBy(key).agg(F.min_by("_own", "start").alias("_first"))
+    met = asof_join(times, noted.select(key, F.col("start").alias("time"), F.struct("_own", "_next").alias("_now")), key, "time", "_now").join(first, key, "left")
+    following = F.when(F.col("_now").isNull(), F.col("_first")).otherwise(F.col("_now._next"))
+    met = met.withColumn("_following", following)
+    inside = lambda c: c.isNotNull() & (F.col("time") >= c["a"]) & (F.col("time") < c["b"])
+    own = F.col("_now._own")
+    chosen = F.when(inside(F.col("_following")), F.col("_following")).when(inside(own), own)
+    met = met.withColumn("_chosen", chosen)
+    progress = F.floor((F.col("time") - F.col("_chosen.a")) * 1000 / (F.col("_chosen.b") - F.col("_chosen.a")))
+    return met.select(key, "time", F.coalesce("_chosen.id", "_now._own.id").alias("shown"), F.col("_chosen.prior").alias("leaving"), progress.alias("thousandths"))

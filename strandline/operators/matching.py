@@ -104,3 +104,77 @@ def substring_match(rows: DataFrame) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "target", "heard").mapInPandas(run, f"id {kind}, start int, stop int, edits int")
+
+
+def heard_shares(reading: str, words: list[str]) -> list[float]:
+    """For each word the share of its letters that a reading carries, in order and across word borders."""
+    joined = " ".join(words)
+    hit = [False] * len(joined)
+    for at, _, size in SequenceMatcher(None, joined, reading, autojunk=False).get_matching_blocks():
+        hit[at : at + size] = [True] * size
+    out, at = [], 0
+    for word in words:
+        out.append(sum(hit[at : at + len(word)]) / max(1, len(word)))
+        at += len(word) + 1
+    return out
+
+
+def unheard_words(rows: DataFrame, least: float = 0.5, enough: float = 0.6) -> DataFrame:
+    """Rows (id, words, readings): (id, place) of the words of which no reading carries the least share; none where
+    no reading carries enough of them all. Words and readings are compared as they stand."""
+
+    def one(words: list[str], readings: list[str]) -> list[int]:
+        shares = [heard_shares(r, words) for r in readings]
+        letters = [len(w) for w in words]
+        carried = max((sum(s * n for s, n in zip(each, letters, strict=True)) / max(1, sum(letters)) for each in shares), default=0.0)
+        return [] if carried < enough else [i for i, column in enumerate(zip(*shares, strict=True)) if max(column) < least]
+
+    def run(parts):
+        for part in parts:
+            found = [(i, place) for i, w, r in zip(part["id"], part["words"], part["readings"], strict=True) for place in one(list(w), list(r))]
+            yield pd.DataFrame(found, columns=["id", "place"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "words", "readings").mapInPandas(run, f"id {kind}, place int")
+
+
+def agreements(windows: DataFrame, key: str, tokens: int = 2, letters: int = 4) -> DataFrame:
+    """(key, agreement): the mean similarity of what was decoded in each window to the words placed there, over
+    windows (key, decoded, placed) that hold enough to judge by; keys without such windows are missing."""
+    from pyspark.sql import functions as F
+
+    judged = windows.where((F.size("decoded") >= tokens) & (F.length(F.array_join("decoded", "")) >= letters))
+
+    def run(parts):
+        for part in parts:
+            values = [SequenceMatcher(None, list(d), list(p)).ratio() if len(p) else 0.0 for d, p in zip(part["decoded"], part["placed"], strict=True)]
+            yield pd.DataFrame({key: part[key], "ratio": values})
+
+    kind = windows.schema[key].dataType.simpleString()
+    return judged.select(key, "decoded", "placed").mapInPandas(run, f"`{key}` {kind}, ratio double").groupBy(key).agg(F.round(F.avg("ratio"), 4).alias("agreement"))
+
+
+def ordered_windows(lines: DataFrame, least: float = 0.6) -> DataFrame:
+    """Lines (key, nth, wanted, words) of a passage with the window of their own length that agrees best word by
+    word: (key, nth, start, stop). Of equal ones the nearest to where the line before left off."""
+    from strandline.operators.folds import ordered_fold
+
+    def begin(_):
+        cursor = [0]
+
+        def step(row):
+            key, nth, wanted, words = row
+            wanted, words = list(wanted), list(words)
+            best = None
+            for start in range(len(words) - len(wanted) + 1 if wanted else 0):
+                rank = (sum(a == b for a, b in zip(wanted, words[start : start + len(wanted)], strict=True)) / len(wanted), -abs(start - cursor[0]))
+                if best is None or rank > best[0]:
+                    best = (rank, start)
+            if best is not None and best[0][0] >= least:
+                cursor[0] = best[1] + len(wanted)
+                yield key, nth, best[1], cursor[0] - 1
+
+        return step, lambda: iter(())
+
+    kind, number = lines.schema["key"].dataType.simpleString(), lines.schema["nth"].dataType.simpleString()
+    return ordered_fold(lines.select("key", "nth", "wanted", "words"), ["key"], ["nth"], begin, f"key {kind}, nth {number}, start int, stop int")

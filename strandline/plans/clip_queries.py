@@ -157,8 +157,27 @@ def nearest_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.nearest_spans(points, quiet, "user_id", 12 * HOUR).select("id", "start", "end", "gap")
 
 
+def voice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captions = verses(spark, sf_dir).withColumns({"said": F.when(F.col("event_id") % 7 > 0, F.col("start") + F.col("v")), "last_word": F.when(F.col("user_id") % 5 > 0, F.col("start"))})
+    quiet = moments(spark, sf_dir).select("user_id", (F.col("m") + F.col("v") % 900 - 300).alias("start"), (F.col("m") + 3 * HOUR).alias("end"))
+    return clips.to_the_voice(captions, quiet, USER, ["n"]).select("event_id", "start", "end")
+
+
+def captions_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verses(spark, sf_dir).where("end > start")
+    captions = rows.where("n % 5 <> 2").select("user_id", F.col("event_id").alias("id"), "start", (F.col("end") + F.col("v") * 400).alias("end"))
+    repeats = rows.where("n % 5 = 2").select("user_id", (F.col("start") - F.col("v") * 100).alias("start"), (F.col("start") + F.col("v") * 50 + 1).alias("end"))
+    return clips.with_repeats(captions, clips.normal_cuts(repeats.withColumn("auto", F.lit(True)), USER, F.lit(DURATION)), "user_id", 6 * HOUR, HOUR)
+
+
+def caption_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captions = verses(spark, sf_dir).dropDuplicates(["user_id", "start"]).select("user_id", F.col("event_id").alias("id"), "start", "end")
+    times = moments(spark, sf_dir).select("user_id", (F.col("m") + F.col("v") * 150 - HOUR).alias("time")).distinct()
+    return clips.layers_at(times, captions, "user_id", 8 * HOUR)
+
+
 QUERIES = {f.__name__: f for f in (
-    new_clips, moved_clips, dragged_clips, added_clips, removed_clips, verse_windows, snapped_clips, clip_labels, normal_cuts, source_times, pause_kinds, pause_cuts, fitted_lengths,
+    voice_edges, captions_with_repeats, caption_layers, new_clips, moved_clips, dragged_clips, added_clips, removed_clips, verse_windows, snapped_clips, clip_labels, normal_cuts, source_times, pause_kinds, pause_cuts, fitted_lengths,
     moved_blocks, resized_starts, resized_ends, appended_blocks, clamped_spans, nearest_quiet,
 )}
 
@@ -176,6 +195,21 @@ _WINDOW = f"""g AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY user_id ORDER B
   h AS (SELECT *, least(a, greatest(lo + CAST(floor(greatest(0, a - lo) / 2) AS BIGINT), a - 500, 0)) AS o, greatest(b, least(b + CAST(floor(greatest(0, hi - b) / 2) AS BIGINT), b + 500)) AS c FROM g)"""
 
 ORACLES = {
+    "voice_edges": f"""WITH {_M}, k AS (SELECT *, min(n) OVER (PARTITION BY user_id) = n AS f, max(n) OVER (PARTITION BY user_id) = n AS l, CASE WHEN event_id % 7 > 0 THEN a + v END AS said FROM s)
+      SELECT event_id, CASE WHEN f AND said - 400 > a THEN said - 400 ELSE a END AS start, CASE WHEN l AND user_id % 5 > 0 THEN coalesce((SELECT CASE WHEN min(q.m + q.v % 900 - 300) + 1000 < k.b THEN min(q.m + q.v % 900 - 300) + 1000 END FROM e q
+        WHERE q.user_id = k.user_id AND q.m + 10800000 >= k.b - 100 AND q.m + q.v % 900 - 300 <= k.b AND q.m + q.v % 900 - 300 >= k.a), b) ELSE b END AS "end" FROM k""",
+    "captions_with_repeats": f"""WITH {_M}, c AS (SELECT user_id, greatest(0, a - v * 100) AS a, least({_D}, a + v * 50 + 1) AS b FROM s WHERE b > a AND n % 5 = 2), d AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM c WHERE b - a >= 50),
+      g AS (SELECT *, sum(CASE WHEN was IS NULL OR a > was THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM d), r0 AS (SELECT user_id, min(a) AS a, max(b) AS b FROM g GROUP BY user_id, run),
+      r AS (SELECT user_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a) AS nth FROM r0) WHERE nth <= 400), x AS (SELECT user_id, event_id AS id, a, b + v * 400 AS b FROM s WHERE b > a AND n % 5 <> 2),
+      y AS (SELECT user_id, id, a, coalesce((SELECT min(r.a) FROM r WHERE r.user_id = x.user_id AND r.a > x.a AND r.a < x.b), b) AS b FROM x), z AS (SELECT *, coalesce((SELECT sum(greatest(0, least(r.b, y.b) - greatest(r.a, y.a))) FROM r WHERE r.user_id = y.user_id), 0) AS c FROM y),
+      w AS (SELECT user_id, id, coalesce((SELECT min(r.b) FROM r WHERE r.user_id = z.user_id AND z.a >= r.a AND z.a < r.b), a) AS a, b FROM z WHERE c * 2 <= b - a)
+      SELECT user_id, id, a AS start, b AS "end" FROM w WHERE b - a >= 3600000 OR NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = w.user_id AND (r.a = w.b OR r.b = w.a)) UNION ALL SELECT user_id, NULL, a, b FROM r""",
+    "caption_layers": f"""WITH {_M}, c AS (SELECT user_id, event_id AS id, a, b, lag(event_id) OVER q AS pid, lag(a) OVER q AS pa, lag(b) OVER q AS pb, row_number() OVER q AS i FROM s WINDOW q AS (PARTITION BY user_id ORDER BY a)), h AS (SELECT *, CAST(floor(greatest(0, 28800000 - greatest(0, a - pb)) / 2) AS BIGINT) AS half FROM c),
+      w AS (SELECT user_id, id, pid, a, i, CASE WHEN pid IS NULL THEN a - least(28800000, greatest(0, a)) ELSE greatest(pa, a - 28800000 + half) END AS x, CASE WHEN pid IS NULL THEN a ELSE least(b, a + half) END AS y FROM h),
+      t AS (SELECT DISTINCT user_id, m + v * 150 - 3600000 AS time FROM e), k AS (SELECT t.*, coalesce((SELECT max(i) FROM w WHERE w.user_id = t.user_id AND w.a <= t.time), 0) AS i FROM t),
+      p AS (SELECT k.*, n.id AS nid, n.pid AS npid, n.x AS nx, n.y AS ny, o.id AS oid, o.pid AS opid, o.x AS ox, o.y AS oy FROM k LEFT JOIN w n ON n.user_id = k.user_id AND n.i = k.i + 1 LEFT JOIN w o ON o.user_id = k.user_id AND o.i = k.i)
+      SELECT user_id, time, CASE WHEN time >= nx AND time < ny THEN nid ELSE oid END AS shown, CASE WHEN time >= nx AND time < ny THEN npid WHEN time >= ox AND time < oy THEN opid END AS leaving,
+        CAST(floor(CASE WHEN time >= nx AND time < ny THEN (time - nx) * 1000 / (ny - nx) WHEN time >= ox AND time < oy THEN (time - ox) * 1000 / (oy - ox) END) AS BIGINT) AS thousandths FROM p""",
     "new_clips": f'WITH {_M}, c AS (SELECT event_id, greatest(0, least(m, m + v % 5000 - 2500)) AS start, least({_D}, greatest(m, m + v % 5000 - 2500)) AS "end" FROM e) SELECT * FROM c WHERE "end" - start >= 1000',
     "moved_clips": f'WITH {_M}, c AS (SELECT *, greatest(0, least(m - 1000, m + v % 3000 - 1000)) AS x, least({_D}, greatest(m - 1000, m + v % 3000 - 1000)) AS y FROM e) SELECT event_id, CASE WHEN event_id % 3 = 0 AND y - x >= 1000 THEN x ELSE m END AS start, CASE WHEN event_id % 3 = 0 AND y - x >= 1000 THEN y ELSE m + 4000 END AS "end" FROM c',
     "dragged_clips": f"""WITH {_M}, c AS (SELECT *, (v % 7000 - 3500) * 100 AS d FROM e) SELECT event_id, CASE event_id % 3 WHEN 0 THEN greatest(0, least(m + d, {_D} - 3000)) WHEN 1 THEN greatest(0, least(m + d, m + 2000)) ELSE m END AS start,

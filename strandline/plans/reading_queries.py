@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import readings
+from strandline.operators import readings, sync
 from strandline.plans.clip_queries import HOUR, moments, verses
 from strandline.plans.run_queries import USER, frames
 from strandline.runtime import table
@@ -96,8 +96,16 @@ def added_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.added_after(rows, USER, "n", 3, 12 * HOUR).select("user_id", "n", "start", "end", "added")
 
 
+def credited_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the parts an order asks for, where the catalogue knows them and something of them is drawn."""
+    chosen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("f")).distinct()
+    drawn = chosen.select("id", F.when(F.col("f") == "N", "words").otherwise("text").alias("source"))
+    shown = readings.shown_ids(chosen.select("o", "id").distinct(), drawn, "id")
+    return sync.options_in_order(shown, ["o"], table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id", "name")
+
+
 QUERIES = {f.__name__: f for f in (
-    uncut_stops, long_breaths, unrushed_words, dip_levels, join_cuts, lull_spans, next_windows, chunk_units, recited_words, vocabulary_pieces, misfits, shown_editions, sampled_parts, added_verses,
+    uncut_stops, long_breaths, unrushed_words, dip_levels, join_cuts, lull_spans, next_windows, chunk_units, recited_words, vocabulary_pieces, misfits, shown_editions, credited_names, sampled_parts, added_verses,
 )}
 
 _E = """e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, CAST(floor(value * 100 + 0.5) AS BIGINT) AS v, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) - 1704067200000 AS m, event_id, event_type FROM events),
@@ -135,6 +143,7 @@ ORACLES = {
     "vocabulary_pieces": rf"WITH t AS (SELECT item_id, regexp_replace(lower(coalesce(text, '')), '\s+', '', 'g') AS bare, regexp_extract_all(lower(coalesce(text, '')), '{_EITHER}') AS p FROM benchmark) SELECT item_id, CASE WHEN length(array_to_string(p, '')) = length(bare) THEN array_to_string(p, '|') END AS pieces FROM t",
     "misfits": "SELECT l_orderkey, levenshtein(string_agg(chr(97 + l_linenumber), '' ORDER BY l_partkey, l_linenumber), string_agg(chr(97 + l_linenumber), '' ORDER BY l_extendedprice, l_linenumber)) AS edits FROM lineitem GROUP BY l_orderkey",
     "shown_editions": "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'O')",
+    "credited_names": "SELECT DISTINCT l_orderkey AS o, l_partkey AS id, coalesce(p_name, CAST(l_partkey AS VARCHAR)) AS name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag <> 'N')",
     "sampled_parts": "SELECT p_partkey, p_name FROM part ORDER BY md5(CAST(p_partkey AS VARCHAR) || 'seed'), p_partkey LIMIT 25",
     "added_verses": f"""WITH {_E}, x AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY n) AS nx FROM s), y AS (SELECT *, coalesce(nx, b + 43200000) - b >= 43200000 AS room, CAST(floor((a + b) / 2) AS BIGINT) AS mid FROM x)
       SELECT user_id, n, a AS start, CASE WHEN n = 3 AND NOT room THEN mid ELSE b END AS "end", false AS added FROM y UNION ALL SELECT user_id, n, CASE WHEN room THEN b ELSE mid END, CASE WHEN room THEN coalesce(nx, b + 43200000) ELSE b END, true FROM y WHERE n = 3""",
