@@ -17,6 +17,7 @@ empty result.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,8 +105,17 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["size"] if sizes else 0))
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", tables: int = 8, hashes: int = 8, width: float = 2.0, probes: int = 200, bucket_rows: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each query row."""
+def hashes_for(vectors: int) -> int:
+    """8 hashes up to 110,000 vectors, and one more for each factor of 11.
+
+    The nearest of many vectors are nearer, so more hashes find them still; with the number fixed, a query would see
+    the same share of ever more vectors.
+    """
+    return 8 + max(0, math.floor(math.log(max(vectors, 1) / 10_000, 11)))
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", tables: int = 8, hashes: int | None = None, width: float = 2.0, probes: int = 200, bucket_rows: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each query row; hashes by the number of vectors, if not given."""
     spark = df.sparkSession
     ship_package(spark)
     rows = usable(df, key, vector)
@@ -115,6 +125,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     first = asked.select(F.size("q")).first()
     if first is None:
         return spark.createDataFrame([], f"query_id {df.schema[key].dataType.simpleString()}, rank int, vec_id {df.schema[key].dataType.simpleString()}, score double")
+    count = base.count()
+    hashes = hashes or hashes_for(count)
     shared = spark.sparkContext.broadcast(PStableTables(first[0], tables, hashes, width, probes))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +154,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     salts = F.coalesce("salts", F.lit(1))
     filed = filed.join(hot, ["t", "code"], "left").select("t", "code", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), "id", "v", F.lit(False).alias("asks"))
     probes_of = asked.mapInArrow(probe, shape).join(hot, ["t", "code"], "left").select("t", "code", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "id", "v", F.lit(True).alias("asks"))
-    groups = max(16, -(-base.count() * tables // 20_000))
+    groups = max(16, -(-count * tables // 20_000))
     dealt = filed.unionByName(probes_of).withColumn("group", F.pmod(F.xxhash64("t", "code", "salt"), F.lit(groups)))
 
     def rank(group: pa.Table) -> pa.Table:
