@@ -194,7 +194,7 @@ class ByteBpe:
         return self.join(self._tree(data[:middle]), self._tree(data[middle:]))
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.split.findall(text) for i in self.encode_piece(piece.encode())]
+        return [i for piece in self.find_pieces(text) for i in self.encode_piece(piece.encode())]
 
     # decoding -----------------------------------------------------------------------------
 

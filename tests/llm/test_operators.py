@@ -70,6 +70,20 @@ def test_bpe_equals_the_library():
         assert coder.decode(coder.encode(text)) == text.encode()
 
 
+def test_bpe_tree_with_leaves_of_one_byte(monkeypatch):
+    """Every join of the tree is done, down to single bytes; and both ways of splitting give the same pieces."""
+    monkeypatch.setattr(byte_bpe, "LEAF_BYTES", 1)
+    known = byte_bpe.coder(registry.RANKS, public_tokenizers.PATTERN).ranks
+    coder = byte_bpe.ByteBpe(known, public_tokenizers.PATTERN)
+    wanted = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    rng = random.Random(2)
+    for alphabet in ("ab", "the ing", "éa漢", "0123 ", "=-#", "xyz' s\n\t"):
+        for _ in range(60):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 90)))
+            assert coder.encode(text) == wanted.encode_ordinary(text)
+            assert coder.find_pieces(text) == coder.split.findall(text)
+
+
 def test_bpe_frames(docs, empty):
     got = by_id(byte_bpe.token_digests(docs, registry.RANKS, public_tokenizers.PATTERN))
     assert got[0].n_tokens == 0 and got[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
