@@ -204,7 +204,7 @@ def train(df: DataFrame, text: str, language: str, key: str, rows_per_language:
     `rows_per_language` and not the table.
     """
     known = df.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(language).alias("language"), F.col(text).alias("t"))
-    sample = bounded_sample(known, "language", "k", rows_per_language).select("language", "t")
+    sample = bounded_sample(known, "language", "k", "t", rows_per_language).select("language", "t")
     columns = [f"c{i}" for i in range(ORDER)]
     counted = sample.mapInArrow(_gram_counts, f"language string, {', '.join(f'{c} int' for c in columns)}, n long").groupBy("language", *columns).agg(F.sum("n").alias("n"))
     got = counted.toPandas()

@@ -58,17 +58,25 @@ def held_out(column):
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 4 == 2
 
 
-def bounded_sample(df, by: str, key: str, rows: int):
-    """About `rows` rows for each value of `by`, chosen by a hash of the key; smaller groups stay whole.
+def sample_share(*columns):
+    """A number from 0 to 1 for each row, by a hash of the columns."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(*columns, F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+
+
+def bounded_sample(df, by: str, key: str, text: str, rows: int):
+    """About `rows` rows for each value of `by`, chosen by a hash of key and text; smaller groups stay whole.
 
     Only the counts reach the driver (one row for each value); the choice is a filter, so no group
-    is gathered anywhere.
+    is gathered anywhere. Rows of one key are told apart by their texts, and rows that are the same
+    throughout count once, so a key or row that fills the table does not fill the sample.
     """
     from functools import reduce
 
     from pyspark.sql import functions as F
 
-    share = F.xxhash64(F.col(key), F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    share = sample_share(F.col(key), F.col(text))
     counts = df.groupBy(by).count().collect()
     keep = [(F.col(by) == F.lit(r[by])) & (share < F.lit(rows / r["count"])) for r in counts if r[by] is not None]
-    return df.where(reduce(lambda a, b: a | b, keep)) if keep else df.limit(0)
+    return df.where(reduce(lambda a, b: a | b, keep)).dropDuplicates([by, key, text]) if keep else df.limit(0)
