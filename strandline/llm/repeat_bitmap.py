@@ -21,8 +21,8 @@ CELL_BITS = 26
 HELD = 1 << 19
 #: Bytes of text whose hashes meet in one bucket, about.
 BUCKET_BYTES = 1 << 25
-#: Spark gives frames made on the driver, which are small, a size beyond this.
-UNKNOWN = 1 << 60
+#: Spark gives frames whose size it does not know one beyond this; their rows are counted, at so many bytes each.
+UNKNOWN, ROW_BYTES = 1 << 60, 1 << 12
 Hashes = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
 
 
@@ -35,7 +35,9 @@ def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def bucket_bits(frame: DataFrame) -> int:
     """Buckets grow with the input, so that one bucket's hashes always fit a task."""
     size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(20, max(8, (size // BUCKET_BYTES).bit_length())) if size < UNKNOWN else 8
+    if size >= UNKNOWN:
+        size = frame.count() * ROW_BYTES
+    return min(20, max(8, (size // BUCKET_BYTES).bit_length()))
 
 
 def repeat_bitmap(frame: DataFrame, hashes_of: Hashes, most: int) -> np.ndarray:
