@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 #: Bounds of a count, of a bitrate, of a check.
 LONGEST_CLIP = 6 * 60 * 60
-LEAST_BITRATE, MOST_BITRATE = 2_000_000, 40_000_000
+LEAST_BITRATE, MOST_BITRATE, SOUND_BITRATE = 4_000_000, 60_000_000, 128_000
+MOST_BYTES = 312_500_000
+#: Name, longer edge and hundredths of a bit for each pixel, best first.
+TIERS = (("max", 3840, 8), ("high", 2560, 12), ("standard", 1920, 16))
 LOW_MATCH = 0.5
 
 
@@ -48,6 +51,30 @@ def bitrate(width: Column, height: Column, fps: Column, hundredths: int) -> Colu
     return F.least(F.lit(MOST_BITRATE), F.greatest(F.lit(LEAST_BITRATE), F.floor(width * height * fps * hundredths / 100 + 0.5))).cast("long")
 
 
+def output_plan(wide: Column, high: Column, tier: Column, fps: Column, seconds: Column) -> Column:
+    """How a clip is written: the asked tier or the first lower one whose file fits MOST_BYTES, else the lowest at what
+    bits are left. Fields tier, width, height, bits, bytes, stepped_down, reduced and too_large."""
+
+    def weight(bits: Column) -> Column:
+        return F.floor((bits + SOUND_BITRATE) * seconds / 8 + 0.5).cast("long")
+
+    tried = []
+    for rank, (name, edge, hundredths) in enumerate(TIERS):
+        size = even_size(F.lit(edge), wide, high)
+        bits = bitrate(size["width"], size["height"], fps, hundredths)
+        tried.append(F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("tier"), size["width"].alias("width"), size["height"].alias("height"), bits.alias("bits")))
+    asked = F.coalesce(*[F.when(tier == name, rank) for rank, (name, *_) in enumerate(TIERS)], F.lit(len(TIERS) - 1))
+    allowed = F.filter(F.array(*tried), lambda t: t["rank"] >= asked)
+    fits = F.filter(allowed, lambda t: weight(t["bits"]) <= MOST_BYTES)
+    chosen = F.coalesce(F.get(fits, F.lit(0)), F.element_at(allowed, -1))
+    left = F.greatest(F.lit(LEAST_BITRATE), F.floor(F.lit(MOST_BYTES * 8) / seconds) - SOUND_BITRATE).cast("long")
+    bits = F.when(F.size(fits) == 0, left).otherwise(chosen["bits"])
+    return F.struct(
+        chosen["tier"].alias("tier"), chosen["width"].alias("width"), chosen["height"].alias("height"), bits.alias("bits"), weight(bits).alias("bytes"),
+        (chosen["rank"] > asked).alias("stepped_down"), (F.size(fits) == 0).alias("reduced"), (weight(bits) > MOST_BYTES).alias("too_large"),
+    )
+
+
 def export_count(chapter: Column, duration: Column, ratio: Column, chapters: int = 114) -> Column:
     """(chapter, duration, ratio) of a count that may be added; null where duration or ratio are no such values, the
     chapter alone null where it is none."""

@@ -35,6 +35,12 @@ def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("o", "z.width", "z.height", formats.bitrate(F.col("z.width"), F.col("z.height"), F.col("o") % 2 * 30 + 30, 9).alias("bits"))
 
 
+def output_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, high = _choice(F.col("c"), (9, 16, 1, 4)), _choice(F.col("c"), (16, 9, 1, 5))
+    plan = formats.output_plan(wide, high, _choice(F.col("o"), ("max", "high", "standard")), F.col("o") % 2 * 30 + 30, F.col("x") % 900 + 1)
+    return _orders(spark, sf_dir).withColumn("p", plan).select("o", "p.*")
+
+
 def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     duration = F.when(F.col("o") % 11 == 0, None).otherwise(F.col("x") / 700 - 1000)
     ratio = _choice(F.col("o"), ("9:16", "16:9", "1x1", "123:4", "4:5"))
@@ -110,7 +116,7 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    timecodes, durations, frame_sizes, export_counts, caption_reasons, rows_to_check, preset_names, file_names, api_paths, numbered_segments, synced_words, length_checks_by_frame, patch_changes, lane_blocks, job_states,
+    timecodes, durations, frame_sizes, output_plans, export_counts, caption_reasons, rows_to_check, preset_names, file_names, api_paths, numbered_segments, synced_words, length_checks_by_frame, patch_changes, lane_blocks, job_states,
 )}
 
 _O = "o AS (SELECT o_orderkey AS o, o_custkey AS c, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS x FROM orders)"
@@ -127,6 +133,11 @@ ORACLES = {
     "frame_sizes": f"""WITH {_O}, e AS (SELECT o, 200 + o % 3641 AS e, CASE c % 4 WHEN 0 THEN 9 WHEN 1 THEN 16 WHEN 2 THEN 1 ELSE 4 END AS w, CASE c % 4 WHEN 0 THEN 16 WHEN 1 THEN 9 WHEN 2 THEN 1 ELSE 5 END AS h FROM o),
       z AS (SELECT o, greatest(2, 2 * CAST(floor((CASE WHEN w >= h THEN e ELSE e * w / h END) / 2 + 0.5) AS BIGINT)) AS width, greatest(2, 2 * CAST(floor((CASE WHEN w >= h THEN e * h / w ELSE e END) / 2 + 0.5) AS BIGINT)) AS height FROM e)
       SELECT o, width, height, CAST(least({formats.MOST_BITRATE}, greatest({formats.LEAST_BITRATE}, floor(width * height * (o % 2 * 30 + 30) * 9 / 100 + 0.5))) AS BIGINT) AS bits FROM z""",
+    "output_plans": f"""WITH {_O}, t(rank, tier, edge, hundredths) AS (VALUES (0, 'max', 3840, 8), (1, 'high', 2560, 12), (2, 'standard', 1920, 16)), e AS (SELECT o, c, x % 900 + 1 AS sec, o % 2 * 30 + 30 AS fps, o % 3 AS asked, CASE c % 4 WHEN 0 THEN 9 WHEN 1 THEN 16 WHEN 2 THEN 1 ELSE 4 END AS w, CASE c % 4 WHEN 0 THEN 16 WHEN 1 THEN 9 WHEN 2 THEN 1 ELSE 5 END AS h FROM o),
+      z AS (SELECT e.*, t.*, greatest(2, 2 * CAST(floor((CASE WHEN w >= h THEN edge ELSE edge * w / h END) / 2 + 0.5) AS BIGINT)) AS width, greatest(2, 2 * CAST(floor((CASE WHEN w >= h THEN edge * h / w ELSE edge END) / 2 + 0.5) AS BIGINT)) AS height FROM e JOIN t ON t.rank >= asked),
+      b AS (SELECT *, CAST(least(60000000, greatest(4000000, floor(width * height * fps * hundredths / 100 + 0.5))) AS BIGINT) AS full_bits FROM z), f AS (SELECT *, floor((full_bits + 128000) * sec / 8 + 0.5) <= 312500000 AS fits FROM b),
+      r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY fits DESC, CASE WHEN fits THEN rank ELSE -rank END) AS nth FROM f), g AS (SELECT *, CASE WHEN fits THEN full_bits ELSE greatest(4000000, CAST(floor(2500000000 / sec) AS BIGINT) - 128000) END AS bits FROM r WHERE nth = 1)
+      SELECT o, tier, width, height, bits, CAST(floor((bits + 128000) * sec / 8 + 0.5) AS BIGINT) AS bytes, rank > asked AS stepped_down, NOT fits AS reduced, floor((bits + 128000) * sec / 8 + 0.5) > 312500000 AS too_large FROM g""",
     "export_counts": f"""WITH {_O}, d AS (SELECT *, CASE WHEN o % 11 > 0 THEN x / 700 - 1000 END AS d, CASE o % 5 WHEN 0 THEN '9:16' WHEN 1 THEN '16:9' WHEN 4 THEN '4:5' END AS r FROM o), f AS (SELECT *, coalesce(d >= 0 AND d <= 21600 AND r IS NOT NULL, false) AS fine FROM d)
       SELECT o, NOT fine AS refused, CASE WHEN fine AND c % 2 = 0 AND c // 2 BETWEEN 1 AND 114 THEN c // 2 END AS chapter, CASE WHEN fine THEN CAST(floor(d + 0.5) AS BIGINT) END AS duration, CASE WHEN fine THEN r END AS ratio FROM f""",
     "caption_reasons": f"WITH {_O}, {_REASONS} SELECT o, reasons FROM w",
