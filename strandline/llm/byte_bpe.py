@@ -231,19 +231,20 @@ class ByteBpe:
         return count, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
 
-_NONE, _SLOTS = 1 << 40, 1 << 21
+_NONE, _SLOT_BITS = 1 << 40, 20
+_SLOTS = 1 << _SLOT_BITS
 _LATIN = {c: "a" for c in range(0x80, 0x100)}
 _DIFFER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc\xbd\xbe]")
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def _pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """An open-addressed table from two neighbouring tokens to the token they make."""
     known = [((ranks[t[:i]] << 32) | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    keys, ids = np.full(_SLOTS, -1), np.zeros(_SLOTS, np.int64)
+    keys, ids = np.full(_SLOTS, -1), np.zeros(_SLOTS, np.int32)
     for (key, rank), slot in zip(known, _slot(np.array([k for k, _ in known])).tolist(), strict=True):
         while keys[slot] >= 0:
             slot = (slot + 1) & (_SLOTS - 1)
