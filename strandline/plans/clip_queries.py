@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strandline.operators import clips, runs
 from strandline.plans.run_queries import frames
-from strandline.runtime import table
 
 USER = ["user_id"]
 DURATION, HOUR = 2_500_000_000, 3_600_000

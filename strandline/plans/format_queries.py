@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import formats
-from strandline.plans.record_queries import _customers, _lines, _map, _orders
-
+from strandline.plans.record_queries import customers, order_lines, known_entries, order_rows
 
 PRESETS = [("first", {"tone": "FURNITURE", "size": "11"}), ("second", {"tone": "FURNITURE"}), ("third", {"edge": "1", "size": "12"}), ("plain", {"size": "13"})]
 
@@ -22,29 +21,29 @@ CODES = ("3:31.7", "3:31", "1:02:05.4", "211.7", "3:", "", ".5", "1:2:3:4", " 7:
 def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed times of many forms, and those that are none."""
     code = F.when(F.col("o") % 3 == 0, _choice(F.col("o"), CODES)).otherwise(F.concat_ws(":", F.col("c"), F.col("o") % 77, F.col("c") % 60))
-    return _orders(spark, sf_dir).select("o", F.floor(formats.parsed_timecode(code) * 10 + 0.5).cast("long").alias("tenths"))
+    return order_rows(spark, sf_dir).select("o", F.floor(formats.parsed_timecode(code) * 10 + 0.5).cast("long").alias("tenths"))
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o", formats.formatted_duration(F.floor(F.col("x") / 300)).alias("duration"), formats.formatted_tick(F.floor(F.col("x") / 3000) - 100).alias("tick"))
+    return order_rows(spark, sf_dir).select("o", formats.formatted_duration(F.floor(F.col("x") / 300)).alias("duration"), formats.formatted_tick(F.floor(F.col("x") / 3000) - 100).alias("tick"))
 
 
 def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, high = _choice(F.col("c"), (9, 16, 1, 4)), _choice(F.col("c"), (16, 9, 1, 5))
-    sized = _orders(spark, sf_dir).withColumn("z", formats.even_size(F.lit(200) + F.col("o") % 3641, wide, high))
+    sized = order_rows(spark, sf_dir).withColumn("z", formats.even_size(F.lit(200) + F.col("o") % 3641, wide, high))
     return sized.select("o", "z.width", "z.height", formats.bitrate(F.col("z.width"), F.col("z.height"), F.col("o") % 2 * 30 + 30, 9).alias("bits"))
 
 
 def output_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, high = _choice(F.col("c"), (9, 16, 1, 4)), _choice(F.col("c"), (16, 9, 1, 5))
     plan = formats.output_plan(wide, high, _choice(F.col("o"), ("max", "high", "standard")), F.col("o") % 2 * 30 + 30, F.col("x") % 900 + 1)
-    return _orders(spark, sf_dir).withColumn("p", plan).select("o", "p.*")
+    return order_rows(spark, sf_dir).withColumn("p", plan).select("o", "p.*")
 
 
 def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     duration = F.when(F.col("o") % 11 == 0, None).otherwise(F.col("x") / 700 - 1000)
     ratio = _choice(F.col("o"), ("9:16", "16:9", "1x1", "123:4", "4:5"))
-    counted = _orders(spark, sf_dir).withColumn("e", formats.export_count((F.col("c") / 2).cast("double"), duration.cast("double"), ratio))
+    counted = order_rows(spark, sf_dir).withColumn("e", formats.export_count((F.col("c") / 2).cast("double"), duration.cast("double"), ratio))
     return counted.select("o", F.col("e").isNull().alias("refused"), "e.chapter", "e.duration", "e.ratio")
 
 
@@ -52,67 +51,67 @@ def caption_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons against each order, and how many rows of its customer have any."""
     found = F.array_compact(F.array(F.when(F.col("o") % 3 == 0, "stop_mark"), F.when(F.col("o") % 5 == 0, "misheard")))
     score = F.when(F.col("o") % 7 > 0, F.col("x") % 100 / 100)
-    return _orders(spark, sf_dir).select("o", F.array_join(formats.caption_checks(found, score, F.when(F.col("c") % 4 > 0, F.col("c") % 4 == 1)), ",").alias("reasons"))
+    return order_rows(spark, sf_dir).select("o", F.array_join(formats.caption_checks(found, score, F.when(F.col("c") % 4 > 0, F.col("c") % 4 == 1)), ",").alias("reasons"))
 
 
 def rows_to_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return caption_reasons(spark, sf_dir).join(_orders(spark, sf_dir).select("o", "c"), "o").groupBy("c").agg(F.count_if(F.col("reasons") != "").alias("n"))
+    return caption_reasons(spark, sf_dir).join(order_rows(spark, sf_dir).select("o", "c"), "o").groupBy("c").agg(F.count_if(F.col("reasons") != "").alias("n"))
 
 
 def preset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = _map(tone=F.col("segment"), size=F.col("c") % 4 + 10, edge=F.when(F.col("c") % 3 == 0, F.col("n") % 3))
-    return _customers(spark, sf_dir).select("c", formats.matching_preset(config, PRESETS).alias("preset"))
+    config = known_entries(tone=F.col("segment"), size=F.col("c") % 4 + 10, edge=F.when(F.col("c") % 3 == 0, F.col("n") % 3))
+    return customers(spark, sf_dir).select("c", formats.matching_preset(config, PRESETS).alias("preset"))
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("c") % 6 == 0, F.concat(F.lit("ـ-trimmed-trimmed."), F.col("segment"))).when(F.col("c") % 6 == 1, "").when(F.col("c") % 6 == 2, None).otherwise(F.concat(F.col("name"), F.lit(" (a) 😭."), F.col("segment")))
     base = formats.safe_base_name(given, F.substring(F.md5(F.coalesce(given, F.lit(""))), 1, 6))
     named = formats.export_name(F.when(F.col("c") % 5 == 0, " ?: ").otherwise(F.concat(F.lit(" "), F.col("name"), F.lit(" <x>"))), F.col("n"), F.col("c") % 9, F.col("c") % 9 + 3, "mp4")
-    return _customers(spark, sf_dir).select("c", base.alias("base"), named.alias("named"))
+    return customers(spark, sf_dir).select("c", base.alias("base"), named.alias("named"))
 
 
 def api_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(_choice(F.col("c"), ("https://api.example.org/content/v4", "/content/v4", "http://api.example.org/content/v4", "/other", "https://apiXexample.org/content/v4")), F.when(F.col("c") % 7 > 0, F.concat(F.lit("/"), F.col("name"))).otherwise(""))
-    return _customers(spark, sf_dir).select("c", formats.api_path(url, "api.example.org", "/content/v4").alias("path"))
+    return customers(spark, sf_dir).select("c", formats.api_path(url, "api.example.org", "/content/v4").alias("path"))
 
 
 def numbered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of texts, of which some are short and some are no numbers."""
     text = lambda c: c.cast("string")
     segment = lambda r: F.when(r["k"] % 4 == 3, F.array(text(r["k"]), text(r["p"]))).otherwise(F.array(F.lit("w"), text(r["k"]), F.when(r["p"] % 5 == 0, F.lit("none")).otherwise(text(r["p"])), text(r["p"] + 7)))
-    found = _lines(spark, sf_dir).select("o", F.explode(formats.numeric_segments(F.transform("rows", segment))).alias("s"))
+    found = order_lines(spark, sf_dir).select("o", F.explode(formats.numeric_segments(F.transform("rows", segment))).alias("s"))
     return found.select("o", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("number", "start", "end")])
 
 
 def synced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = F.transform("rows", lambda r: F.struct(F.when(r["p"] % 3 > 0, r["excluded"]).alias("excluded"), F.when(r["x"] % 2 == 0, r["x"]).alias("time")))
     current = F.transform(F.slice("rows", 1, F.greatest(F.lit(1), F.size("rows") - F.when(F.col("o") % 2 == 0, 0).otherwise(1)).cast("int")), lambda r: r["p"].cast("string"))
-    rows = _lines(spark, sf_dir).select("o", F.posexplode(formats.synced_words(stored, current)).alias("nth", "w"))
+    rows = order_lines(spark, sf_dir).select("o", F.posexplode(formats.synced_words(stored, current)).alias("nth", "w"))
     return rows.select("o", "nth", "w.word", "w.excluded", "w.time")
 
 
 def length_checks_by_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = F.when(F.col("o") % 13 > 0, (F.col("x") % 3000) / 1000)
-    return _orders(spark, sf_dir).select("o", formats.length_check(measured.cast("double"), ((F.col("x") % 3000 + F.col("c") % 300 - 150) / 1000).cast("double"), (F.col("o") % 3 * 12 + 6).cast("double")).alias("state"))
+    return order_rows(spark, sf_dir).select("o", formats.length_check(measured.cast("double"), ((F.col("x") % 3000 + F.col("c") % 300 - 150) / 1000).cast("double"), (F.col("o") % 3 * 12 + 6).cast("double")).alias("state"))
 
 
 def patch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change between the lines of an order, as cells of two numbers, and the same ones turned round, one cell short."""
     first = F.transform("rows", lambda r: F.array(r["k"].cast("double"), (r["p"] % 50).cast("double")))
     second = F.slice(F.reverse(first), 1, F.greatest(F.size("rows") - 1, F.lit(1)))
-    return _lines(spark, sf_dir).select("o", F.floor(formats.patch_change(first, second) * 1000 + 0.5).cast("long").alias("thousandths"))
+    return order_lines(spark, sf_dir).select("o", F.floor(formats.patch_change(first, second) * 1000 + 0.5).cast("long").alias("thousandths"))
 
 
 def lane_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which line of an order, as a block of its part's length, plays at a time."""
     blocks = F.transform("rows", lambda r: F.struct((r["k"] * 30).alias("start"), (r["k"] * 30 + r["p"] % 90).alias("end"), r["x"].alias("x")))
     block = formats.lane_at(blocks, F.col("o") % 300 - 20)
-    return _lines(spark, sf_dir).withColumn("b", block).select("o", "b.start", "b.x")
+    return order_lines(spark, sf_dir).withColumn("b", block).select("o", "b.start", "b.x")
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = _choice(F.col("o"), ("queued", "rendering", "done"))
-    return _orders(spark, sf_dir).select("o", formats.cancelled(state).alias("called_off"), formats.removable(state, F.col("o") % 5, F.lit(2)).alias("leaves"))
+    return order_rows(spark, sf_dir).select("o", formats.cancelled(state).alias("called_off"), formats.removable(state, F.col("o") % 5, F.lit(2)).alias("leaves"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -13,15 +13,15 @@ from strandline.runtime import table
 EARLIEST, LATEST = 1_577_836_800_000, 1_700_000_000_000
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("x"), micros("o_orderdate").alias("d"))
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("long").alias("n"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o, rows): the lines of each order in order, with a gloss that may be blank."""
     gloss = F.when(F.col("l_returnflag") == "A", "  ").otherwise(F.concat(F.lit(" "), F.col("l_returnflag"), F.col("l_suppkey").cast("string")))
     line = F.struct(F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("x"), gloss.alias("gloss"), (F.col("l_linestatus") == "F").alias("excluded"))
@@ -39,74 +39,74 @@ def _pairs(entries: Column) -> Column:
 def parsed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("o") % 3 == 0, F.concat_ws(":", "c", F.col("o") % 10)).when(F.col("o") % 3 == 1, F.concat(F.lit("x"), F.col("o")))
     chapter = F.when(F.col("c") % 5 > 0, F.col("c"))
-    return _orders(spark, sf_dir).select("o", records.parsed_key(given, chapter, F.col("o") % 4).alias("key"))
+    return order_rows(spark, sf_dir).select("o", records.parsed_key(given, chapter, F.col("o") % 4).alias("key"))
 
 
 def opening_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.element_at(F.array(*map(F.lit, ("istiadha", "basmala", "1:1", "Basmala"))), (F.col("o") % 4 + 1).cast("int"))
-    return _orders(spark, sf_dir).select("o", records.is_opening(F.when(F.col("c") % 7 > 0, key)).alias("opening"))
+    return order_rows(spark, sf_dir).select("o", records.is_opening(F.when(F.col("c") % 7 > 0, key)).alias("opening"))
 
 
 def sane_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     artist = F.when(F.col("c") % 3 == 0, "  ").when(F.col("c") % 3 == 1, F.concat(F.lit("  "), F.col("name"), F.lit(" ")))
     title = F.when(F.col("c") % 4 == 1, F.repeat("segment", 3))
     tags = records.sane_tags({"artist": artist, "title": title}, F.col("c") * 37 % 1300 - 50, 20)
-    return _customers(spark, sf_dir).withColumn("t", tags).select("c", F.col("t").isNull().alias("nothing"), "t.artist", "t.title", "t.track")
+    return customers(spark, sf_dir).withColumn("t", tags).select("c", F.col("t").isNull().alias("nothing"), "t.artist", "t.title", "t.track")
 
 
 def sane_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("o") * 37 % 5000 - 200
     clip = F.struct(F.when(F.col("o") % 6 == 0, "").when(F.col("o") % 6 == 1, None).otherwise(F.col("p")).alias("id"), start.alias("start"), (start + F.col("x") % 3000).alias("end"))
-    listed = _orders(spark, sf_dir).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("o", clip.alias("clip")))).alias("l"))
+    listed = order_rows(spark, sf_dir).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("o", clip.alias("clip")))).alias("l"))
     clean = listed.select("c", F.posexplode(records.sane_clips(F.transform("l", lambda e: e["clip"]), 8)).alias("nth", "k"))
     return clean.select("c", "nth", "k.id", "k.start", "k.end")
 
 
 def payload_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     fault = records.sane_payload(F.when(F.col("o") % 9 > 0, F.col("o") % 5), F.col("c") % 50, F.when(F.col("o") % 8 > 0, F.col("c") % 50 + F.col("o") % 30 - 5), 20)
-    return _orders(spark, sf_dir).select("o", fault.alias("fault"))
+    return order_rows(spark, sf_dir).select("o", fault.alias("fault"))
 
 
-def _map(**entries: Column) -> Column:
+def known_entries(**entries: Column) -> Column:
     """A map of the entries that are not null."""
     return F.map_filter(F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
 
 
 def _base() -> Column:
-    return _map(font=F.lit("plain"), size=F.lit("12"), tone=F.col("segment"))
+    return known_entries(font=F.lit("plain"), size=F.lit("12"), tone=F.col("segment"))
 
 
 def _own() -> Column:
-    return _map(size=F.when(F.col("c") % 2 == 0, F.col("c") % 3 + 11), tone=F.when(F.col("c") % 3 == 0, F.col("segment")), edge=F.when(F.col("c") % 5 == 0, F.col("n")))
+    return known_entries(size=F.when(F.col("c") % 2 == 0, F.col("c") % 3 + 11), tone=F.when(F.col("c") % 3 == 0, F.col("segment")), edge=F.when(F.col("c") % 5 == 0, F.col("n")))
 
 
 def overlaid_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("c") % 7 > 0, _own())
-    return _customers(spark, sf_dir).select("c", _pairs(records.overlaid(_base(), own)).alias("style"))
+    return customers(spark, sf_dir).select("c", _pairs(records.overlaid(_base(), own)).alias("style"))
 
 
 def changed_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).select("c", _pairs(records.changed_entries(_own(), _base())).alias("style"))
+    return customers(spark, sf_dir).select("c", _pairs(records.changed_entries(_own(), _base())).alias("style"))
 
 
 def remaining_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.array(F.lit("size"), F.when(F.col("c") % 2 == 1, "tone").otherwise("none"))
-    return _customers(spark, sf_dir).select("c", _pairs(records.without_keys(_own(), removed)).alias("style"))
+    return customers(spark, sf_dir).select("c", _pairs(records.without_keys(_own(), removed)).alias("style"))
 
 
 def toggled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _orders(spark, sf_dir).groupBy("c").agg(F.sort_array(F.collect_set("p")).alias("ids"))
+    listed = order_rows(spark, sf_dir).groupBy("c").agg(F.sort_array(F.collect_set("p")).alias("ids"))
     chosen = F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "9-NEW"))), (F.col("c") % 3 + 1).cast("int"))
     return listed.select("c", F.array_join(records.toggled(F.col("ids"), chosen, 4), ",").alias("ids"))
 
 
 def all_lines_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("o", records.all_hold(F.col("rows"), lambda r: (r["x"] > 1_000_000) & (r["p"] > 20)).alias("every"))
+    return order_lines(spark, sf_dir).select("o", records.all_hold(F.col("rows"), lambda r: (r["x"] > 1_000_000) & (r["p"] > 20)).alias("every"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o, a, b): the lines of an order by the parity of their part."""
-    return _lines(spark, sf_dir).select("o", F.filter("rows", lambda r: r["p"] % 2 == 0).alias("a"), F.filter("rows", lambda r: r["p"] % 2 == 1).alias("b"))
+    return order_lines(spark, sf_dir).select("o", F.filter("rows", lambda r: r["p"] % 2 == 0).alias("a"), F.filter("rows", lambda r: r["p"] % 2 == 1).alias("b"))
 
 
 def filled_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,43 +120,43 @@ def hidden_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gloss_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("o", records.gloss_line(F.col("rows")).alias("line"))
+    return order_lines(spark, sf_dir).select("o", records.gloss_line(F.col("rows")).alias("line"))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of three titles of at most 24 characters, and how a stored passage is named."""
     title, cut = records.first_fitting([F.concat_ws(" | ", "name", "segment", F.repeat("segment", (F.col("c") % 2).cast("int"))), F.concat_ws(" | ", "name", F.repeat("segment", (F.col("c") % 3).cast("int")))], 24)
     stored = F.format_string("%s (%d:%d-%d) Clip", "name", "n", F.col("c") % 9 + 1, F.col("c") % 9 + 4)
-    return _customers(spark, sf_dir).select("c", title.alias("title"), cut.alias("cut"), stored.alias("stored"))
+    return customers(spark, sf_dir).select("c", title.alias("title"), cut.alias("cut"), stored.alias("stored"))
 
 
 def preferred_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.when(F.col("c") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("c") % 3 == 1, F.array(F.lit("b"), F.lit("d"), F.lit("a"))).otherwise(F.array(F.lit("e")))
-    carried = _map(a=F.when(F.col("c") % 2 == 0, F.concat(F.lit("A"), "c")), b=F.when(F.col("c") % 5 == 0, F.lit("")).when(F.col("c") % 5 == 1, F.concat(F.lit("B"), "c")), d=F.when(F.col("c") % 7 == 0, F.lit("D")))
-    local = _map(a=F.when(F.col("c") % 4 == 1, F.lit("own a")), b=F.when(F.col("c") % 4 == 3, F.lit("own b")))
-    return _customers(spark, sf_dir).select("c", records.preferred_text(wanted, carried, local).alias("text"))
+    carried = known_entries(a=F.when(F.col("c") % 2 == 0, F.concat(F.lit("A"), "c")), b=F.when(F.col("c") % 5 == 0, F.lit("")).when(F.col("c") % 5 == 1, F.concat(F.lit("B"), "c")), d=F.when(F.col("c") % 7 == 0, F.lit("D")))
+    local = known_entries(a=F.when(F.col("c") % 4 == 1, F.lit("own a")), b=F.when(F.col("c") % 4 == 3, F.lit("own b")))
+    return customers(spark, sf_dir).select("c", records.preferred_text(wanted, carried, local).alias("text"))
 
 
 def clamped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = F.transform("rows", lambda r: F.struct(r["k"].alias("number"), (r["p"] * 40).alias("start"), (r["p"] * 40 + r["x"] % 900).alias("end")))
-    cut = _lines(spark, sf_dir).select("o", F.explode(records.clamped_segments(segments, F.col("o") % 3000, F.lit(4000))).alias("s"))
+    cut = order_lines(spark, sf_dir).select("o", F.explode(records.clamped_segments(segments, F.col("o") % 3000, F.lit(4000))).alias("s"))
     return cut.select("o", "s.number", "s.start", "s.end")
 
 
 def reference_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit(" "), "c", F.lit(":1\t"), F.translate("name", "#", " "), F.lit(" \nno tab here\n"), "n", F.lit(":2 \t  "), "segment", F.lit("  x"))
-    words = _customers(spark, sf_dir).select("c", F.explode(records.reference_words(text)).alias("w"))
+    words = customers(spark, sf_dir).select("c", F.explode(records.reference_words(text)).alias("w"))
     return words.select("c", "w.key", F.col("w.place").cast("long").alias("place"), "w.word")
 
 
 def clip_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = F.concat(F.when(F.col("c") % 11 > 0, "clip-k").otherwise("clip_k"), F.lpad((F.col("c") * 7919 % 9_999_991).cast("string"), 7, "7"), F.lit("-"), F.col("n"))
-    return _customers(spark, sf_dir).select("c", records.made_at(clip, EARLIEST, LATEST).alias("made_at"))
+    return customers(spark, sf_dir).select("c", records.made_at(clip, EARLIEST, LATEST).alias("made_at"))
 
 
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = F.transform("rows", lambda r: F.struct((r["k"] * 1000).alias("start"), (r["k"] * 1000 + r["p"]).alias("end"), r["excluded"].alias("auto")))
-    return _lines(spark, sf_dir).withColumn("text", records.encoded_edit(cuts, 100 + F.col("o") % 26, F.col("o") % 2 == 0, F.col("o") % 3 == 0))
+    return order_lines(spark, sf_dir).withColumn("text", records.encoded_edit(cuts, 100 + F.col("o") % 26, F.col("o") % 2 == 0, F.col("o") % 3 == 0))
 
 
 def encoded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,12 +172,12 @@ def decoded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("c") % 4 == 3, "/api/audio/other?edit=zz").when(F.col("c") % 4 == 2, F.concat(F.lit("/api/audio/edited?edit=e"), "c")).otherwise(F.concat(F.lit("/api/audio/edited?reciter="), "n", F.lit("&edit=e"), "c", F.lit("&ayah=3")))
-    return _customers(spark, sf_dir).select("c", records.edited_source(path).alias("source"), records.edit_of(path).alias("edit"))
+    return customers(spark, sf_dir).select("c", records.edited_source(path).alias("source"), records.edit_of(path).alias("edit"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("c") % 3 == 0, F.concat(F.lit('```json\n{"n": '), "n", F.lit(', }\n```'))).when(F.col("c") % 3 == 1, F.concat(F.lit('Here: {"n": ['), "n", F.lit(',  ]} as asked'))).otherwise(F.concat(F.lit('{"n": '), "n", F.lit("}")))
-    return _customers(spark, sf_dir).select("c", records.answer_json(text).alias("json"))
+    return customers(spark, sf_dir).select("c", records.answer_json(text).alias("json"))
 
 
 # stored texts ------------------------------------------------------------------------------
@@ -185,60 +185,60 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.when(F.col("o") % 6 == 0, " <i></i>").otherwise(F.concat(F.lit("<b>"), "p", F.lit("</b><sup>1</sup> , "), "o"))
-    rows = _orders(spark, sf_dir).select("c", F.when(F.col("o") % 10 > 0, F.col("o") % 4).alias("edition"), html.alias("html"))
+    rows = order_rows(spark, sf_dir).select("c", F.when(F.col("o") % 10 > 0, F.col("o") % 4).alias("edition"), html.alias("html"))
     found = sync.texts_by_key(rows, "c", "edition", "html", F.col("c"), 10, 100_000)
     return found.select("c", _pairs(F.col("texts")).alias("texts"))
 
 
 def filled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upstream = _orders(spark, sf_dir).where("o % 3 > 0").groupBy("c").agg(F.when(F.col("c") % 4 == 0, "").otherwise(F.min("p")).alias("text"))
-    local = _customers(spark, sf_dir).select("c", F.when(F.col("c") % 5 == 0, "").otherwise(F.col("segment")).alias("text"))
+    upstream = order_rows(spark, sf_dir).where("o % 3 > 0").groupBy("c").agg(F.when(F.col("c") % 4 == 0, "").otherwise(F.min("p")).alias("text"))
+    local = customers(spark, sf_dir).select("c", F.when(F.col("c") % 5 == 0, "").otherwise(F.col("segment")).alias("text"))
     return sync.filled_from_local(upstream, local, ["c"], "text")
 
 
 def chosen_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").where("p_size > 20").select(F.col("p_partkey").alias("p"), F.col("p_name").alias("name"))
-    lines = _lines(spark, sf_dir).select("o", F.posexplode("rows").alias("at_", "r")).select("o", F.col("at_").cast("long").alias("place"), F.col("r.p").alias("p"))
+    lines = order_lines(spark, sf_dir).select("o", F.posexplode("rows").alias("at_", "r")).select("o", F.col("at_").cast("long").alias("place"), F.col("r.p").alias("p"))
     return sync.options_in_order(lines, ["o", "place"], parts, "p", "name")
 
 
 def readable_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.readable(_customers(spark, sf_dir).select("c", "name"), _orders(spark, sf_dir).where("x > 20000000"), "c")
+    return sync.readable(customers(spark, sf_dir).select("c", "name"), order_rows(spark, sf_dir).where("x > 20000000"), "c")
 
 
 def fresh_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of customers that have orders of three priorities since 1997."""
-    orders = _orders(spark, sf_dir)
+    orders = order_rows(spark, sf_dir)
     wanted = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
     return sync.fresh_only(orders.select("c", "o"), orders, "c", "p", wanted, "d", F.lit(852_076_800_000_000)).select("c", "o")
 
 
 def stamped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = _orders(spark, sf_dir).where("o % 4 = 0").groupBy("c").agg(F.max("o").alias("o"), F.max("d").alias("d"))
-    rows = _customers(spark, sf_dir).select("c", F.lit(-1).cast("long").alias("o"), F.col("n").alias("d"))
+    newest = order_rows(spark, sf_dir).where("o % 4 = 0").groupBy("c").agg(F.max("o").alias("o"), F.max("d").alias("d"))
+    rows = customers(spark, sf_dir).select("c", F.lit(-1).cast("long").alias("o"), F.col("n").alias("d"))
     return sync.stamped(rows, newest, "c", ["o", "d"])
 
 
 def stale_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _orders(spark, sf_dir)
-    cuts = _customers(spark, sf_dir).select("c", F.col("segment").alias("url"), (F.col("c") % 3).alias("size"), F.when(F.col("c") % 13 > 0, F.lit(860_000_000_000_000) + F.col("n") * 3_000_000_000_000).alias("cut_at"))
-    files = _customers(spark, sf_dir).where("c % 6 > 0").select("c", F.when(F.col("c") % 5 == 0, "other").otherwise(F.col("segment")).alias("url"), (F.col("c") % 3).alias("size"), F.lit(850_000_000_000_000).alias("updated"))
+    orders = order_rows(spark, sf_dir)
+    cuts = customers(spark, sf_dir).select("c", F.col("segment").alias("url"), (F.col("c") % 3).alias("size"), F.when(F.col("c") % 13 > 0, F.lit(860_000_000_000_000) + F.col("n") * 3_000_000_000_000).alias("cut_at"))
+    files = customers(spark, sf_dir).where("c % 6 > 0").select("c", F.when(F.col("c") % 5 == 0, "other").otherwise(F.col("segment")).alias("url"), (F.col("c") % 3).alias("size"), F.lit(850_000_000_000_000).alias("updated"))
     return sync.stale(cuts, files, orders.select("c", F.col("d").alias("updated")), "c")
 
 
 def chapter_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = _orders(spark, sf_dir).where("x % 3 = 0").select("c", F.when(F.col("o") % 4 > 0, F.col("o") % 4).alias("verse"), "o", "p")
+    checks = order_rows(spark, sf_dir).where("x % 3 = 0").select("c", F.when(F.col("o") % 4 > 0, F.col("o") % 4).alias("verse"), "o", "p")
     return sync.verdicts(checks, ["c"], "verse", "o", "p")
 
 
 def added_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = _orders(spark, sf_dir).select("o", "p", (F.col("c") % 40).alias("tier"), F.when(F.col("c") % 3 > 0, F.col("c") % 20).alias("clip"), F.when(F.col("s") == "O", "queued").otherwise("done").alias("state"))
+    jobs = order_rows(spark, sf_dir).select("o", "p", (F.col("c") % 40).alias("tier"), F.when(F.col("c") % 3 > 0, F.col("c") % 20).alias("clip"), F.when(F.col("s") == "O", "queued").otherwise("done").alias("state"))
     return sync.added_jobs(jobs.where("o % 2 = 0"), jobs.where("o % 2 = 1"), ["p", "tier", "clip"]).select("o")
 
 
 def carried_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captions = _orders(spark, sf_dir).select((F.col("c") % 50).alias("key"), F.col("o").alias("nth"), (F.col("x") % 60).alias("from"), (F.col("x") % 60 + F.col("o") % 9).alias("to"), (F.col("x") % 700).alias("start"), (F.col("x") % 700 + 150).alias("end"))
-    marks = _customers(spark, sf_dir).select((F.col("c") % 50).alias("key"), F.col("c").alias("id"), (F.col("c") * 7 % 60).alias("word"), (F.col("c") * 13 % 800).alias("middle"))
+    captions = order_rows(spark, sf_dir).select((F.col("c") % 50).alias("key"), F.col("o").alias("nth"), (F.col("x") % 60).alias("from"), (F.col("x") % 60 + F.col("o") % 9).alias("to"), (F.col("x") % 700).alias("start"), (F.col("x") % 700 + 150).alias("end"))
+    marks = customers(spark, sf_dir).select((F.col("c") % 50).alias("key"), F.col("c").alias("id"), (F.col("c") * 7 % 60).alias("word"), (F.col("c") * 13 % 800).alias("middle"))
     return sync.carried_marks(captions, marks, "key").select("id", "nth")
 
 
