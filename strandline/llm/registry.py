@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, quality_cnn, secret_scan, suffix_dedup
+from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, merkle_manifest, quality_cnn, secret_scan, sharding, suffix_dedup
 from strandline.runtime import ship_package, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,9 +58,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_chat_format, op2_quality_cnn, op3_jaccard_join, op4_license_scan, op5_secret_scan, op6_suffix_dedup, op7_language_id, op8_byte_bpe, op9_ann_search,
+    op10_decontaminate, op11_merkle_manifest, op12_fill_in_middle, op13_hilbert_shards,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_cnn, op3_jaccard_join, op4_license_scan, op5_secret_scan, op6_suffix_dedup, op7_language_id, op8_byte_bpe, op9_ann_search, op10_decontaminate)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {
+        "op1_chat_format": chat_format.ORACLE,
+        "op10_decontaminate": decontaminate.ORACLE,
+        "op11_merkle_manifest": merkle_manifest.ORACLE,
+        "op12_fill_in_middle": fill_in_middle.ORACLE,
+    }
