@@ -86,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_decontaminate": decontaminate.ORACLE,
         "op11_merkle_manifest": merkle_manifest.ORACLE,
         "op12_fill_in_middle": fill_in_middle.ORACLE,
+        "op13_hilbert_shards": sharding.ORACLE,
     }

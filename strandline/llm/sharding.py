@@ -7,7 +7,7 @@ smallest and largest values of a shard prune files on any of them.
 
 Dimensions are (column, kind): `linear` and `log` span the smallest to the largest value, `rank` cuts the
 distinct values in their order into equal runs; of these only the 2^BITS first values reach the driver. A null
-has code 0, below all values. Equal texts in one cell stand together (digest of the text, then id). Null texts
+has code 0, below all values. Equal texts in one cell stand together (checksum of the text, then id). Null texts
 have no bytes and checksum 0. Repeated rows each have a slot; an empty table gives an empty result; with fewer rows
 than shards some shards are empty. Further columns travel with `assign`; the names of the columns that it
 adds (shard, slot) must be free.
@@ -31,10 +31,10 @@ DIMENSIONS = (("source", "rank"), ("lang", "rank"), ("size", "log"), ("doc_id",
 
 
 def entries(documents: DataFrame) -> DataFrame:
-    """doc_id, source, lang, size, text_crc32 and the digest of the text of every row: all that sharding needs to know."""
+    """doc_id, source, lang, size and text_crc32 of every row: all that sharding needs to know."""
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + OVERHEAD
-    return documents.select("doc_id", "source", "lang", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("body"))
+    return documents.select("doc_id", "source", "lang", size.alias("size"), F.crc32(text).alias("text_crc32"))
 
 
 def first_values(df: DataFrame, column: str, bits: int) -> list:
@@ -66,7 +66,7 @@ def codes(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, b
                 out.append(F.lit(0))
                 continue
             steps = F.col(column).cast("double") - F.lit(lo)
-            share = steps / F.lit((hi - lo) or 1.0) if kind == "linear" else F.log1p(steps) / F.log1p(F.lit((hi - lo) or 1.0))
+            share = steps / F.lit((hi - lo) or 1.0) if kind == "linear" else F.ln(steps + 1) / F.ln(F.lit(((hi - lo) or 1.0) + 1))
             code = F.least(F.floor(share * top), F.lit(top - 1)) + 1
         out.append(F.when(F.col(column).isNull(), 0).otherwise(code.cast("int")))
     return out
@@ -102,7 +102,7 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     )
 
 
-def assign(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, shards: int = 40, ties: tuple[str, ...] = ("body", "doc_id"), bits: int = BITS) -> DataFrame:
+def assign(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, shards: int = 40, ties: tuple[str, ...] = ("text_crc32", "doc_id"), bits: int = BITS) -> DataFrame:
     """df, which should be a written table, with curve, shard and slot; all its columns travel along."""
     ordered = df.withColumn("curve", hilbert_index(codes(df, dimensions, bits), bits)).withColumn("nth", F.monotonically_increasing_id())
     placed = positions(ordered, ["curve", *ties, "nth"])
@@ -138,3 +138,36 @@ def pruned_share(zones: DataFrame, wanted: Column) -> float:
     kept, everything = zones.agg(F.count_if(wanted), F.count("*")).first()
     return 1 - kept / everything if everything else 0.0
 
+
+
+def _oracle(shards: int = 40, bits: int = BITS) -> str:
+    """DuckDB SQL of shard_rows(): the checksum from its polynomial, the curve index by folds over lists."""
+    top, n = (1 << bits) - 1, len(DIMENSIONS)
+    rank = lambda c: f"(SELECT {c}, CASE WHEN count(*) OVER () > {top} THEN (row_number() OVER (ORDER BY {c}) - 1) * {top} // count(*) OVER () ELSE row_number() OVER (ORDER BY {c}) - 1 END + 1 AS code FROM (SELECT DISTINCT {c} FROM e WHERE {c} IS NOT NULL)) {c}s"
+    spans = {c: f"({c}::DOUBLE - min({c}) OVER ())" for c in ("size", "doc_id")}
+    widths = {c: f"coalesce(nullif(max({c}) OVER () - min({c}) OVER (), 0), 1)" for c in spans}
+    shares = {"size": f"ln({spans['size']} + 1) / ln({widths['size']} + 1.0)", "doc_id": f"{spans['doc_id']} / {widths['doc_id']}"}
+    code = {c: f"CASE WHEN {c} IS NULL THEN 0 ELSE least(floor({share} * {top}), {top - 1})::BIGINT + 1 END" for c, share in shares.items()}
+    steps = [[1 << b, i] for b in range(bits - 1, 0, -1) for i in range(1, n + 1)]
+    t = "CASE WHEN x[s[2]] & s[1] <> 0 THEN s[1] - 1 ELSE xor(x[1], x[s[2]]) & (s[1] - 1) END"
+    turned = [f"xor(x[1], {t})", *(f"CASE WHEN s[2] = {i} AND x[{i}] & s[1] = 0 THEN xor(x[{i}], {t}) ELSE x[{i}] END" for i in range(2, n + 1))]
+    flip = "list_reduce([{}], lambda t, q: CASE WHEN g[{}] & q <> 0 THEN xor(t, q - 1) ELSE t END, 0::BIGINT)".format(", ".join(f"{1 << b}::BIGINT" for b in range(bits - 1, 0, -1)), n)
+    gray = ["x[1]"]
+    for i in range(2, n + 1):
+        gray.append(f"xor(x[{i}], {gray[-1]})")
+    places = [(b, i) for b in range(bits) for i in range(n, 0, -1)]
+    index = " + ".join(f"(((xor(g[{i}], f) >> {b}) & 1) << {k})" for k, (b, i) in enumerate(places))
+    return f"""
+WITH bytes AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, v) ORDER BY v) AS t FROM range(256) r(v)),
+e AS (SELECT doc_id, source, lang, strlen(coalesce(text, '')) + {OVERHEAD} AS size,
+  xor(list_reduce([CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')], lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32 FROM documents, bytes),
+c AS (SELECT e.*, [coalesce(sources.code, 0), coalesce(langs.code, 0), {code['size']}, {code['doc_id']}]::BIGINT[] AS x FROM e LEFT JOIN {rank('source')} USING (source) LEFT JOIN {rank('lang')} USING (lang)),
+h AS (SELECT doc_id, size, text_crc32, list_reduce({steps}::BIGINT[][], lambda x, s: [{', '.join(turned)}], x) AS x FROM c),
+g AS (SELECT doc_id, size, text_crc32, [{', '.join(gray)}] AS g FROM h),
+i AS (SELECT doc_id, size, text_crc32, {index} AS curve FROM (SELECT *, {flip} AS f FROM g)),
+p AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS many FROM i)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {shards} // many AS INTEGER) AS shard, place - ((place * {shards} // many) * many + {shards - 1}) // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM p
+"""
+
+
+ORACLE = _oracle()
