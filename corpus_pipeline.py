@@ -7,7 +7,7 @@ of documents. Rows with a null text have no language and go in the first stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import byte_bpe, decontaminate, jaccard_join, language_id, secret_scan
@@ -24,17 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one of the smallest id and text hash, once.
 
-    Null ids come last. Texts without words link with nothing and stay, once for each id that is not null.
+    Null ids come last. Texts without words link with nothing and stay, once for each id that is not null. Of rows
+    of one id and text that differ elsewhere the smallest by all columns stays.
     """
     placed = jaccard_join.placed_rows(docs).where(F.col("component").isNotNull())
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body")).alias("first"))
     firsts = first.select(F.col("first.id").alias("first_id"), F.col("first.body").alias("first_body"))
     same = docs["doc_id"].eqNullSafe(firsts["first_id"]) & (F.xxhash64(docs["text"]) == firsts["first_body"])
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
     named = docs.where(~wordless).join(firsts, same, "left_semi").unionByName(docs.where(wordless & F.col("doc_id").isNotNull()))
-    stays = named.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    return stays.unionByName(docs.where(wordless & F.col("doc_id").isNull())).select(*docs.columns)
+    smallest = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    stays = named.groupBy("doc_id", F.xxhash64("text")).agg(smallest.alias("row")).select("row.*")
+    return stays.unionByName(docs.where(wordless & F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
