@@ -25,6 +25,7 @@ null id. Further columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import count
 
@@ -42,6 +43,8 @@ SHINGLE, NUMERATOR, DENOMINATOR = 3, 9, 10
 #: A shingle in more than COMMON documents is common.
 COMMON = 16
 BITMAP_WORDS = 8
+#: Bytes of a word that is hashed as a polynomial.
+SHORT_WORD = 16
 #: Below so many links their labels are written by one wave of tasks.
 FEW_LINKS = 1_000_000
 #: Texts whose parity bits are counted at a time.
@@ -57,6 +60,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _MIX)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS = np.ones(1, np.uint64)
@@ -76,8 +81,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
-def shingles(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every text of a block: (text, hash), sorted by text, then hash."""
+def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, stop, text) of every word of a block; no word spans two texts."""
     size = len(data)
     word = np.zeros(size + 2, np.int8)
     word[1:-1] = ~_SPACE[data]
@@ -87,24 +92,36 @@ def shingles(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     seams = np.unique(seams[(word[seams] == 1) & (word[seams + 1] == 1)]) if len(seams) else seams
     if len(seams):  # a word at the end of one text and one at the start of the next
         begin, stop = np.sort(np.append(begin, seams)), np.sort(np.append(stop, seams))
+    return begin, stop, np.searchsorted(ends, begin, side="right") - 1
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: a polynomial for short ones, a digest of the bytes for long ones.
+
+    A polynomial modulo 2^64 has equal values for some long periodic words whatever its base, so it is kept to
+    lengths where nearly all of its bits stay independent.
+    """
+    size = len(data)
     power, inverse = _powers(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:size], out=sums[1:])
     words = _mix((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64) * _MIX)
-    owner = np.searchsorted(ends, begin, side="right") - 1
-    count = np.bincount(owner, minlength=len(ends) - 1)
-    if len(words) >= SHINGLE:
-        triple = _mix(_mix(_mix(words[:-2]) + words[1:-1] * _MIX) + words[2:])
-        inside = owner[:-2] == owner[2:]
-        own, out = owner[:-2][inside], triple[inside]
-    else:
-        own, out = owner[:0], words[:0]
+    for i in np.flatnonzero(stop - begin > SHORT_WORD).tolist():
+        low = _LOWER[data[begin[i] : stop[i]]].tobytes()
+        words[i] = int.from_bytes(hashlib.blake2b(low, digest_size=8).digest(), "little")
+    return words
+
+
+def _sets(words: np.ndarray, owner: np.ndarray, texts: int, triples, pairs, singles) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle), sorted and distinct: names of three words each, or of all words of a text that has fewer."""
+    count = np.bincount(owner, minlength=texts)
+    inside = owner[:-2] == owner[2:]
+    own, out = owner[:-2][inside], triples(words)[inside]
     first = np.cumsum(count) - count
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
     if len(short):
-        lone = words[first[short]]
-        double = _mix(lone * np.uint64(3) + words[np.minimum(first[short] + 1, len(words) - 1)] * _MIX)
-        own, out = np.append(own, short), np.append(out, np.where(count[short] == 1, _mix(lone + np.uint64(1)), double))
+        lone, second = words[first[short]], words[np.minimum(first[short] + 1, len(words) - 1)]
+        own, out = np.append(own, short), np.append(out, np.where(count[short] == 1, singles(lone), pairs(lone, second)))
     order = np.lexsort((out, own))
     own, out = own[order], out[order]
     fresh = np.ones(len(own), bool)
@@ -112,6 +129,30 @@ def shingles(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own[fresh], out[fresh]
 
 
+def shingles(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of every text of a block: (text, hash), sorted by text, then hash."""
+    begin, stop, owner = word_spans(data, ends)
+    triple = lambda w: _mix(_mix(_mix(w[:-2]) + w[1:-1] * _MIX) + w[2:])
+    return _sets(_word_hashes(data, begin, stop), owner, len(ends) - 1, triple, lambda a, b: _mix(a * np.uint64(3) + b * _MIX), lambda a: _mix(a + np.uint64(1)))
+
+
+def exact_shingles(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() with numbers that stand for the words themselves: equal in a block only where all words are."""
+    begin, stop, owner = word_spans(data, ends)
+    edges = np.empty(2 * len(begin) + 1, np.int64)
+    edges[:-1:2], edges[1::2], edges[-1] = begin, stop, len(data)
+    runs = pa.Array.from_buffers(pa.large_binary(), 2 * len(begin), [None, pa.py_buffer(edges), pa.py_buffer(_LOWER[data])])
+    words = runs.take(pa.array(np.arange(0, 2 * len(begin), 2))).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    many = int(words.max(initial=0)) + 1
+    pair = lambda a, b: a * many + b
+
+    def triple(w: np.ndarray) -> np.ndarray:
+        twos = np.unique(pair(w[:-2], w[1:-1]), return_inverse=True)[1]
+        return pair(twos, w[2:])
+
+    return _sets(words, owner, len(ends) - 1, triple, lambda a, b: -1 - many - pair(a, b), lambda a: -1 - a)
+
+
 def _shingle_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for _, data, ends in blocks(batches):
         yield shingles(data, ends)[1]
@@ -305,11 +346,13 @@ def _wanted_texts(texts: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataF
 
 
 def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link, by the exact overlap of their sets."""
+    """(a, b) of the pairs that link, by the exact overlap of their sets: words are compared, not hashes."""
 
-    def side(column: pa.Array, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-        _, data, ends = next(blocks(iter([pa.RecordBatch.from_arrays([column.slice(at, to - at)], names=["t"])]), 0, 1 << 62))
-        return shingles(data, ends)
+    def both_sides(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(text, shingle) of the left texts, then of the right ones, named alike."""
+        texts = pa.concat_arrays([rows.column("ta"), rows.column("tb")])
+        _, data, ends = next(blocks(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0, 1 << 62))
+        return exact_shingles(data, ends)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,11 +360,11 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
-                (own_a, a), (own_b, b) = side(batch.column("ta"), at, to), side(batch.column("tb"), at, to)
-                own, hashes = np.concatenate([own_a, own_b]), np.concatenate([a, b])
-                order = np.lexsort((hashes, own))
-                own, hashes = own[order], hashes[order]
-                both = np.bincount(own[1:][(own[1:] == own[:-1]) & (hashes[1:] == hashes[:-1])], minlength=to - at)
+                own, names = both_sides(batch.slice(at, to - at))
+                own = own % (to - at)
+                order = np.lexsort((names, own))
+                own, names = own[order], names[order]
+                both = np.bincount(own[1:][(own[1:] == own[:-1]) & (names[1:] == names[:-1])], minlength=to - at)
                 union = np.bincount(own, minlength=to - at) - both
                 linked = pa.array(np.flatnonzero(DENOMINATOR * both >= NUMERATOR * union) + at)
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(linked), batch.column("b").take(linked)], names=["a", "b"])
