@@ -6,7 +6,7 @@ next to it in the order of their estimated success, `probes` for each table. Can
 tables are merged and ranked by their exact distance.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
-another length than the commonest. Of rows with equal vectors only the `k + 1` smallest ids can be
+another length than the commonest in the table. Of rows with equal vectors only the `k + 1` smallest ids can be
 among the nearest, so only they are indexed; this keeps a vector that a third of the rows share
 from filling a bucket. A bucket of more than `bucket_rows` rows is dealt over several groups, each of
 which sees the query. A query that finds fewer than k candidates is searched exactly, in blocks.
@@ -96,13 +96,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v): rows whose vectors can take part."""
+def usable(df: DataFrame, key: str, vector: str, size: int | None = None) -> DataFrame:
+    """(vec_id, v): rows whose vectors can take part: those of the given length, else of the commonest one."""
     v = F.col("v")
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & fine)
-    sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["size"] if sizes else 0))
+    if size is None:
+        sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+        size = sizes[0]["size"] if sizes else 0
+    return rows.where(F.size("v") == size)
 
 
 def hashes_for(vectors: int) -> int:
@@ -119,7 +121,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     spark = df.sparkSession
     ship_package(spark)
     rows = usable(df, key, vector)
-    asked = usable(queries, key, vector).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    dimension = rows.select(F.size("v")).first()
+    asked = usable(queries, key, vector, dimension[0] if dimension else 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     same = Window.partitionBy("v").orderBy("vec_id")
     base = materialize(rows.dropDuplicates(["vec_id", "v"]).withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).select("vec_id", "v"), "nearest-base")
     first = asked.select(F.size("q")).first()
