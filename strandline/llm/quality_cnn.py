@@ -28,8 +28,6 @@ CHUNK, HOP, WIDTH, STEP = 256, 192, 6, 2
 EMBED, FILTERS, HIDDEN = 8, 24, 12
 #: Share of the good training texts of which a pass sees a short excerpt, for short texts are rare.
 SHORTENED = 0.3
-#: Bytes of a text that the training reads at most; the sample on the driver is bounded by it and rows_per_class.
-TRAINING_BYTES = 1 << 16
 PLACES = (CHUNK - WIDTH) // STEP + 1
 
 
@@ -160,22 +158,29 @@ class Network:
         return 1 / (1 + np.exp(-(both.astype(np.float64) @ p["out"] + p["out_bias"])))
 
 
-def _training_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sampled rows with at most TRAINING_BYTES of each text: of longer ones, chunks at even distances."""
-    for batch in batches:
-        texts = []
-        for text in batch.column("t").to_pylist():
-            if len(text) > TRAINING_BYTES:
-                starts = np.linspace(0, len(text) - CHUNK, TRAINING_BYTES // CHUNK).astype(int).tolist()
-                text = b"".join(text[at : at + CHUNK] for at in starts)
-            texts.append(text)
-        yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(texts, pa.binary()))
+def _excerpts(most: int):
+    """A function over sampled rows: of texts beyond `most` bytes, chunks at even distances over the whole text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text in batch.column("t").to_pylist():
+                if len(text) > most:
+                    starts = np.linspace(0, len(text) - CHUNK, max(1, most // CHUNK)).astype(int).tolist()
+                    text = b"".join(text[at : at + CHUNK] for at in starts)
+                texts.append(text)
+            yield batch.set_column(batch.schema.get_field_index("t"), "t", pa.array(texts, pa.binary()))
+
+    return run
+
+
+def train(labelled: DataFrame, text: str, label: str, key: str, rows_per_class: int = 600, chunks_per_text: int = 12, passes: int = 8, text_bytes: int = 1 << 16) -> Network | None:
+    """A network from a bounded sample of labelled rows (null labels and texts are left out).
 
-def train(labelled: DataFrame, text: str, label: str, key: str, rows_per_class: int = 600, chunks_per_text: int = 12, passes: int = 8) -> Network | None:
-    """A network from a bounded sample of labelled rows (null labels and texts are left out)."""
+    The sample has `rows_per_class` rows of each label and `text_bytes` of each text at most: that much reaches the driver.
+    """
     known = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("y"))
-    sample = bounded_sample(known, "y", "k", "t", rows_per_class).mapInArrow(_training_text, "k " + known.schema["k"].dataType.simpleString() + ", t binary, y int").toPandas()
+    sample = bounded_sample(known, "y", "k", "t", rows_per_class).mapInArrow(_excerpts(text_bytes), "k " + known.schema["k"].dataType.simpleString() + ", t binary, y int").toPandas()
     sample = sample.sort_values(["k", "y", "t"])
     if sample["y"].nunique() < 2:
         return None

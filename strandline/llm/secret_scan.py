@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text_blocks import blocks, sample_share
+from strandline.llm.text_blocks import blocks, distinct_rows, sample_share
 from strandline.runtime import ship_package
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -242,7 +242,7 @@ def _random_spans(data: np.ndarray, ends: np.ndarray, free: np.ndarray, models:
 
 def train(df: DataFrame, text: str, key: str, sample_rows: int = 2000) -> MarkovPair:
     """Models from a bounded sample of the rows; executors count transitions, the driver adds them up."""
-    total = df.count()
+    total = distinct_rows(df, F.col(key), F.col(text))
     chosen = df.where(sample_share(F.col(key), F.col(text)) < F.lit(sample_rows / max(total, 1)))
     sample = chosen.select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()  # a row that fills the table counts once
 

@@ -65,18 +65,30 @@ def sample_share(*columns):
     return F.xxhash64(*columns, F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
+def distinct_rows(df, *columns):
+    """About how many different rows there are, from a sketch of fixed size; copies of a row count once."""
+    from pyspark.sql import functions as F
+
+    return df.agg(F.approx_count_distinct(F.xxhash64(*columns), 0.02)).first()[0]
+
+
+#: Groups of a sample whose shares every executor may hold: some 10 MB.
+BROADCAST_GROUPS = 100_000
+
+
 def bounded_sample(df, by: str, key: str, text: str, rows: int):
-    """About `rows` rows for each value of `by`, chosen by a hash of key and text; smaller groups stay whole.
+    """About `rows` different rows for each value of `by`, chosen by a hash of key and text; smaller groups stay whole.
 
-    Only the counts reach the driver (one row for each value); the choice is a filter, so no group
-    is gathered anywhere. Rows of one key are told apart by their texts, and rows that are the same
-    throughout count once, so a key or row that fills the table does not fill the sample.
+    The share of a group follows from the number of its different rows, so a row that fills the table, or
+    its group, neither fills the sample nor starves it. Shares are a table of one row for each group, joined to the
+    rows; no group is gathered anywhere. Rows whose `by` is null are left out.
     """
-    from functools import reduce
-
     from pyspark.sql import functions as F
 
-    share = sample_share(F.col(key), F.col(text))
-    counts = df.groupBy(by).count().collect()
-    keep = [(F.col(by) == F.lit(r[by])) & (share < F.lit(rows / r["count"])) for r in counts if r[by] is not None]
-    return df.where(reduce(lambda a, b: a | b, keep)).dropDuplicates([by, key, text]) if keep else df.limit(0)
+    from strandline.runtime import materialize
+
+    many = F.approx_count_distinct(F.xxhash64(F.col(key), F.col(text)), 0.02)
+    shares = materialize(df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("group_of")).agg((F.lit(float(rows)) / many).alias("group_share")), "sample-shares")
+    few = shares.count() <= BROADCAST_GROUPS
+    met = df.join(F.broadcast(shares) if few else shares, F.col(by) == F.col("group_of"))
+    return met.where(sample_share(F.col(key), F.col(text)) < F.col("group_share")).select(*df.columns).dropDuplicates([by, key, text])
