@@ -43,13 +43,17 @@ def first_values(df: DataFrame, column: str, bits: int) -> list:
     many = values.count()
     if not many:
         return []
-    run = (F.col("place") * ((1 << bits) - 1) / F.lit(many)).cast("int") if many >= 1 << bits else F.col("place")
+    top = (1 << bits) - 1
+    run = F.floor(F.col("place") * top / F.lit(many)) if many > top else F.col("place")
     return sorted(r["value"] for r in positions(values, ["value"]).groupBy(run.alias("run")).agg(F.min("value").alias("value")).collect())
 
 
-def _rank(value: Column, firsts: list) -> Column:
-    """How many of the values are not above this one."""
-    return F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= value)) if firsts else F.lit(0)
+def _rank(value: Column, firsts: list, top: int) -> Column:
+    """The run that a value is in, spread over the codes from 1 to `top`, so few values use the high bits too."""
+    if not firsts:
+        return F.lit(0)
+    run = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= value)) - 1
+    return F.floor(run * top / len(firsts)) + 1
 
 
 def codes(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, bits: int = BITS) -> list[Column]:
@@ -59,7 +63,7 @@ def codes(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, b
     top, out = (1 << bits) - 1, []
     for column, kind in dimensions:
         if kind == "rank":
-            code = _rank(F.col(column), first_values(df, column, bits))
+            code = _rank(F.col(column), first_values(df, column, bits), top)
         else:
             lo, hi = (ends[f"{n}_{spanned.index(column)}"] for n in ("lo", "hi"))
             if lo is None:
@@ -143,7 +147,7 @@ def pruned_share(zones: DataFrame, wanted: Column) -> float:
 def _oracle(shards: int = 40, bits: int = BITS) -> str:
     """DuckDB SQL of shard_rows(): the checksum from its polynomial, the curve index by folds over lists."""
     top, n = (1 << bits) - 1, len(DIMENSIONS)
-    rank = lambda c: f"(SELECT {c}, CASE WHEN count(*) OVER () > {top} THEN (row_number() OVER (ORDER BY {c}) - 1) * {top} // count(*) OVER () ELSE row_number() OVER (ORDER BY {c}) - 1 END + 1 AS code FROM (SELECT DISTINCT {c} FROM e WHERE {c} IS NOT NULL)) {c}s"
+    rank = lambda c: f"(SELECT {c}, (row_number() OVER (ORDER BY {c}) - 1) * {top} // count(*) OVER () + 1 AS code FROM (SELECT DISTINCT {c} FROM e WHERE {c} IS NOT NULL)) {c}s"
     spans = {c: f"({c}::DOUBLE - min({c}) OVER ())" for c in ("size", "doc_id")}
     widths = {c: f"coalesce(nullif(max({c}) OVER () - min({c}) OVER (), 0), 1)" for c in spans}
     shares = {"size": f"ln({spans['size']} + 1) / ln({widths['size']} + 1.0)", "doc_id": f"{spans['doc_id']} / {widths['doc_id']}"}
