@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, quality_cnn, registry, secret_scan, suffix_dedup
+from strandline.llm import ann_search, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, quality_cnn, registry, secret_scan, suffix_dedup, text_blocks
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -281,6 +281,32 @@ def test_jaccard_of_texts_around_the_threshold(spark, monkeypatch):
     assert 10 < len({c for _, c in got.values()}) < 150
 
 
+def thue_morse(size, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(size))
+
+
+def test_long_periodic_words_stay_apart(spark):
+    """Words that agree in every polynomial hash modulo a power of two, but in no letter."""
+    rows = [(1, thue_morse(1024, "ab")), (2, thue_morse(1024, "ba")), (3, "x y z w"), (4, thue_morse(2048, "ab")), (5, thue_morse(2048, "ba"))]
+    rows += [(10 + i, f"{thue_morse(2000, pair)} and {thue_morse(1024, pair)} more") for i, pair in enumerate(("ab", "ba", "AB", "ac"))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert got[2] == (1, 2) and got[11] == (2, 11) and got[12] == (2, 10)
+
+
+def test_exact_shingles_name_words():
+    rng = random.Random(9)
+    some = ["", " ", "One", "one TWO", "one two", *(words(rng, rng.randrange(1, 30), 5) for _ in range(60)), thue_morse(1024, "ab"), thue_morse(1024, "ba")]
+    ends = np.cumsum([0] + [len(t) for t in some])
+    data = np.frombuffer("".join(some).encode(), np.uint8)
+    own, names = jaccard_join.exact_shingles(data, ends)
+    got = [set(names[own == i].tolist()) for i in range(len(some))]
+    wanted = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := t.lower().split()) else set() for t in some]
+    for a in range(len(some)):
+        for b in range(len(some)):
+            assert len(got[a]) == len(wanted[a]) and len(got[a] & got[b]) == len(wanted[a] & wanted[b])
+
+
 def test_block_pairs_skip_only_what_cannot_link():
     rng = np.random.default_rng(4)
     token, size, place = rng.integers(0, 6, 400), rng.integers(5, 30, 400), rng.integers(0, 4, 400)
@@ -561,3 +587,15 @@ def test_nearest(spark):
     few = df.where("vec_id < 5 or vec_id = 100")
     assert ann_search.nearest(few, few.where("vec_id = 0")).count() == 5  # fewer candidates than k: all, exactly
     assert ann_search.nearest(df.limit(0), df.limit(0)).count() == 0
+    short = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert ann_search.nearest(df, short).count() == 0  # the table's length holds for queries too
+
+
+def test_samples_of_rows_that_repeat(spark):
+    """One row is 99 % of its class: the others are not starved, and it counts once."""
+    rows = [(7, "the same row", 1)] * 20_000 + [(i, f"text {i}", i % 2) for i in range(100, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    sample = text_blocks.bounded_sample(df, "y", "doc_id", "text", 200).groupBy("y").count().collect()
+    assert {r.y for r in sample} == {0, 1} and all(150 <= r["count"] <= 260 for r in sample)
+    assert text_blocks.bounded_sample(df.limit(0), "y", "doc_id", "text", 200).count() == 0
+    assert 550 <= text_blocks.distinct_rows(df, "doc_id", "text") <= 650

@@ -136,3 +136,18 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted((r[1][0], r[0] or 0) for r in named) == [("a", 3), ("b", 0), ("c", 5), ("d", 7)]
     assert (3, a, "x") in named and (7, d, "x") in named
     assert sorted(((r[0], r[1]) for r in out if r not in named), key=repr) == sorted([(4, " "), (None, ""), (None, ""), (None, None)], key=repr)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns named like those that stages use inside travel along; of rows equal in id and text the smallest by all columns stays."""
+    base = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    names = ["nth", "first", "component", "body", "bad", "row", "first_id", "id", "t", "place"]
+    docs = base.select("*", *(F.lit(f"{n} value").alias(n) for n in names))
+    docs = docs.unionByName(docs.withColumn("nth", F.lit("a smaller value")))
+    out = docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, out, DATA)
+        assert out.columns == docs.columns
+        if n == 1:
+            assert {r.nth for r in out.select("nth").distinct().collect()} == {"a smaller value"}
+    assert stage is corpus_pipeline.STAGES[-2][1] and corpus_pipeline.STAGES[-1][1](spark, out, DATA).count() == out.count() > 20
