@@ -18,6 +18,8 @@ that are the same throughout are dealt to many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,34 +78,52 @@ def codes(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, b
     return out
 
 
+def _named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     """The index on the Hilbert curve of a cell, whose coordinates have `bits` bits each.
 
     The usual way: from the highest bit down a coordinate's bit decides whether the lower bits of the first
     coordinate are inverted or exchanged with its own; then the Gray code is undone and bits are interleaved.
-    Coordinates stand in an array that steps are folded over, so no expression is written out twice.
+    Coordinates stand in an array that the steps are folded over, and each intermediate value has a name, so
+    nothing is computed twice.
     """
     n = len(axes)
-    steps = [(1 << b, i) for b in range(bits - 1, 0, -1) for i in range(n)]
+    high = [1 << b for b in range(bits - 1, 0, -1)]
+    steps = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for q in high for i in range(n))) if high else None
 
     def turn(x: Column, step: Column) -> Column:
-        q, i = step["q"], step["i"]
-        own, first, low = F.get(x, i), F.get(x, F.lit(0)), q - 1
+        q, i, own = step["q"], step["i"], F.get(x, step["i"])
         inverts = own.bitwiseAND(q) != 0
-        t = F.when(inverts, low).otherwise(first.bitwiseXOR(own).bitwiseAND(low))
-        return F.transform(x, lambda v, j: v.bitwiseXOR(F.when(j == 0, t).otherwise(0)).bitwiseXOR(F.when((j == i) & (i != 0) & ~inverts, t).otherwise(0)))
-
-    folded = F.aggregate(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for q, i in steps)), F.array(*(a.cast("int") for a in axes)), turn) if steps else F.array(*axes)
-    nothing = F.array().cast("array<int>")
-    gray = F.aggregate(folded, nothing, lambda done, v: F.concat(done, F.array(v.bitwiseXOR(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))))))
-    flips = F.array(*(F.lit(1 << b) for b in range(bits - 1, 0, -1))) if bits > 1 else nothing
-    plain = F.transform(gray, lambda v: v.bitwiseXOR(F.aggregate(flips, F.lit(0), lambda t, q: F.when(F.element_at(gray, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))))
-    places = [(b, i) for b in range(bits - 1, -1, -1) for i in range(n)]
-    wanted = F.array(*(F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b, i in places))
-    return F.aggregate(
-        F.array(F.struct(plain.alias("x"))), F.lit(0).cast("long"),
-        lambda start, s: F.aggregate(wanted, start, lambda h, w: h * 2 + F.when(F.get(s["x"], w["i"]).bitwiseAND(w["q"]) != 0, 1).otherwise(0)),
-    )
+        change = F.when(inverts, q - 1).otherwise(F.get(x, F.lit(0)).bitwiseXOR(own).bitwiseAND(q - 1))
+        swaps = F.when(inverts, F.lit(-1)).otherwise(i)
+        apply = lambda c: F.array(F.get(x, F.lit(0)).bitwiseXOR(c["t"]), *(F.get(x, F.lit(k)).bitwiseXOR(F.when(c["at"] == k, c["t"]).otherwise(0)) for k in range(1, n)))
+        return _named(F.struct(change.alias("t"), swaps.alias("at")), apply)
+
+    def gray(x: Column) -> Column:
+        out = [F.get(x, F.lit(0))]
+        for k in range(1, n):
+            out.append(out[-1].bitwiseXOR(F.get(x, F.lit(k))))
+        return F.array(*out)
+
+    def flip(g: Column) -> Column:
+        out = F.lit(0)
+        for q in high:
+            out = out.bitwiseXOR(F.when(F.get(g, F.lit(n - 1)).bitwiseAND(q) != 0, q - 1).otherwise(0))
+        return out
+
+    def interleaved(g: Column, t: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for place, (b, i) in enumerate((b, i) for b in range(bits) for i in range(n - 1, -1, -1)):
+            out = out + F.when(F.get(g, F.lit(i)).bitwiseXOR(t).bitwiseAND(1 << b) != 0, F.lit(1 << place).cast("long")).otherwise(0)
+        return out
+
+    cell = F.array(*(a.cast("int") for a in axes))
+    turned = F.aggregate(steps, cell, turn) if high else cell
+    return _named(turned, lambda x: _named(gray(x), lambda g: _named(flip(g), lambda t: interleaved(g, t))))
 
 
 def assign(df: DataFrame, dimensions: tuple[tuple[str, str], ...] = DIMENSIONS, shards: int = 40, ties: tuple[str, ...] = ("text_crc32", "doc_id"), bits: int = BITS) -> DataFrame:
