@@ -1,82 +1,79 @@
-"""Finding what was heard in a reference text: windows of words compared by similarity, near places first.
+"""Finding what was heard in a reference text, as joins: shared words propose windows, bounds discard most, and
+only the windows left are compared.
 
-Each row carries one phrase and the words of its passage, which are bounded by the passage; Spark
-deals the rows, and a small function judges the windows of a row. A window whose shared words bound
-its similarity below the best one so far is passed over, so the answer is that of the full search.
+Similarity is that of `difflib.SequenceMatcher` (twice the matched length over both lengths); two small Arrow-batched
+functions give it and its matching blocks, everything around them is a plan. Phrases are rows (id, passage,
+heard, cursor), reference words are rows (passage, place, key, word), places count from 0 without gaps.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+BLOCKS = ArrayType(StructType([StructField("at", IntegerType()), StructField("size", IntegerType())]))
 LONGEST, PENALTY = 22, 0.05
-RESULT = "start int, stop int, score double"
-
-
-def best_window(heard: list[str], words: list[str], keys: list, cursor: int, starts: range | None = None, prune: bool = True) -> tuple[int, int, float] | None:
-    """(start, stop, score) of the best window of at most LONGEST words of one key: similarity less a little
-    for the distance from the cursor; of equal ones the first."""
-    best, count, bag = None, len(words), Counter(heard)
-    for start in starts if starts is not None else range(count):
-        far = PENALTY * min(abs(start - cursor), count) / max(count, 1)
-        seen: Counter = Counter()
-        shared = 0
-        for stop in range(start, min(count, start + LONGEST)):
-            if keys[stop] != keys[start]:
-                break
-            size = len(heard) + stop - start + 1
-            seen[words[stop]] += 1
-            shared += seen[words[stop]] <= bag[words[stop]]
-            if prune and best is not None:
-                if 2.0 * len(heard) / size - far <= best[2]:
-                    break
-                if 2.0 * shared / size - far <= best[2]:
-                    continue
-            score = SequenceMatcher(None, heard, words[start : stop + 1]).ratio() - far
-            if best is None or score > best[2]:
-                best = (start, stop, score)
-    return best
-
-
-def located_phrases(phrases: DataFrame, near: int | None = None, least: float = 0.0) -> DataFrame:
-    """Phrases (id, heard, words, keys, cursor) with start, stop and score of their best window.
-
-    With `near` the first pass looks only that far around the cursor, and a second one everywhere
-    where the first finds nothing of the least score. Phrases without words or passage are missing.
-    """
 
-    def one(heard, words, keys, cursor):
-        heard, words, keys = list(heard), list(words), list(keys)
-        found = None
-        if near is not None:
-            found = best_window(heard, words, keys, cursor, range(max(0, cursor - near), min(len(words), cursor + near + 1)))
-        if found is None or found[2] < least:
-            found = best_window(heard, words, keys, cursor)
-        return found
 
-    def run(parts):
-        for rows in parts:
-            found = [(i, one(h, w, k, c)) for i, h, w, k, c in zip(rows["id"], rows["heard"], rows["words"], rows["keys"], rows["cursor"], strict=True) if h is not None and w is not None and len(h)]
-            yield pd.DataFrame([(i, *f) for i, f in found if f is not None and f[2] >= least], columns=["id", "start", "stop", "score"])
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two lists of words, 0 where either is empty."""
+    return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() if len(x) and len(y) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
-    kind = phrases.schema["id"].dataType.simpleString()
-    return phrases.select("id", "heard", "words", "keys", "cursor").mapInPandas(run, f"id {kind}, {RESULT}")
 
+@F.pandas_udf(BLOCKS)
+def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Stretches of the first text that the second one carries too, in order."""
+    return pd.Series([[{"at": m.a, "size": m.size} for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size] for x, y in zip(a, b, strict=True)], dtype=object)
 
-def window_ratios(rows: DataFrame) -> DataFrame:
-    """Similarity of what was heard to a given range (id, heard, words, start, stop): column ratio, 0 for an empty range."""
 
-    def run(parts):
-        for part in parts:
-            values = [SequenceMatcher(None, list(h), list(w[a : b + 1])).ratio() if len(h) and b >= a else 0.0 for h, w, a, b in zip(part["heard"], part["words"], part["start"], part["stop"], strict=True)]
-            yield pd.DataFrame({"id": part["id"], "ratio": values})
+def _with_tails(words: DataFrame, longest: int) -> DataFrame:
+    """words with `tail`, the last words up to each, `total` words of the passage, and `opens`, where the run of its key starts."""
+    order = Window.partitionBy("passage").orderBy("place")
+    changed = F.when(F.coalesce(F.lag("key").over(order) != F.col("key"), F.lit(True)), F.col("place"))
+    marked = words.select("passage", "place", "word", changed.alias("changed"), F.collect_list("word").over(order.rowsBetween(1 - longest, 0)).alias("tail"), F.count("*").over(Window.partitionBy("passage")).alias("total"))
+    return marked.withColumn("opens", F.last("changed", True).over(order)).drop("changed")
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "heard", "words", "start", "stop").mapInPandas(run, f"id {kind}, ratio double")
+
+def window_bounds(phrases: DataFrame, words: DataFrame, longest: int = LONGEST, penalty: float = PENALTY) -> DataFrame:
+    """id, start, stop, far, bound, window: every window of one key that starts at most `longest` words before a word
+    that was heard and ends with it, and the most that its score can be.
+
+    A window that ends with other words scores less than the same one without them, so none is missed that
+    holds a word heard.
+    """
+    asked = phrases.where(F.size("heard") > 0).select("id", "passage", "cursor", F.size("heard").alias("n"), F.explode(F.array_distinct("heard")).alias("word"))
+    hits = asked.join(_with_tails(words, longest), ["passage", "word"])
+    near = Window.partitionBy("id").orderBy("place").rangeBetween(1 - longest, 0)
+    starts = F.sequence(F.greatest(F.col("place") - (longest - 1), F.col("opens")), F.col("place"))
+    each = hits.withColumn("hits", F.collect_list("place").over(near)).select("id", "cursor", "n", "total", "tail", "hits", F.col("place").alias("stop"), F.explode(starts).alias("start"))
+    size = F.col("stop") - F.col("start") + 1
+    far = F.lit(penalty) * F.least(F.abs(F.col("start") - F.col("cursor")), F.col("total")) / F.col("total")
+    shared = F.least(F.col("n"), F.size(F.filter("hits", lambda p: p >= F.col("start"))))
+    bound = F.lit(2.0) * shared / (F.col("n") + size) - far
+    return each.select("id", "start", "stop", F.abs(F.col("start") - F.col("cursor")).alias("away"), far.alias("far"), bound.alias("bound"), F.slice("tail", -size, size).alias("window"))
+
+
+def located_phrases(phrases: DataFrame, words: DataFrame, near: int | None = None, least: float = 0.0, longest: int = LONGEST) -> DataFrame:
+    """id, start, stop and score of each phrase's best window: similarity less a little for the distance from the cursor.
+
+    With `near` a window that starts so close to the cursor is taken if it has the least score; otherwise any. Of equal
+    windows the first. Phrases that are empty, that share no word with their passage, or whose best window
+    scores less are missing. A window is compared only if its bound reaches what the most promising one scores.
+    """
+    windows = window_bounds(phrases, words, longest).where(F.col("bound") >= least).withColumn("close", F.lit(False) if near is None else F.col("away") <= near)
+    heard = phrases.select("id", "heard")
+    promising = windows.groupBy("id", "close").agg(F.max_by(F.struct("window", "far"), F.struct("bound", -F.col("start"), -F.col("stop"))).alias("w"))
+    reached = promising.join(heard, "id").select("id", "close", (similarity("heard", "w.window") - F.col("w.far")).alias("reached"))
+    left = windows.join(reached, ["id", "close"]).where(F.col("bound") >= F.col("reached")).join(heard, "id")
+    scored = left.select("id", "start", "stop", "close", (similarity("heard", "window") - F.col("far")).alias("score")).where(F.col("score") >= least)
+    best = Window.partitionBy("id").orderBy(F.desc("close"), F.desc("score"), "start", "stop")
+    # a close window of the least score goes before all others; closer ones below it are gone by now
+    return scored.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("id", "start", "stop", "score")
 
 
 def substring_match(rows: DataFrame) -> DataFrame:
@@ -106,52 +103,33 @@ def substring_match(rows: DataFrame) -> DataFrame:
     return rows.select("id", "target", "heard").mapInPandas(run, f"id {kind}, start int, stop int, edits int")
 
 
-def heard_shares(reading: str, words: list[str]) -> list[float]:
-    """For each word the share of its letters that a reading carries, in order and across word borders."""
-    joined = " ".join(words)
-    hit = [False] * len(joined)
-    for at, _, size in SequenceMatcher(None, joined, reading, autojunk=False).get_matching_blocks():
-        hit[at : at + size] = [True] * size
-    out, at = [], 0
-    for word in words:
-        out.append(sum(hit[at : at + len(word)]) / max(1, len(word)))
-        at += len(word) + 1
-    return out
+def heard_shares(rows: DataFrame) -> DataFrame:
+    """Rows (id, words, readings): (id, reading, place, letters, share): the share of each word's letters that each
+    reading carries, in order and across the borders of words, which are compared as they stand."""
+    each = rows.select("id", "words", F.posexplode("readings").alias("reading", "said"))
+    met = each.withColumn("blocks", matching_blocks(F.array_join("words", " "), F.col("said")))
+    begins = F.aggregate("words", F.array(F.lit(0)), lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w) + 1)))
+    placed = F.arrays_zip(F.col("words").alias("word"), F.slice(begins, 1, F.size("words")).alias("begin"))
+    words = met.select("id", "reading", "blocks", F.posexplode(placed).alias("place", "w")).select("id", "reading", "place", "blocks", F.length("w.word").alias("letters"), "w.begin")
+    inside = lambda b: F.greatest(F.least(F.col("begin") + F.col("letters"), b["at"] + b["size"]) - F.greatest("begin", b["at"]), F.lit(0))
+    carried = F.aggregate("blocks", F.lit(0), lambda n, b: n + inside(b))
+    return words.select("id", "reading", "place", "letters", (carried / F.greatest("letters", F.lit(1))).alias("share"))
 
 
 def unheard_words(rows: DataFrame, least: float = 0.5, enough: float = 0.6) -> DataFrame:
     """Rows (id, words, readings): (id, place) of the words of which no reading carries the least share; none where
-    no reading carries enough of them all. Words and readings are compared as they stand."""
-
-    def one(words: list[str], readings: list[str]) -> list[int]:
-        shares = [heard_shares(r, words) for r in readings]
-        letters = [len(w) for w in words]
-        carried = max((sum(s * n for s, n in zip(each, letters, strict=True)) / max(1, sum(letters)) for each in shares), default=0.0)
-        return [] if carried < enough else [i for i, column in enumerate(zip(*shares, strict=True)) if max(column) < least]
-
-    def run(parts):
-        for part in parts:
-            found = [(i, place) for i, w, r in zip(part["id"], part["words"], part["readings"], strict=True) for place in one(list(w), list(r))]
-            yield pd.DataFrame(found, columns=["id", "place"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "words", "readings").mapInPandas(run, f"id {kind}, place int")
+    no reading carries enough of all letters."""
+    shares = heard_shares(rows)
+    carried = shares.groupBy("id", "reading").agg((F.sum(F.col("share") * F.col("letters")) / F.greatest(F.sum("letters"), F.lit(1))).alias("all")).groupBy("id").agg(F.max("all").alias("all"))
+    best = shares.groupBy("id", "place").agg(F.max("share").alias("share")).where(F.col("share") < least)
+    return best.join(carried.where(F.col("all") >= enough), "id").select("id", "place")
 
 
 def agreements(windows: DataFrame, key: str, tokens: int = 2, letters: int = 4) -> DataFrame:
     """(key, agreement): the mean similarity of what was decoded in each window to the words placed there, over
     windows (key, decoded, placed) that hold enough to judge by; keys without such windows are missing."""
-    from pyspark.sql import functions as F
-
     judged = windows.where((F.size("decoded") >= tokens) & (F.length(F.array_join("decoded", "")) >= letters))
-
-    def run(parts):
-        for part in parts:
-            values = [SequenceMatcher(None, list(d), list(p)).ratio() if len(p) else 0.0 for d, p in zip(part["decoded"], part["placed"], strict=True)]
-            yield pd.DataFrame({key: part[key], "ratio": values})
-
-    kind = windows.schema[key].dataType.simpleString()
-    return judged.select(key, "decoded", "placed").mapInPandas(run, f"`{key}` {kind}, ratio double").groupBy(key).agg(F.round(F.avg("ratio"), 4).alias("agreement"))
+    return judged.select(key, similarity("decoded", "placed").alias("ratio")).groupBy(key).agg(F.round(F.avg("ratio"), 4).alias("agreement"))
 
 
 def ordered_windows(lines: DataFrame, least: float = 0.6) -> DataFrame:

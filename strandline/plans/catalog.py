@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import edits, folds, intervals, library, location, lookups, matching, positions, timelines
-from strandline.plans import clip_queries, format_queries, reading_queries, record_queries, run_queries, script_queries, sequence_queries
+from strandline.operators import edits, folds, intervals, library, location, lookups, positions, timelines
+from strandline.plans import clip_queries, format_queries, matching_queries, reading_queries, record_queries, run_queries, script_queries, sequence_queries
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
@@ -113,16 +113,6 @@ def read_again_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.read_again(_values(spark, sf_dir))
 
 
-def range_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's middle words, every fourth one misheard, in the item itself; keys are stretches of nine words."""
-    ship_package(spark)
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    heard = F.transform(F.slice(words, F.greatest(F.floor(F.size(words) / 2), F.lit(1)).cast("int"), 8), lambda w, i: F.when(i % 4 == 3, F.lit("?")).otherwise(w))
-    keys = F.transform(words, lambda _, i: F.floor(i / 9))
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), heard.alias("heard"), words.alias("words"), keys.alias("keys"), (F.col("item_id") % 7).cast("int").alias("cursor"))
-    return matching.located_phrases(rows, near=10, least=0.3).select("id", "start", "stop", F.floor(F.col("score") * 10_000 + 0.5).cast("long").alias("score"))
-
-
 def jump_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item read with its first words said twice, against the item."""
     ship_package(spark)
@@ -137,7 +127,7 @@ def phrase_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that SQL cannot express; the tests compare them with plain loops.
-FOLDS: dict[str, Query] = {f.__name__: f for f in (rate_limiter, truncated_timeline, queue_replay, going_back_passes, jump_alignment, phrase_location, range_matches)}
+FOLDS: dict[str, Query] = {f.__name__: f for f in (rate_limiter, truncated_timeline, queue_replay, going_back_passes, jump_alignment, phrase_location)}
 
 _SPANS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events), s AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nxt FROM e)"
 _MERGED = """a AS (SELECT user_id, t - 21600000000 AS a, t + 21600000000 AS b FROM e),
@@ -162,7 +152,7 @@ FRAMES: dict[str, tuple[Query, str]] = {
 
 
 #: Modules whose SQL is written apart from the operators they call.
-MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_queries, format_queries)
+MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_queries, format_queries, matching_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -19,8 +19,10 @@ def passages(rng, n):
 
 def test_best_windows_equal_a_full_search(spark):
     rows = passages(random.Random(3), 60)
-    df = spark.createDataFrame([*rows, (900, None, ["a"], ["1:1"], 0), (901, [], ["a"], ["1:1"], 0), (902, ["a"], [], [], 0)], "id long, heard array<string>, words array<string>, keys array<string>, cursor int")
-    got = {r.id: (r.start, r.stop, r.score) for r in matching.located_phrases(df).collect()}
+    odd = [(900, None, ["a"], ["1:1"], 0), (901, [], ["a"], ["1:1"], 0), (902, ["a"], [], [], 0), (903, ["a"], ["b"], ["1:1"], 0)]
+    phrases = spark.createDataFrame([(i, i, h, c) for i, h, _, _, c in [*rows, *odd]], "id long, passage long, heard array<string>, cursor int")
+    reference = spark.createDataFrame([(i, n, k, w) for i, _, ws, ks, _ in [*rows, *odd] for n, (w, k) in enumerate(zip(ws, ks))], "passage long, place int, key string, word string")
+    got = {r.id: (r.start, r.stop, r.score) for r in matching.located_phrases(phrases, reference).collect()}
     want = {}
     for i, heard, words, keys, cursor in rows:
         best = None
@@ -28,14 +30,19 @@ def test_best_windows_equal_a_full_search(spark):
             for b in range(a, min(len(words), a + matching.LONGEST)):
                 if keys[b] != keys[a]:
                     break
-                score = SequenceMatcher(None, heard, words[a : b + 1]).ratio() - 0.05 * min(abs(a - cursor), len(words)) / len(words)
+                ratio = SequenceMatcher(None, heard, words[a : b + 1]).ratio()
+                if not ratio:
+                    continue
+                score = ratio - 0.05 * min(abs(a - cursor), len(words)) / len(words)
                 if best is None or score > best[2]:
                     best = (a, b, score)
         if best is not None and heard and best[2] >= 0:
             want[i] = best
     assert got == want and len(got) > 40
-    near = {r.id: r.score for r in matching.located_phrases(df, near=4, least=0.5).collect()}
-    assert all(near[i] <= want[i][2] for i in near) and set(near) == {i for i, w in want.items() if w[2] >= 0.5}
+    near = {r.id: (r.start, r.score) for r in matching.located_phrases(phrases, reference, near=4, least=0.5).collect()}
+    assert all(s == want[i][2] or abs(a - rows[i][4]) <= 4 for i, (a, s) in near.items()) and set(near) == {i for i, w in want.items() if w[2] >= 0.5}
+    loose = matching.window_bounds(phrases, reference).collect()
+    assert all(r.bound >= SequenceMatcher(None, rows[r.id][1], r.window).ratio() - r.far for r in loose if r.id < 900)
 
 
 def edits(a, b):
@@ -57,9 +64,9 @@ def test_substring_match(spark):
         assert got[i].edits == best == edits(target, heard[got[i].start : got[i].stop])
 
 
-def test_ratios_of_given_ranges(spark):
-    rows = [(1, ["a", "b"], ["x", "a", "b", "y"], 1, 2), (2, ["a", "b"], ["x", "a"], 0, 1), (3, [], ["a"], 0, 0), (4, ["a"], ["a"], 1, 0)]
-    got = {r.id: r.ratio for r in matching.window_ratios(spark.createDataFrame(rows, "id long, heard array<string>, words array<string>, start int, stop int")).collect()}
+def test_similarity(spark):
+    rows = [(1, ["a", "b"], ["a", "b"]), (2, ["a", "b"], ["x", "a"]), (3, [], ["a"]), (4, ["a"], [])]
+    got = {r.id: r.ratio for r in spark.createDataFrame(rows, "id long, a array<string>, b array<string>").select("id", matching.similarity("a", "b").alias("ratio")).collect()}
     assert got == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0}
 
 
