@@ -43,6 +43,12 @@ class Bars:
         return max(self.shortest, bar * self.scale)
 
 
+#: Fixed values of the usual bars, in seconds.
+SECONDS = Bars(
+    shortest=0.18, marked=0.18, unmarked=0.38, borderline=0.20, hesitation=0.36, hesitation_factor=2.25, restart=0.30, inset=0.10, vowel_inset=0.25, joined=0.7, held_factor=2.0, reach=0.15, near=0.10,
+)
+
+
 def _spans(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     return df.select(*keys, F.col(start).alias("r_start"), F.col(end).alias("r_end"))
 
