@@ -60,12 +60,12 @@ def test_runs(spark):
     words = [f"w{i}" for i in range(12)]
     units = [i // 3 for i in range(12)]
     rows = [
-        (1, words, words, units), (2, words[:8] + words[3:], words, units), (3, words + words[9:], words, units), (4, [], words, units), (5, words, [], []), (6, None, words, units),
+        (1, words, words, units), (2, words[:8] + words[3:], words, units), (3, words + words[6:], words, units), (4, [], words, units), (5, words, [], []), (6, None, words, units),
         (7, words[:5] + ["x"] + words[5:], words, units),
     ]
     got = recited.recited_runs(spark.createDataFrame(rows, "key int, heard array<string>, script array<string>, units array<int>")).collect()
     runs = lambda k: [(r.first, r.last) for r in sorted(got, key=lambda r: r.run) if r.key == k]
-    assert runs(1) == [(0, 3)] and runs(2) == [(0, 2), (1, 3)] and runs(3) == [(0, 3), (3, 3)] and runs(7) == [(0, 3)]
+    assert runs(1) == [(0, 3)] and runs(2) == [(0, 2), (1, 3)] and runs(3) == [(0, 3), (2, 3)] and runs(7) == [(0, 3)]
     assert not runs(4) and not runs(5) and not runs(6)
     assert {r.key: r.cost for r in got} == {1: 0, 2: 3, 3: 3, 7: 1}
     placed = recited.heard_units(spark.createDataFrame(rows[:1], "key int, heard array<string>, script array<string>, units array<int>")).collect()
