@@ -209,16 +209,24 @@ def test_license_notices(spark):
 
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
-    items = [(1, words(rng, 30, 50)), (2, "short item"), (3, None), (4, ""), (5, words(rng, 13, 50)), (10, words(rng, 30, 50)), (11, "İstanbul ÉTÉ K")]
-    rows = [(0, None), (1, ""), (2, f"{words(rng, 20)} {items[0][1]} {words(rng, 300)}"), (3, items[0][1].upper()), (4, "a short item and SHORT item"), (5, " ".join(items[4][1].split()[:12])), (6, f"{items[5][1]} {items[0][1]}"), (7, items[6][1]), (7, items[6][1].lower())]
+    items = [(1, words(rng, 30, 50)), (2, "short item"), (3, None), (4, ""), (5, words(rng, 13, 50)), (10, words(rng, 30, 50)), (11, "İstanbul ÉTÉ K"), (12, "lonely"), (13, "a, B")]
+    rows = [(0, None), (1, ""), (2, f"{words(rng, 20)} {items[0][1]} {words(rng, 300)}"), (3, items[0][1].upper()), (4, "a short item and SHORT item"), (8, "a b, b; a lonely a and b"), (None, "short item"), (None, "item of a short kind"), (None, "short item"), (5, " ".join(items[4][1].split()[:12])), (6, f"{items[5][1]} {items[0][1]}"), (7, items[6][1]), (7, items[6][1].lower())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = collections.defaultdict(list)
     for r in decontaminate.contamination(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, low int"), bench).collect():
         got[r.doc_id].append(tuple(r)[1:])
     cut = {i: WORD.findall((t or "").translate(LOWER)) for i, t in items}
+    often = collections.Counter(w for _, t in rows for w in WORD.findall((t or "").translate(LOWER)))
     wanted = collections.defaultdict(list)
+
+    def near(w, window):
+        rare = [term for _, term, _ in sorted((often[term], term, at) for at, term in enumerate(window))[:2]]
+        at = [[p for p, x in enumerate(w) if x == term] for term in rare]
+        return bool(at[0]) if len(rare) == 1 else any(0 < abs(a - b) <= 12 for a in at[0] for b in at[1])
+
     for i, text in rows:
         w, hit, names = WORD.findall((text or "").translate(LOWER)), set(), set()
+        close = sum(any(near(w, words_[s : s + 13]) for s in range(max(len(words_) - 13, 0) + 1)) for words_ in cut.values() if words_)
         for item, words_ in cut.items():
             for s in range(max(len(words_) - 13, 0) + 1 if words_ else 0):
                 window = words_[s : s + 13]
@@ -226,7 +234,8 @@ def test_decontamination(spark, docs, empty):
                     if w[p : p + len(window)] == window:
                         hit |= set(range(p, p + len(window)))
                         names.add(str(item))
-        wanted[i].append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        wanted[i].append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), close))
+    assert any(v[-1] > v[2] for each in wanted.values() for v in each)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in wanted.items()}
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
