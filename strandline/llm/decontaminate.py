@@ -60,7 +60,7 @@ def rarest_terms(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     """
     each = phrases.select("window", "phrase").distinct().select("window", "phrase", F.posexplode("phrase").alias("at", "term"))
     order = Window.partitionBy("window").orderBy("n", "term", "at")
-    ranked = each.join(counts, "term").withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    ranked = each.join(_few(counts), "term").withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     of = lambda rank, column: F.min(F.when(F.col("rank") == rank, F.col(column)))
     both = ranked.groupBy("window").agg(F.first("phrase").alias("phrase"), of(1, "term").alias("term"), of(1, "at").alias("at"), of(2, "term").alias("second"), (of(2, "at") - of(1, "at")).alias("distance"))
     return both
@@ -136,7 +136,7 @@ def verdicts(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     With `near` also n_near: items of which a window's two rarest terms stand near one another.
     """
     phrases = materialize(windows(benchmark, size=size), "benchmark-windows")
-    rarest = materialize(rarest_terms(phrases, term_counts(documents, phrases, key, text)), "benchmark-rarest")
+    rarest = materialize(rarest_terms(phrases, materialize(term_counts(documents, phrases, key, text), "benchmark-counts")), "benchmark-rarest")
     terms = materialize(rarest.select("term").union(rarest.select("second")).where("term IS NOT NULL").distinct(), "benchmark-looked-up")
     posted = materialize(postings(documents, terms, key, text), "benchmark-postings")
     matches = materialize(phrase_matches(documents, intersected(posted, rarest), rarest, key, text), "benchmark-matches")
