@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.operators import edits, folds, intervals, library, location, lookups, positions, timelines
-from strandline.plans import caption_queries, clip_queries, format_queries, matching_queries, phrase_queries, reading_queries, recited_queries, record_queries, run_queries, script_queries, sequence_queries, stop_queries, timing_queries
+from strandline.plans import caption_queries, clip_queries, format_queries, matching_queries, phrase_queries, publish_queries, reading_queries, recited_queries, record_queries, run_queries, script_queries, sequence_queries, stop_queries, timing_queries
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
@@ -152,7 +152,7 @@ FRAMES: dict[str, tuple[Query, str]] = {
 
 
 #: Modules whose SQL is written apart from the operators they call.
-MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_queries, format_queries, matching_queries, caption_queries, phrase_queries, recited_queries, timing_queries, stop_queries)
+MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_queries, format_queries, matching_queries, caption_queries, phrase_queries, recited_queries, timing_queries, stop_queries, publish_queries)
 
 
 def queries() -> dict[str, Query]:
