@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.operators import edits, folds, intervals, library, location, lookups, positions, timelines
-from strandline.plans import caption_queries, clip_queries, format_queries, matching_queries, phrase_queries, publish_queries, reading_queries, recited_queries, record_queries, run_queries, script_queries, sequence_queries, stop_queries, table_queries, timing_queries
+from strandline.plans import caption_queries, clip_queries, format_queries, line_queries, matching_queries, phrase_queries, publish_queries, reading_queries, recited_queries, record_queries, run_queries, script_queries, sequence_queries, stop_queries, table_queries, timing_queries
 from strandline.plans.dialect import duck_sql, spark_query
 from strandline.runtime import ship_package, table
 
@@ -157,7 +157,7 @@ MODULES = (script_queries, run_queries, clip_queries, record_queries, reading_qu
 
 def queries() -> dict[str, Query]:
     apart = {name: f for module in MODULES for name, f in module.QUERIES.items()}
-    return apart | _plain() | sequence_queries.QUERIES | table_queries.QUERIES
+    return apart | _plain() | sequence_queries.QUERIES | table_queries.QUERIES | line_queries.QUERIES
 
 
 def _plain() -> dict[str, Query]:
