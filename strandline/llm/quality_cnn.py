@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.text_blocks import blocks, bounded_sample, held_out
-from strandline.runtime import ship_package
+from strandline.runtime import materialize, ship_package
 
 CHUNK, HOP, WIDTH, STEP = 256, 192, 6, 2
 EMBED, FILTERS, HIDDEN = 8, 24, 12
@@ -203,10 +203,23 @@ def score(df: DataFrame, network: Network | None, text: str = "text", key: str =
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
 
 
+def labelled_texts(documents: DataFrame, marks: DataFrame, rows_per_class: int) -> DataFrame:
+    """(doc_id, text, quality) of about `rows_per_class` rows of each label, written.
+
+    Rows are chosen by ids and digests alone, so the join with the labels moves no text; the texts of the chosen
+    ones, whose number the parameter bounds, are then picked from one more read.
+    """
+    digest = F.xxhash64("doc_id", "text")
+    known = documents.where("text IS NOT NULL").select("doc_id", digest.alias("body")).join(marks.where("quality IN (0, 1)"), F.col("doc_id") == F.col("labelled_id"))
+    sample = bounded_sample(known.select("quality", "doc_id", "body"), "quality", "doc_id", "body", rows_per_class)
+    chosen = materialize(sample.select("quality", F.col("doc_id").alias("chosen_id"), F.col("body").alias("chosen_body")), "quality-sample")
+    met = documents.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (digest == F.col("chosen_body")))
+    return materialize(met.select("doc_id", "text", "quality"), "quality-texts")
+
+
 def predict(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, rows_per_class: int = 600) -> DataFrame:
     """doc_id, held_out, score, predicted: learned on the labelled rows that are not held out."""
     ship_package(documents.sparkSession)
     marks = labels.select(F.col("doc_id").alias("labelled_id"), "quality").where(~held_out(F.col("labelled_id")))
-    texts = documents.select("doc_id", "text")
-    network = train(texts.join(marks, texts["doc_id"] == marks["labelled_id"]), "text", "quality", "doc_id", rows_per_class)
+    network = train(labelled_texts(documents, marks, rows_per_class), "text", "quality", "doc_id", rows_per_class)
     return score(documents, network).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
