@@ -19,16 +19,18 @@ def _grams(df: DataFrame, key: str, text: str) -> DataFrame:
     return w.select("id", F.posexplode(beside).alias("pos", "g")).where(F.col("g.c").isNotNull()).select("id", "pos", F.xxhash64("g.a", "g.b", "g.c").alias("gram"))
 
 
-def candidate_votes(phrases: DataFrame, corpus: DataFrame, phrase_key: str, corpus_key: str, cap: int = 40) -> DataFrame:
-    """item, doc, start, votes: where each phrase may start, the best `cap` starts of each phrase."""
+def candidate_votes(phrases: DataFrame, corpus: DataFrame, phrase_key: str, corpus_key: str, cap: int | None = 40) -> DataFrame:
+    """item, doc, start, votes: where each phrase may start, the best `cap` starts of each phrase, or all of them."""
     asked = _grams(phrases, phrase_key, "text").withColumnsRenamed({"id": "item", "pos": "at"})
     held = _grams(corpus, corpus_key, "text").withColumnRenamed("id", "doc")
     votes = held.join(asked, "gram").groupBy("item", "doc", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
+    if cap is None:
+        return votes
     order = Window.partitionBy("item").orderBy(F.desc("votes"), "doc", "start")
     return votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).drop("place")
 
 
-def located(phrases: DataFrame, corpus: DataFrame, phrase_key: str, corpus_key: str, least: float = 0.6, cap: int = 40) -> DataFrame:
+def located(phrases: DataFrame, corpus: DataFrame, phrase_key: str, corpus_key: str, least: float = 0.6, cap: int | None = 40) -> DataFrame:
     """item, doc, start, ratio: the best place of each phrase by similarity of words, at least `least`."""
     votes = candidate_votes(phrases, corpus, phrase_key, corpus_key, cap)
     asked = phrases.select(F.col(phrase_key).alias("item"), _words("text").alias("p"))

@@ -52,6 +52,18 @@ def test_location(spark):
     assert [(r["item"], r.doc, r.start, r.ratio) for r in got] == [(7, 1, 2, 1.0)]
 
 
+def test_location_without_a_cap_misses_nothing(spark):
+    """Many places share as many word triples as the best one; a cap drops it, the exact way finds it."""
+    phrase = "a b c d e f g h"
+    corpus = [(i, f"a b c d x{i} y{i} z{i} w{i}") for i in range(50)] + [(90, "a b c x e f x h")]
+    docs, items = spark.createDataFrame(corpus, "doc_id long, text string"), spark.createDataFrame([(1, phrase)], "item_id long, text string")
+    everything = {(r.doc, r.start) for r in location.candidate_votes(items, docs, "item_id", "doc_id", None).collect()}
+    capped = {(r.doc, r.start) for r in location.candidate_votes(items, docs, "item_id", "doc_id", 40).collect()}
+    assert len(capped) == 40 and capped < everything and (90, 0) in everything - capped
+    assert location.located(items, docs, "item_id", "doc_id", 0.6, 40).count() == 0
+    assert [(r.doc, r.ratio) for r in location.located(items, docs, "item_id", "doc_id", 0.6, None).collect()] == [(90, 0.75)]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("Café No. 1",), (None,), ("",)], "t string")
     got = df.select(text_functions.nfc("t").alias("a"), text_functions.hashtag("t").alias("b"), text_functions.digest36("t").alias("c")).collect()
