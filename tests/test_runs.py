@@ -18,3 +18,9 @@ def test_rank_levels_take_shares_as_written(levels):
     for k in SIZES:
         line = sorted((n * 7919) % k * 1000 for n in range(k))
         assert got[k] == (line[k * 7 // 10], line[k * 5 // 100], line[k * 29 // 100])
+
+
+def test_quiet_spans_take_shares_as_written(spark):
+    rows = [(k, n, n * 1000) for k in SIZES for n in range(k)]
+    got = {r.k: (r.start, r.end) for r in runs.quiet_spans(spark.createDataFrame(rows, "k int, n int, v long"), ["k"], "n", "v", 0, 0, 1, 1).collect()}
+    assert got == {k: (0, k * 7 // 10) for k in SIZES if k * 7 // 10 > k * 5 // 100}
