@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.script import plain_text
+from strandline.operators.folds import ordered_fold
 
 
 def texts_by_key(rows: DataFrame, key: str, edition: str, html: str, number: Column, first: int, last: int) -> DataFrame:
@@ -75,11 +77,48 @@ def added_jobs(waiting: DataFrame, added: DataFrame, same: Sequence[str], state:
 
 def carried_marks(captions: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     """Marks (key, id, word, middle) with the first caption (nth, from, to, start, end) of their key that holds
-    both the word and its middle. Captions hold few words each, so they are dealt by word."""
-    dealt = captions.select(key, "nth", "start", "end", F.explode(F.sequence("from", "to")).alias("word"))
-    held = marks.join(dealt, [key, "word"]).where((F.col("middle") >= F.col("start")) & (F.col("middle") < F.col("end")))
-    first = Window.partitionBy(key, "id").orderBy("nth")
-    return held.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(key, "id", "nth")
+    both the word and its middle; captions without a number come last.
+
+    No mark meets captions one by one. Equal captions and equal marks count once, captions are dealt by word, and one
+    pass over both in the order of time keeps those captions alone that may still be the first of a later moment.
+    """
+    void = F.col("nth").isNull()
+    number = captions.schema["nth"].dataType
+    fine = captions.where((F.col("from") <= F.col("to")) & (F.col("start") < F.col("end"))).groupBy(key, "from", "to", "start", "end").agg(F.min("nth").alias("nth"))
+    dealt = fine.select(key, "start", "end", "nth", F.explode(F.sequence("from", "to")).alias("word")).groupBy(key, "word", "start", "end").agg(F.min("nth").alias("nth"))
+    # a null would turn whole numbers into doubles on their way to Python
+    opens = dealt.select(key, "word", F.col("start").alias("at"), F.lit(0).alias("kind"), "end", void.alias("void"), F.coalesce("nth", F.lit(0)).cast(number).alias("nth"))
+    asked = marks.select(key, "word", F.col("middle").alias("at")).where(F.col(key).isNotNull() & F.col("word").isNotNull() & F.col("at").isNotNull()).distinct()
+    asks = asked.select(key, "word", "at", F.lit(1).alias("kind"), F.col("at").alias("end"), F.lit(False).alias("void"), F.lit(0).cast(number).alias("nth"))
+    line = opens.unionByName(asks)
+    kinds = {f.name: f.dataType.simpleString() for f in line.schema}
+    schema = f"`{key}` {kinds[key]}, word {kinds['word']}, at {kinds['at']}, void boolean, nth {kinds['nth']}"
+    found = ordered_fold(line, [key, "word"], ["at", "kind"], _first_open, schema)
+    same = [F.col(f"m.{c}") == F.col(f"f.{d}") for c, d in ((key, key), ("word", "word"), ("middle", "at"))]
+    held = marks.alias("m").join(found.alias("f"), same).select(f"m.{key}", "m.id", F.when(~F.col("f.void"), F.col("f.nth")).alias("nth"))
+    return held.groupBy(key, "id").agg(F.min("nth").alias("nth"))
+
+
+def _first_open(_: tuple):
+    """The fold of carried_marks over rows (key, word, at, kind, end, void, nth): kind 0 opens a caption, 1 asks for the first open one."""
+    ends: list = []  # of the open captions that no other outlasts under a lower number, by their end
+    numbers: list = []  # theirs, which rise with the end
+
+    def step(row: tuple) -> Iterator[tuple]:
+        key, word, at, kind, end, void, nth = row
+        gone = bisect_right(ends, at)
+        del ends[:gone], numbers[:gone]
+        if kind == 0:
+            place, number = bisect_left(ends, end), (void, nth)
+            if place == len(ends) or number < numbers[place]:
+                after = place + (place < len(ends) and ends[place] == end)
+                while place > 0 and numbers[place - 1] >= number:
+                    place -= 1
+                ends[place:after], numbers[place:after] = [end], [number]
+        elif numbers:
+            yield (key, word, at, *numbers[0])
+
+    return step, lambda: iter(())
 
 
 def restored_keys(said: DataFrame, keys: DataFrame, recording: str, key: str) -> DataFrame:

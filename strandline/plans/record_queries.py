@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import records
 from strandline.operators import sync
 from strandline.operators.intervals import micros
-from strandline.runtime import table
+from strandline.runtime import ship_package, table
 
 EARLIEST, LATEST = 1_577_836_800_000, 1_700_000_000_000
 
@@ -237,6 +237,7 @@ def added_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carried_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     captions = order_rows(spark, sf_dir).select((F.col("c") % 50).alias("key"), F.col("o").alias("nth"), (F.col("x") % 60).alias("from"), (F.col("x") % 60 + F.col("o") % 9).alias("to"), (F.col("x") % 700).alias("start"), (F.col("x") % 700 + 150).alias("end"))
     marks = customers(spark, sf_dir).select((F.col("c") % 50).alias("key"), F.col("c").alias("id"), (F.col("c") * 7 % 60).alias("word"), (F.col("c") * 13 % 800).alias("middle"))
     return sync.carried_marks(captions, marks, "key").select("id", "nth")
