@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.text import fnv_hash
+
 #: Fixed values of the limits, in characters.
 TITLE_MOST, DESCRIPTION_MOST, TAGS_MOST = 100, 5000, 500
 #: The tag of every title, and those that a title may add, in an order that its seed decides.
@@ -12,6 +16,11 @@ SHORT = "#Shorts"
 TITLE_TAGS = ("#Quran", "#BeautifulRecitation")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is worked out once, however often it names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _trim_end(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+$", "")
 
@@ -32,9 +41,12 @@ def fitted_title(subject: Column, author: Column, extras: Column, most: int = TI
     named = F.concat(subject, F.when(F.length(author) > 0, F.concat(F.lit(" | "), author)).otherwise(""))
     fewer = F.transform(F.sequence(F.size(extras), F.lit(0)), lambda k: _trim_end(F.concat(named, F.lit(f" {SHORT} "), F.array_join(F.slice(extras, 1, k), " "))))
     ways = F.concat(fewer, F.array(F.concat(subject, F.lit(f" {SHORT}"))))
-    fits = F.try_element_at(F.filter(ways, lambda w: F.length(w) <= most), F.lit(1))
-    chosen = F.coalesce(fits, F.element_at(ways, -1))
-    return F.struct(clipped(chosen, most).alias("title"), (chosen != F.element_at(ways, 1)).alias("truncated"))
+
+    def fitted(ways: Column) -> Column:
+        fits = F.try_element_at(F.filter(ways, lambda w: F.length(w) <= most), F.lit(1))
+        return _bound(F.coalesce(fits, F.element_at(ways, -1)), lambda chosen: F.struct(clipped(chosen, most).alias("title"), (chosen != F.element_at(ways, 1)).alias("truncated")))
+
+    return _bound(ways, fitted)
 
 
 def kept_tags(tags: Column, most: int = TAGS_MOST, between: int = 2) -> Column:
@@ -69,9 +81,5 @@ def description(head: Column, blocks: Column, tail: Column, most: int = DESCRIPT
 
 def fnv36(text: Column, begin: int, prime: int) -> Column:
     """The last six digits to base 36 of the 32-bit FNV-1a hash of a text's UTF-16 units."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    many = (F.length(units) / 4).cast("int")
-    unit = lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
-    hashed = F.aggregate(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), F.lit(begin).cast("long"), lambda h, i: (h.bitwiseXOR(unit(i)) * prime).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
-    value = F.when(many > 0, hashed).otherwise(F.lit(begin).cast("long"))
+    value = fnv_hash(text, begin, prime)
     return F.right(F.concat(F.lit("00000"), F.lower(F.conv(value.cast("string"), 10, 36))), F.lit(6))

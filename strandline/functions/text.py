@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -41,3 +42,16 @@ def digest36(text: pd.Series) -> pd.Series:
         return (out or "0").rjust(6, "0")[-6:]
 
     return text.map(one)
+
+
+def fnv_hash(text: Column, begin: int, prime: int) -> Column:
+    """The 32-bit FNV-1a hash of a text's UTF-16 units, in one pass over its characters."""
+    whole = F.lit(0xFFFFFFFF).cast("long")
+    mixed = lambda h, unit: (h.bitwiseXOR(unit.cast("long")) * prime).bitwiseAND(whole)
+
+    def step(h: Column, point: Column) -> Column:
+        beyond = point - 0x10000
+        return F.when(point < 0x10000, mixed(h, point)).otherwise(mixed(mixed(h, F.shiftright(beyond, 10) + 0xD800), beyond.bitwiseAND(0x3FF) + 0xDC00))
+
+    points = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    return F.when(F.length(text) == 0, F.lit(begin).cast("long")).otherwise(F.aggregate(points, F.lit(begin).cast("long"), step))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.text import fnv_hash
+
 #: Words that one chunk covers at most.
 MOST_JOINED = 7
 #: Fixed values of the seeded order: a 32-bit FNV-1a hash starts a linear generator modulo 2^32.
@@ -64,13 +66,8 @@ def chunk_sizes(words: Column, chunks: Column, most: int = MOST_JOINED) -> Colum
 
 def seeded_order(items: Column, seed: Column) -> Column:
     """The items shuffled by a seed: from the last place down each swaps with one that the generator names."""
-    units = F.hex(F.encode(seed, "UTF-16BE"))
-    many = (F.length(units) / 4).cast("int")
-    unit = lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
     whole = F.lit(WORD).cast("long")
-    begin = F.when(many == 0, F.lit(FNV_START).cast("long")).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), F.lit(FNV_START).cast("long"), lambda h, i: (h.bitwiseXOR(unit(i)) * FNV_PRIME).bitwiseAND(whole))
-    )
+    begin = fnv_hash(seed, FNV_START, FNV_PRIME)
     size = F.size(items)
 
     def swap(now: Column, i: Column) -> Column:

@@ -19,9 +19,9 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _passages(spark, sf_dir)
     extras = pairing.seeded_order(F.array(*map(F.lit, publish.TITLE_TAGS)), F.concat_ws("|", "reference", "author"))
-    titled = publish.fitted_title(F.concat(F.lit("Surah "), "p_name", F.lit(" "), "reference"), F.col("author"), extras)
+    rows = _passages(spark, sf_dir).withColumn("extras", extras)
+    titled = publish.fitted_title(F.concat(F.lit("Surah "), "p_name", F.lit(" "), "reference"), F.col("author"), F.col("extras"))
     return rows.select("p_partkey", titled.alias("t")).select("p_partkey", "t.title", "t.truncated")
 
 
