@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.runtime import dealt
+
 
 def _over(keys: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -30,6 +32,10 @@ def twins(rows: DataFrame, keys: Sequence[str], place: str, alike: Sequence[str]
 
 def equal_stretches(rows: DataFrame, keys: Sequence[str], place: str, value: str) -> DataFrame:
     """(keys, value, a, b): stretches of consecutive places with one value; a place that is repeated starts a new one."""
+    return _stretches(dealt(rows.select(*keys, place, value), keys), keys, place, value)
+
+
+def _stretches(rows: DataFrame, keys: Sequence[str], place: str, value: str) -> DataFrame:
     over = Window.partitionBy(*keys, value).orderBy(place)
     marked = rows.withColumn("_grp", F.col(place) - F.row_number().over(over))
     return marked.groupBy(*keys, value, "_grp").agg(F.min(place).alias("a"), F.max(place).alias("b")).drop("_grp")
@@ -91,8 +97,8 @@ def least_frames(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sym
 
 def path_spans(rows: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: str, blank: str) -> DataFrame:
     """(keys, symbol, a, b): runs of one symbol along a path, from frame a to before b; blanks are none."""
-    placed = rows.withColumn("_i", F.row_number().over(_over(keys, order)))
-    return equal_stretches(placed.select(*keys, symbol, "_i"), keys, "_i", symbol).where(F.col(symbol) != blank).withColumn("b", F.col("b") + 1)
+    placed = dealt(rows, keys).withColumn("_i", F.row_number().over(_over(keys, order)))
+    return _stretches(placed.select(*keys, symbol, "_i"), keys, "_i", symbol).where(F.col(symbol) != blank).withColumn("b", F.col("b") + 1)
 
 
 def collapsed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: str, blank: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, keys: Sequence[str], times: int = 1) -> DataFrame:
+    """The rows dealt by their keys into as many partitions as the session's shuffles have, or a multiple, all kept.
+
+    Adaptive execution merges partitions by their compressed bytes; short sorted rows take twenty times as many in
+    memory, and a task would hold more of them the larger the input is. Rows that may already be dealt by these keys
+    need a multiple: the same number again would be no new shuffle and leave them merged.
+    """
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame, label: str, waves: int = WAVES) -> DataFrame:
     """Cut the lineage by writing to the shared folder and reading back.
 

@@ -63,3 +63,10 @@ def test_values(spark):
         lines.tenths_code(F.lit(6059)), lines.digits(F.lit("a10"), "abcdefghij"), lines.chunk_plan(F.lit(999), 1000), lines.chunk_plan(F.lit(2500), 1000),
     ).first()
     assert tuple(one) == ("x/y_s", "x.y/z_s", "video", "page", "10:05.9", "aba", (1, 0, 999), (2, 1000, 2500))
+
+
+def test_stretches_are_dealt_into_all_partitions(spark):
+    rows = spark.range(4000).selectExpr("id % 997 AS k", "id AS place", "CAST(id % 3 AS STRING) AS v")
+    for found in (lines.equal_stretches(rows, ["k"], "place", "v"), lines.path_spans(rows, ["k"], ["place"], "v", "-")):
+        # merged by their bytes these few rows would be one partition, and with them a task's memory grows
+        assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
