@@ -6,11 +6,14 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.folds import ordered_fold
+from strandline.runtime import dealt
 
 #: Fixed value: what stands for digital silence, in decibels; no level at or below it counts.
 SILENCE = -90.0
@@ -135,16 +138,25 @@ def swept(evidence: DataFrame, expected: DataFrame, keys: Sequence[str], grid: M
 
     evidence has a row for each word (keys, n, w and whatever `ends` reads), expected has lines (keys, first_w,
     last_w). `ends` gives from a setting's values whether a line ends with a word; the last word always ends one.
-    A line found twice counts as often as it is expected. All settings are rows of one exploded array: the evidence is
-    read and shuffled once, however large the grid.
+    A line found twice counts as often as it is expected. The evidence is read, dealt and sorted once and never
+    multiplied by the grid: each word carries where the line of every setting began, and a word that ends lines gives
+    a row for each different beginning with the settings that found it.
     """
     names = sorted({name for values in grid.values() for name in values})
-    settings = F.array(*(F.struct(F.lit(setting).alias("setting"), *(F.lit(float(values[n])).alias(n) for n in names)) for setting, values in grid.items()))
-    each = evidence.withColumn("last", F.lead("n").over(Window.partitionBy(*keys).orderBy("n")).isNull()).withColumn("grid", F.explode(settings))
-    marked = each.withColumns({"setting": F.col("grid.setting"), "ends": F.col("last") | F.coalesce(ends({n: F.col(f"grid.{n}") for n in names}), F.lit(False))})
-    order = Window.partitionBy(*keys, "setting").orderBy("n")
-    lines = marked.withColumn("line", F.count_if("ends").over(order) - F.col("ends").cast("int")).groupBy(*keys, "setting", "line").agg(F.min_by("w", "n").alias("first_w"), F.max_by("w", "n").alias("last_w"))
-    counted = lines.groupBy(*keys, "setting", "first_w", "last_w").agg(F.count("*").alias("n"))
-    wanted = expected.groupBy(*keys, "first_w", "last_w").agg(F.count("*").alias("wanted"))
-    met = counted.join(wanted, [*keys, "first_w", "last_w"], "left")
-    return met.groupBy("setting").agg(F.sum(F.least("n", F.coalesce("wanted", F.lit(0)))).alias("hits"), F.sum("n").alias("predicted"))
+    settings = range(len(grid))
+    order = Window.partitionBy(*keys).orderBy("n")
+    ended = dealt(evidence, keys, 2).withColumn("_last", F.lead("n").over(order).isNull())
+    ended = ended.select(*keys, "n", "w", F.array(*(F.col("_last") | F.coalesce(ends({n: F.lit(float(values[n])) for n in names}), F.lit(False)) for values in grid.values())).alias("_ends"))
+    began = ended.withColumn("_before", F.lag("_ends").over(order))
+    here = [F.when(F.coalesce(F.col("_before")[i], F.lit(True)), F.struct("w")) for i in settings]
+    began = began.withColumns({f"_began{i}": F.last(here[i], ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for i in settings})
+    begun = began.where(F.exists("_ends", lambda e: e)).select(*keys, "w", F.array(*(F.when(F.col("_ends")[i], F.col(f"_began{i}")) for i in settings)).alias("_began"))
+    each = begun.withColumn("_first", F.explode(F.array_distinct(F.array_compact("_began"))))
+    met = F.array(*(F.coalesce(F.col("_began")[i] == F.col("_first"), F.lit(False)) for i in settings))
+    lines = each.select(*keys, F.col("_first.w").alias("first_w"), F.col("w").alias("last_w"), met.alias("_met"))
+    both = lines.unionByName(expected.select(*keys, "first_w", "last_w"), allowMissingColumns=True)
+    counted = both.groupBy(*keys, "first_w", "last_w").agg(F.count_if(F.col("_met").isNull()).alias("_wanted"), *(F.count_if(F.col("_met")[i]).alias(f"_n{i}") for i in settings))
+    known = reduce(and_, (F.col(c).isNotNull() for c in (*keys, "first_w", "last_w")))
+    sums = counted.withColumn("_wanted", F.when(known, F.col("_wanted")).otherwise(0)).agg(*(f for i in settings for f in (F.sum(F.least(f"_n{i}", "_wanted")).alias(f"_hits{i}"), F.sum(f"_n{i}").alias(f"_all{i}"))))
+    rows = F.array(*(F.struct(F.lit(setting).alias("setting"), F.col(f"_hits{i}").alias("hits"), F.col(f"_all{i}").alias("predicted")) for i, setting in enumerate(grid)))
+    return sums.select(F.explode(rows).alias("r")).select("r.*").where("predicted > 0")

@@ -103,3 +103,31 @@ def test_sweep_reads_the_evidence_once(spark, tmp_path):
         assert got[name] == (sum(min(found.count(x), expected.count(x)) for x in set(found)), len(found))
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
     assert scans(sweep(grid)) == scans(sweep({f"{i}": {"bar": float(i)} for i in range(50)}))
+
+
+def test_sweeps_do_not_multiply_the_evidence(spark):
+    evidence = spark.range(600).selectExpr("id % 5 AS k", "id AS n", "IF(id % 11 = 3, NULL, id % 7) AS w", "IF(id % 13 = 0, NULL, id * 37 % 100) AS gap")
+    wanted = evidence.where("n % 9 = 0").selectExpr("k", "w AS first_w", "(w + 2) % 7 AS last_w")
+    grid = {f"s{i}": {"bar": float(i)} for i in range(0, 120, 10)}
+    found = timing.swept(evidence, wanted, ["k"], grid, lambda v: F.col("gap") >= v["bar"])
+    words, expected = {}, {}
+    for r in evidence.orderBy("n").collect():
+        words.setdefault(r.k, []).append((r.w, r.gap))
+    for r in wanted.collect():
+        expected.setdefault(r.k, []).append((r.first_w, r.last_w))
+    got = {r.setting: (r.hits, r.predicted) for r in found.collect()}
+    for setting, values in grid.items():
+        hits = many = 0
+        for k, line in words.items():
+            lines, first = [], 0
+            for i, (_, gap) in enumerate(line):
+                if i == len(line) - 1 or (gap is not None and gap >= values["bar"]):
+                    lines.append((line[first][0], line[i][0]))
+                    first = i + 1
+            many += len(lines)
+            hits += sum(min(lines.count(x), expected[k].count(x)) for x in set(lines) if None not in x)
+        assert got[setting] == (hits, many)
+    assert timing.swept(evidence.limit(0), wanted, ["k"], grid, lambda v: F.col("gap") >= v["bar"]).count() == 0
+    # one sort of the evidence, before it becomes rows of lines; no join with what was expected
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Sort [") == 1 and plan.index("Generate explode(array_distinct") < plan.index("Sort [")
