@@ -11,7 +11,7 @@ from strandline.functions import scalars
 from strandline.operators import edits, folds, intervals, library, location, lookups, positions, timelines
 from strandline.plans import caption_queries, clip_queries, format_queries, line_queries, matching_queries, phrase_queries, publish_queries, reading_queries, recited_queries, record_queries, run_queries, script_queries, sequence_queries, stop_queries, table_queries, timing_queries
 from strandline.plans.dialect import duck_sql, spark_query
-from strandline.runtime import ship_package, table
+from strandline.runtime import dealt, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "session_gaps"
@@ -61,12 +61,17 @@ def dashboard_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted phrase index: 3-word phrases that stand in two documents or more, and in how many."""
     words = F.filter(F.split("text", "[^a-z]+"), lambda w: w != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))).alias("c"))
-    phrases = d.select("doc_id", F.explode(zipped).alias("g")).where(F.col("g.c").isNotNull()).select("doc_id", F.concat_ws(" ", "g.a", "g.b", "g.c").alias("phrase"))
-    # a document's own repeats are added up before anything is sent; a count of distinct ids would send every row twice
-    each = phrases.groupBy("phrase", "doc_id").agg(F.count("*").alias("own"))
-    return each.groupBy("phrase").agg(F.count("doc_id").alias("n_docs"), F.sum("own").alias("n")).where("n_docs >= 2")
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= 3)
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"), F.slice("w", 3, F.size("w")).alias("c"))
+    phrases = F.transform(F.slice(zipped, 1, F.size("w") - 2), lambda g: F.concat_ws(" ", g["a"], g["b"], g["c"]))
+    # a text's own repeats are added up inside its row: sorted, they are runs, and each run is one row
+    runs = d.select("doc_id", F.sort_array(phrases).alias("s"))
+    runs = runs.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))))
+    own = F.transform("at", lambda i, k: F.struct(F.get("s", i).alias("phrase"), (F.coalesce(F.get("at", k + 1), F.size("s")) - i).cast("long").alias("own")))
+    each = runs.select("doc_id", F.explode(own).alias("r")).select("doc_id", "r.phrase", "r.own")
+    # dealt once by the phrase, which serves both counts: a document of several rows counts once
+    met = dealt(each, ["phrase"]).groupBy("phrase", "doc_id").agg(F.sum("own").alias("own"))
+    return met.groupBy("phrase").agg(F.count("doc_id").alias("n_docs"), F.sum("own").alias("n")).where("n_docs >= 2")
 
 
 _WORD_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
