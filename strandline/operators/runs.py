@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def _order(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+def _order(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "n") -> DataFrame:
     """The rows of each sequence numbered from 0."""
     return df.withColumn(name, F.row_number().over(_order(keys, order)) - 1)
 
@@ -59,9 +59,10 @@ def sampled_spans(df: DataFrame, keys: Sequence[str], time: str, step: int, slac
 def rank_levels(df: DataFrame, keys: Sequence[str], level: str, shares: dict[str, float]) -> DataFrame:
     """(keys, a level for each name): the level at the floor of share x count in rising order, counted from 0.
 
-    A share counts as it is written: 0.7 of 90 rows are 63, not the 62.99 that the nearest double gives.
+    A share counts as it is written: 0.7 of 90 rows are 63, not the 62.99 that the nearest double gives. Rows
+    without a level count too and stand last.
     """
-    ranked = df.select(*keys, level).withColumns({"_rank": F.row_number().over(_order(keys, [level])) - 1, "_size": F.count("*").over(Window.partitionBy(*keys))})
+    ranked = df.select(*keys, level).withColumns({"_rank": F.row_number().over(_order(keys, [F.asc_nulls_last(level)])) - 1, "_size": F.count("*").over(Window.partitionBy(*keys))})
     picks = [F.max(F.when(F.col("_rank") == F.floor(F.col("_size") * F.lit(Decimal(str(share)))), F.col(level))).alias(name) for name, share in shares.items()]
     return ranked.groupBy(*keys).agg(*picks)
 

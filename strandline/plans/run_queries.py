@@ -13,10 +13,10 @@ USER = ["user_id"]
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, n, v, t, event_id, event_type): the events of each user numbered in time, values in hundredths."""
+    """(user_id, n, v, t, event_id, event_type): the events of each user numbered in time, those without one last, values in hundredths."""
     cents = F.floor(F.col("value") * 100 + 0.5).cast("long")
     events = table(spark, sf_dir, "events").select("user_id", cents.alias("v"), micros("ts").alias("t"), "event_id", "event_type")
-    return runs.numbered(events, USER, ["t", "event_id"])
+    return runs.numbered(events, USER, [F.asc_nulls_last("t"), F.asc_nulls_last("event_id")])
 
 
 def percentile_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
